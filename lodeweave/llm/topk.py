@@ -80,7 +80,7 @@ def _tops(hist: np.ndarray, k: int) -> np.ndarray:
     return (hist > 0) & (above < k)
 
 
-def _histogram(cands: DataFrame, scores: _Scores, low: np.ndarray, width: np.ndarray, k: int) -> dict[int, list[tuple[int, int]]]:
+def _histogram(cands: DataFrame, scores: _Scores, low: np.ndarray, high: np.ndarray, width: np.ndarray, k: int) -> dict[int, list[tuple[int, int]]]:
     """For each query its highest bins and their counts over all candidates, from the highest on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +88,7 @@ def _histogram(cands: DataFrame, scores: _Scores, low: np.ndarray, width: np.nda
         hist = np.zeros(n * BINS, np.int64)
         for _, s, counts in scores.over(batches):
             b = (s - low) // width
-            b = np.where(counts & (b >= 0) & (b < BINS), b + np.arange(n) * BINS, -1).ravel()
+            b = np.where(counts & (s >= low) & (s <= high), b + np.arange(n) * BINS, -1).ravel()
             hist += np.bincount(b[b >= 0], minlength=n * BINS)
         q, b = np.nonzero(_tops(hist.reshape(n, BINS), k))
         yield pa.RecordBatch.from_arrays([pa.array(q.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(hist.reshape(n, BINS)[q, b])], ["q", "bin", "n"])
@@ -109,7 +109,7 @@ def _thresholds(cands: DataFrame, scores: _Scores, bound: np.ndarray, k: int) ->
     need = np.full(len(bound), k)
     while True:
         width = np.maximum(1, -(-(high - low + 1) // BINS))
-        found = _histogram(cands, scores, low, width, int(need.max()))
+        found = _histogram(cands, scores, low, high, width, int(need.max()))
         for q in range(len(bound)):
             left = need[q]
             for b, n in found.get(q, []):
