@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import sharding, topk, toxicity
+from lodeweave.llm import brown, sharding, topk, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_topk": topk.op3_topk,
+    "op8_lm_scoring": brown.op8_lm_scoring,
 }
 
 ORACLES = {
