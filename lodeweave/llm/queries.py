@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_topk": topk.op3_topk,
     "op4_warc": warc.op4_warc,
+    "op5_chat_format": chat.op5_chat_format,
     "op8_lm_scoring": brown.op8_lm_scoring,
 }
 
 ORACLES = {
     "op3_topk": topk.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
+    "op5_chat_format": chat.OP5_SQL,
 }
