@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, chat, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, decontam, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_topk": topk.op3_topk,
     "op4_warc": warc.op4_warc,
     "op5_chat_format": chat.op5_chat_format,
+    "op6_decontamination": decontam.op6_decontamination,
     "op8_lm_scoring": brown.op8_lm_scoring,
 }
 
@@ -17,4 +18,5 @@ ORACLES = {
     "op3_topk": topk.OP3_SQL,
     "op4_warc": warc.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op6_decontamination": decontam.OP6_SQL,
 }
