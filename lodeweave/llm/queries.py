@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, chat, decontam, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, decontam, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
     "op6_decontamination": decontam.op6_decontamination,
     "op8_lm_scoring": brown.op8_lm_scoring,
+    "op9_secret_scan": secrets.op9_secret_scan,
 }
 
 ORACLES = {
