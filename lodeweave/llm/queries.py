@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, chat, decontam, secrets, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, decontam, jaccard, secrets, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_decontamination": decontam.op6_decontamination,
     "op8_lm_scoring": brown.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
+    "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
 
 ORACLES = {
