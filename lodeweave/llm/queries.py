@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, chat, decontam, jaccard, secrets, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, decontam, jaccard, secrets, sentencepiece_codec, sharding, topk, toxicity, warc
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_chat_format": chat.op5_chat_format,
     "op6_decontamination": decontam.op6_decontamination,
+    "op7_sentencepiece": sentencepiece_codec.op7_sentencepiece,
     "op8_lm_scoring": brown.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
