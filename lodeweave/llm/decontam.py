@@ -41,7 +41,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(_WORD), F.lit(0))
 
 
-def _bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows."""
     return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
 
@@ -59,14 +59,14 @@ def items_of(benchmark: DataFrame) -> DataFrame:
 def postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, key, pos): the positional index over the given terms, stored."""
     found = docs.select("key", F.posexplode(words_of(F.col("text"))).alias("pos", "term"))
-    return stored(found.join(_bounded(terms), "term", "left_semi").select("term", "key", "pos"), "decontam-index")
+    return stored(found.join(bounded(terms), "term", "left_semi").select("term", "key", "pos"), "decontam-index")
 
 
 def rarest(items: DataFrame, index: DataFrame, n: int = WINDOW) -> DataFrame:
     """(item, a, term_a, b, term_b): of each window the offsets of its rarest and second rarest terms (b is null in windows of one word)."""
     frequency = index.groupBy("term").agg(F.count("*").alias("n"))
     tokens = items.select("item", F.size("words").alias("size"), F.posexplode("words").alias("at", "term"))
-    counted = tokens.join(_bounded(frequency), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    counted = tokens.join(bounded(frequency), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     window = Window.partitionBy("item").orderBy("at").rowsBetween(0, n - 1)
     ranked = F.array_sort(F.collect_list(F.struct("n", "at", "term")).over(window))
     starts = counted.withColumn("r", ranked).where((F.col("at") == 0) | (F.col("at") <= F.col("size") - n))
@@ -79,8 +79,8 @@ def rarest(items: DataFrame, index: DataFrame, n: int = WINDOW) -> DataFrame:
 def matches(index: DataFrame, pairs: DataFrame, slop: int = SLOP) -> DataFrame:
     """(key, item, shift, exact): where the two rarest terms of a window stand as in the item, or within ``slop`` words of that."""
     some = pairs.count()
-    first = index.join(_bounded(pairs.withColumnRenamed("term_a", "term"), some), "term").select("key", "item", "a", "b", (F.col("pos") - F.col("a")).alias("shift"))
-    second = index.join(_bounded(pairs.where("b is not null").withColumnRenamed("term_b", "term"), some), "term").select("key", "item", "a", "b", (F.col("pos") - F.col("b")).alias("other"))
+    first = index.join(bounded(pairs.withColumnRenamed("term_a", "term"), some), "term").select("key", "item", "a", "b", (F.col("pos") - F.col("a")).alias("shift"))
+    second = index.join(bounded(pairs.where("b is not null").withColumnRenamed("term_b", "term"), some), "term").select("key", "item", "a", "b", (F.col("pos") - F.col("b")).alias("other"))
     step = slop + 1
     cell = lambda c: F.floor(F.col(c) / step)
     near = second.withColumn("cell", F.explode(F.array(cell("other") - 1, cell("other"), cell("other") + 1)))
@@ -99,9 +99,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop:
     index = postings(rows, items.select(F.explode("words").alias("term")).distinct())
     found = matches(index, rarest(items, index, n), slop)
     near = found.groupBy("key").agg(F.count_distinct("item").alias("n_near"))
-    phrases = found.where("exact").join(_bounded(items), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("iw"))).alias("c"))
+    phrases = found.where("exact").join(bounded(items), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("iw"))).alias("c"))
     per_doc = stored(near.join(phrases, "key", "left"), "decontam-docs")
-    joined = rows.join(_bounded(per_doc), "key", "left")
+    joined = rows.join(bounded(per_doc), "key", "left")
     w = F.when(F.col("c").isNotNull(), words_of(F.col("text")))
     size = lambda c: F.least(F.size(c["iw"]), F.lit(n))
 
