@@ -1,11 +1,18 @@
-"""Corpus clean-up: each stage is one operator of lodeweave.llm over all rows its predecessor kept."""
+"""Corpus clean-up: each stage is one operator of lodeweave.llm over all rows its predecessor kept.
+
+toxicity drops what the classifier holds toxic; jaccard keeps one document of each group of near
+duplicates (the smallest doc_id); decontamination drops documents with a benchmark window in them;
+secrets replaces every secret by a mark and keeps the document; sentencepiece adds ids. Clean
+documents pass every stage unchanged. Documents whose columns clash with a stage's own names keep
+theirs: a stage takes the columns of ``documents`` alone.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm import toxicity
+from lodeweave.llm import decontam, jaccard, secrets, sentencepiece_codec, toxicity
 from lodeweave.llm._store import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -19,7 +26,39 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model, "_toxicity").where(F.col("_toxicity") < TOXIC).select(*COLUMNS)
 
 
-STAGES = [("toxicity", toxic)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest doc_id of each group; repeated rows of it become one."""
+    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
+    ids = stored(found.groupBy("doc_id").agg(F.max(F.col("group_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"), "pipeline-ids")
+    kept = docs.select(*COLUMNS).join(decontam.bounded(ids.where("goes").select("doc_id")), "doc_id", "left_anti")
+    twice = ids.where("not goes").select("doc_id")
+    if twice.limit(1).count():
+        twice = decontam.bounded(twice)
+        kept = kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return kept.select(*COLUMNS)
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a window of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id").distinct(), "pipeline-ids")
+    return docs.select(*COLUMNS).join(decontam.bounded(bad), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; n_chars follows where a text changed."""
+    found = secrets.scan(docs.select(*COLUMNS), secrets.train(secrets.samples(spark)))
+    hit = F.size("spans") > 0
+    clean = secrets.redacted(F.col("text"), F.col("spans"))
+    return found.withColumn("_clean", clean).select("doc_id", F.col("_clean").alias("text"), "lang", "source", F.when(hit, F.length("_clean")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds each text's ids and their number."""
+    return sentencepiece_codec.encode(docs.select(*COLUMNS)).withColumn("n_ids", F.size("ids").cast("bigint"))
+
+
+STAGES = [("toxicity", toxic), ("jaccard", near_duplicates), ("decontamination", contaminated), ("secrets", secret), ("sentencepiece", encoded)]
 
 #: The first stage is a trained model, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
