@@ -102,15 +102,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop:
     phrases = found.where("exact").join(bounded(items), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("iw"))).alias("c"))
     per_doc = stored(near.join(phrases, "key", "left"), "decontam-docs")
     joined = rows.join(bounded(per_doc), "key", "left")
-    w = F.when(F.col("c").isNotNull(), words_of(F.col("text")))
     size = lambda c: F.least(F.size(c["iw"]), F.lit(n))
 
-    def starts(c: Column, words: Column) -> Column:
-        """Offsets in the item at which a whole window stands in the document."""
+    def let(value: Column, body) -> Column:
+        """``body`` of a value that is computed once, however often the body's lambdas use it."""
+        return F.transform(F.array(value), body)[0]
+
+    def hit(c: Column, words: Column) -> Column:
+        """Positions in the document that whole windows of the item cover."""
         same = F.transform(c["iw"], lambda x, i: F.coalesce(F.get(words, c["shift"] + i) == x, F.lit(False)))
-        return F.filter(F.sequence(F.lit(0), F.size(c["iw"]) - size(c)), lambda s: F.forall(F.slice(same, s + 1, size(c)), lambda x: x))
 
-    checked = joined.withColumn("w", w).withColumn("hits", F.transform("c", lambda c: F.struct(c["item_id"].alias("item_id"), F.flatten(F.transform(starts(c, F.col("w")), lambda s: F.sequence(c["shift"] + s, c["shift"] + s + size(c) - 1))).alias("at"))))
+        def covered(same: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(0), F.size(c["iw"]) - size(c)), lambda s: F.forall(F.slice(same, s + 1, size(c)), lambda x: x))
+            return F.flatten(F.transform(starts, lambda s: F.sequence(c["shift"] + s, c["shift"] + s + size(c) - 1)))
+
+        return F.struct(c["item_id"].alias("item_id"), let(same, covered).alias("at"))
+
+    hits = F.when(F.col("c").isNotNull(), let(words_of(F.col("text")), lambda w: F.transform("c", lambda c: hit(c, w))))
+    checked = joined.withColumn("hits", hits)
     good = F.filter("hits", lambda h: F.size(h["at"]) > 0)
     ids = F.coalesce(F.array_distinct(F.transform(good, lambda h: h["item_id"])), F.array().cast("array<bigint>"))
     return checked.select(
