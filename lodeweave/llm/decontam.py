@@ -9,7 +9,7 @@ are proximity matches. Candidates are few and are checked word by word in the do
 
 Windows whose rarest term doesn't occur can't match and are dropped there. Sizes that follow the
 benchmark (its terms, its windows) or the matches are counted first and broadcast only up to
-``BROADCAST_ROWS`` rows; beyond, the same joins shuffle. Terms with long posting lists aren't shuffled by
+````BROADCAST_ROWS`` rows; beyond, the same joins shuffle. Terms with long posting lists aren't shuffled by
 term while the benchmark is within that bound.
 
 Cases: null texts have no words; such documents have 0 words and no hits, such items never match;
@@ -23,11 +23,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodeweave.llm._store import stored
+from lodeweave.llm._store import bounded, stored
 
 WINDOW = 10
 SLOP = 5
-BROADCAST_ROWS = 500_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -41,11 +40,6 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(lowered(text), F.lit(_WORD), F.lit(0))
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text and a key of both: rows with equal keys are alike, and so are their results."""
     return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm import _bytes
 from lodeweave.llm._graph import components
-from lodeweave.llm._store import arrow, stored
+from lodeweave.llm._store import arrow, bounded, stored
 
 N = 5
 THRESHOLD = 0.8
@@ -263,7 +263,7 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     sized = sets.where("set_key is not null").groupBy("set_key").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"))
     classes = stored(sized.select("set_key", F.xxhash64("set_key").alias("cid"), F.col("rep.doc_id").alias("class_id"), F.col("rep.text_key").alias("text_key"), "n", "size"), "jaccard-classes")
     same = sets["doc_id"].eqNullSafe(classes["class_id"]) & (sets["text_key"] == classes["text_key"])
-    band = sets.join(classes, same).select("cid", F.explode("bands").alias("band")).distinct()
+    band = sets.join(classes, same).select("cid", F.explode("bands").alias("band"))
     leads = band.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("band", "lead")
     ties = band.join(leads, "band").where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
     member = components(ties).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
@@ -274,7 +274,9 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
     blocks = dealt.withColumn("other", other).select("cid", "n", "comp", low.alias("bi"), high.alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "class_id", "text_key")
-    texts = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_key"), "text")
+    # only candidates' texts are moved: their keys are broadcast while they are few, and joined by a shuffle beyond
+    wanted = bounded(member.select(F.col("text_key").alias("of_key")).distinct())
+    texts = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_key"), "text").join(wanted, "of_key", "left_semi")
     ready = blocks.join(texts, (F.col("text_key") == F.col("of_key")) & F.col("class_id").eqNullSafe(F.col("of"))).select("cid", "n", "side", "comp", "bi", "bj", "text")
     ready = ready.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "cid")
     met = stored(arrow(ready, lambda b: _met(b, n, threshold), "cid bigint, root bigint, links bigint, classes bigint"), "jaccard-links")
