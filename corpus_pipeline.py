@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import decontam, jaccard, secrets, sentencepiece_codec, toxicity
-from lodeweave.llm._store import stored
+from lodeweave.llm._store import bounded, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Documents at or above this score go. Higher than the operator's own threshold, to keep clean documents.
@@ -30,10 +30,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document with the smallest doc_id of each group; repeated rows of it become one."""
     found = jaccard.near_duplicates(docs.select("doc_id", "text"))
     ids = stored(found.groupBy("doc_id").agg(F.max(F.col("group_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"), "pipeline-ids")
-    kept = docs.select(*COLUMNS).join(decontam.bounded(ids.where("goes").select("doc_id")), "doc_id", "left_anti")
+    kept = docs.select(*COLUMNS).join(bounded(ids.where("goes").select("doc_id")), "doc_id", "left_anti")
     twice = ids.where("not goes").select("doc_id")
     if twice.limit(1).count():
-        twice = decontam.bounded(twice)
+        twice = bounded(twice)
         kept = kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return kept.select(*COLUMNS)
 
@@ -42,7 +42,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Drops documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id").distinct(), "pipeline-ids")
-    return docs.select(*COLUMNS).join(decontam.bounded(bad), "doc_id", "left_anti").select(*COLUMNS)
+    return docs.select(*COLUMNS).join(bounded(bad), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

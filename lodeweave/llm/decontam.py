@@ -93,9 +93,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, slop:
     index = postings(rows, items.select(F.explode("words").alias("term")).distinct())
     found = matches(index, rarest(items, index, n), slop)
     near = found.groupBy("key").agg(F.count_distinct("item").alias("n_near"))
-    phrases = found.where("exact").join(bounded(items), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("iw"))).alias("c"))
+    # an item holds some tens of words: the bound of its broadcast is so much lower
+    phrases = found.where("exact").join(bounded(items, 20 * items.count()), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "shift", F.col("words").alias("iw"))).alias("c"))
     per_doc = stored(near.join(phrases, "key", "left"), "decontam-docs")
-    joined = rows.join(bounded(per_doc), "key", "left")
+    # keys are broadcast while they are few; what they carry is joined by a shuffle of the documents that have any
+    keys = bounded(per_doc.select("key"))
+    some = rows.join(keys, "key", "left_semi").join(per_doc, "key")
+    none = rows.join(keys, "key", "left_anti").select(*(F.col(c) if c in rows.columns else F.lit(None).cast(some.schema[c].dataType).alias(c) for c in some.columns))
+    joined = some.union(none)
     size = lambda c: F.least(F.size(c["iw"]), F.lit(n))
 
     def let(value: Column, body) -> Column:
