@@ -38,12 +38,17 @@ from pyspark.sql import types as T
 from lodeweave.llm import _bytes
 from lodeweave.llm._store import arrow
 
+try:
+    import ahocorasick
+except ImportError:  # then pieces are looked up one by one
+    ahocorasick = None
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 #: Entries of a worker's caches at most: stretches (about 250 bytes each) and pairs of pieces (about 120).
-_CACHE = 200_000
+_CACHE = 400_000
 _PAIRS = 500_000
 _UNKNOWN_PENALTY = 10.0
 
@@ -95,23 +100,40 @@ class Model:
         stop = f"[{alone}]|" if alone else ""
         #: What lies between borders that no piece crosses.
         self.stretch = re.compile(r".+" if crossing else f"{stop}{BLANK}*[^{BLANK}{alone}]+|{BLANK}+", re.S)
+        #: Neighbours within pieces: between any other two characters all paths meet.
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        order = {x: i for i, x in enumerate(sorted({p[1] for p in self.pieces}, reverse=True))}
+        self.rank = {p: order[self.pieces[i][1]] for p, i in self.ids.items()}
+        self.automaton = None
+        if ahocorasick is not None and self.ids:
+            self.automaton = ahocorasick.Automaton()
+            for piece, i in self.ids.items():
+                self.automaton.add_word(piece, (len(piece), i))
+            self.automaton.make_automaton()
+        self.halves: dict[str, tuple[str, str]] = {}
         self.fits: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
 
     def merged(self, text: str) -> list[int]:
         """Ids by merging neighbours, the best score first and the leftmost of equals; of a short text."""
-        parts = list(text)
+        return [self.ids.get(p, -1) for p in self._merge(text)[0]]
+
+    def _merge(self, text: str) -> tuple[list[str], tuple[str, str] | None]:
+        """What merging leaves, and the last two parts that were joined."""
+        parts, last = list(text), None
         while True:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                found = self.ids.get(parts[i] + parts[i + 1])
-                if found is not None and (best is None or self.pieces[found][1] > best):
-                    best, at = self.pieces[found][1], i
+                rank = self.rank.get(parts[i] + parts[i + 1])
+                if rank is not None and (best is None or rank < best):
+                    best, at = rank, i
             if best is None:
-                return [self.ids.get(p, -1) for p in parts]
+                return parts, last
+            last = (parts[at], parts[at + 1])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def compatible(self, left: int, right: int) -> bool:
+        """Whether the joint text of two pieces would be merged into just these two."""
         if left < 0 or right < 0:
             return True
         key = left << 32 | right
@@ -119,9 +141,37 @@ class Model:
         if fits is None:
             if len(self.fits) > _PAIRS:
                 self.fits.clear()
-            fits = self.fits[key] = self.merged(self.pieces[left][0] + self.pieces[right][0]) == [left, right]
+            fits = self.fits[key] = self._apart(self.pieces[left][0], self.pieces[right][0])
         return fits
 
+    def _apart(self, a: str, b: str) -> bool:
+        """Goes back in time from both pieces: at no moment may what touches at the border have been merged.
+
+        A symbol exists from the rank of the merge that made it until the next one; the border's own merge comes
+        first if its rank is lower, or equal and further to the left. Runs of blanks, whose ranks are equal, are
+        merged for a check instead.
+        """
+        if not a.strip(BLANK) or not b.strip(BLANK):
+            return self._merge(a + b)[0] == [a, b]
+        until = len(self.pieces)
+        while True:
+            met = self.rank.get(a + b)
+            if met is not None and met < until:
+                return False
+            made_a = self.rank[a] if len(a) > 1 else -1
+            made_b = self.rank[b] if len(b) > 1 else -1
+            if made_a < 0 and made_b < 0:
+                return True
+            if made_a > made_b:
+                until, a = made_a, self._halves(a)[1]
+            else:
+                until, b = made_b + 1, self._halves(b)[0]
+
+    def _halves(self, piece: str) -> tuple[str, str]:
+        if piece not in self.halves:
+            self.halves[piece] = self._merge(piece)[1]
+        return self.halves[piece]
+
     def own(self, piece: int) -> bool:
         """Whether merging gives the piece for its own text."""
         if piece not in self.whole:
@@ -148,27 +198,41 @@ def load(data: bytes) -> Model:
     return Model(pieces, kind, dummy)
 
 
+def _ends(model: Model, text: str) -> Iterator[list[tuple[int, int]]]:
+    """For each position after the first, (begin, id) of the pieces that end there, the longest first; -1: no piece."""
+    at, found = 1, []
+    if model.automaton is not None:
+        for last, (size, i) in model.automaton.iter(text):
+            while at <= last:
+                yield found if found and found[-1][0] == at - 1 else [*found, (at - 1, -1)]
+                at, found = at + 1, []
+            found.append((last + 1 - size, i))
+    else:
+        for at in range(1, len(text) + 1):
+            found = [(b, model.ids[text[b:at]]) for b in range(max(0, at - model.longest), at) if text[b:at] in model.ids]
+            if at < len(text):
+                yield found if found and found[-1][0] == at - 1 else [*found, (at - 1, -1)]
+    for at in range(at, len(text) + 1):
+        yield found if found and found[-1][0] == at - 1 else [*found, (at - 1, -1)]
+        found = []
+
+
 def search(model: Model, text: str) -> Iterator[tuple[int, str]]:
     """(id or -1, its text) of each piece, committed as soon as all surviving paths agree on it."""
-    reach, ids, pieces = model.longest, model.ids, model.pieces
+    reach, pieces = model.longest, model.pieces
     back: dict[int, tuple[int, int]] = {}  # end -> (begin, id), only of the window and what isn't committed
     total = {0: 0.0}
     done = 0
-    for end in range(1, len(text) + 1):
+    bpe = model.kind == BPE
+    for end, fits in enumerate(_ends(model, text), 1):
         best = None
-        for begin in range(max(0, end - reach), end):
-            found = ids.get(text[begin:end])
-            if found is None:
-                if begin < end - 1:
-                    continue
-                found = -1
-            if model.kind == BPE:
-                if found >= 0 and end - begin > 1 and not model.own(found):
-                    continue
-                if begin == 0 or model.compatible(back[begin][1], found):
+        if bpe:
+            for begin, found in fits:
+                if (end - begin == 1 or model.own(found)) and (begin == 0 or model.compatible(back[begin][1], found)):
                     back[end] = (begin, found)
                     break
-            else:
+        else:
+            for begin, found in fits:
                 score = total[begin] + (pieces[found][1] if found >= 0 else model.worst)
                 if best is None or score > best:
                     best = score
@@ -199,13 +263,26 @@ def _path(back: dict[int, tuple[int, int]], text: str, begin: int, end: int) ->
     return out[::-1]
 
 
+_encoders: dict[bytes, Encoder] = {}
+
+
+def encoder_of(data: bytes) -> Encoder:
+    """This process's encoder of a model: workers are used again, and so is what they have found."""
+    if data not in _encoders:
+        _encoders.clear()
+        _encoders[data] = Encoder(load(data))
+    return _encoders[data]
+
+
 class Encoder:
     """Ids of texts as bytes of 32-bit numbers, with a bounded cache of stretches."""
 
     def __init__(self, model: Model):
-        self.model, self.cache = model, {}
+        self.model = model
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _stretch(self, text: str) -> bytes:
+    def _searched(self, text: str) -> bytes:
         m, out = self.model, []
         unknown = False
         for found, piece in search(m, text):
@@ -213,25 +290,39 @@ class Encoder:
                 out.append(found)
             elif m.bytes:
                 out += [m.bytes[b] for b in piece.encode()]
-            else:
-                if not unknown:
-                    out.append(m.unknown)
+            elif not unknown:
+                out.append(m.unknown)
             unknown = found < 0 and not m.bytes
         return np.array(out, np.int32).tobytes()
 
+    def _kept(self, text: str, make) -> bytes:
+        """From the cache, of which the half that wasn't used lately goes when it is full."""
+        got = self.old.get(text)
+        if got is None:
+            got = make(text)
+        if len(text) <= 64:
+            if len(self.new) > _CACHE // 2:
+                self.old, self.new = self.new, {}
+            self.new[text] = got
+        return got
+
+    def _stretch(self, text: str) -> bytes:
+        inner = self.model.inner
+        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner] if self.model.bytes else []
+        if not cuts:
+            return self._searched(text)
+        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
+        return b"".join(self.new.get(p) or self._kept(p, self._searched) for p in parts)
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        cache = self.cache
-        if len(cache) > _CACHE:
-            cache.clear()
-        out = []
+        new, out = self.new, []
         for s in self.model.stretch.findall((BLANK if self.model.dummy_prefix else "") + text.replace(" ", BLANK)):
-            got = cache.get(s)
+            got = new.get(s)
             if got is None:
-                got = self._stretch(s)
-                if len(s) <= 64:
-                    cache[s] = got
+                got = self._kept(s, self._stretch)
+                new = self.new
             out.append(got)
         return b"".join(out)
 
@@ -277,7 +368,7 @@ def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", name: s
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(load(data))
+        encoder = encoder_of(data)
         for batch in batches:
             for part in _bytes.slices(batch, text):
                 found = [encoder(x or "") for x in part.column(text).to_pylist()]
