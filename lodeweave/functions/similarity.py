@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +69,8 @@ def hybrid_jaccard(left: Column, right: Column, least: float = 0.5) -> Column:
 
 def jaro_winkler(left: Column, right: Column) -> Column:
     """Jaro-Winkler similarity, for each Arrow batch in Python: Spark has no such function."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("double")
+    @F.pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(s, t):
             if s is None or t is None:

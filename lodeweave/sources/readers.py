@@ -206,7 +206,9 @@ def load_user(spark: SparkSession, data: DataFrame | str) -> DataFrame:
     path = data if data.endswith("datasetDoc.json") else f"{data.rstrip('/')}/datasetDoc.json"
     doc = json.loads(_whole(spark, path))
     resources = doc["dataResources"]
-    entry = next((r for r in resources if "https://metadata.datadrivendiscovery.org/types/DatasetEntryPoint" in (r.get("resType"), *r.get("tags", []))), None) or next((r for r in resources if r.get("resID") in ("learningData", "0")), resources[0])
+    tagged = [r for r in resources if "https://metadata.datadrivendiscovery.org/types/DatasetEntryPoint" in (r.get("resType"), *r.get("tags", []))]
+    named = [r for name in ("learningData", "0") for r in resources if r.get("resID") == name]
+    entry = [*tagged, *named, *resources][0]
     return read_csv(spark, f"{path.rsplit('/', 1)[0]}/{entry['resPath']}")
 
 
