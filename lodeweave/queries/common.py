@@ -34,7 +34,8 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.struct(F.lit("general").alias("source"), F.create_map(F.lit("url"), F.lit(f"http://data.example.org/{t}.csv"), F.lit("index"), F.lit(entity)).alias("arguments")).alias("materialization"),
         )).alias("line")).select(F.from_json("line", store.SCHEMA).alias("d")).select("d.*")
         out = made if out is None else out.unionByName(made)
-    return out
+    # a description is a row: what is collected has len(CATALOG) rows, and later plans start from a finished catalog
+    return spark.createDataFrame(out.collect(), store.SCHEMA)
 
 
 def _variables_sql() -> str:
