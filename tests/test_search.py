@@ -3,7 +3,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from lodeweave import api
 from lodeweave.operators import catalog, search
