@@ -25,7 +25,6 @@ from __future__ import annotations
 
 import gzip
 import hashlib
-import io
 import uuid
 import zlib
 from collections.abc import Iterator

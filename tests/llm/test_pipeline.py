@@ -1,12 +1,10 @@
 """The pipeline's stages on a small corpus, each against what it is for."""
 
-import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeweave.llm import toxicity
 
 COLUMNS = corpus_pipeline.COLUMNS
 
