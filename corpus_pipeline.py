@@ -16,14 +16,12 @@ from lodeweave.llm import decontam, jaccard, secrets, sentencepiece_codec, toxic
 from lodeweave.llm._store import bounded, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Documents at or above this score go. Higher than the operator's own threshold, to keep clean documents.
-TOXIC = 0.5
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that the model holds toxic; it learns from ``labels`` and the stage's own input."""
+    """Drops documents that the operator predicts toxic; it learns from ``labels`` and the stage's own input."""
     model = toxicity.fit_tables(spark, docs, sf_dir)
-    return toxicity.score(docs.select(*COLUMNS), model, "_toxicity").where(F.col("_toxicity") < TOXIC).select(*COLUMNS)
+    return toxicity.score(docs.select(*COLUMNS), model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """The pipeline's stages on a small corpus, each against what it is for."""
 
+import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from lodeweave.llm import toxicity
 
 COLUMNS = corpus_pipeline.COLUMNS
 
@@ -56,3 +59,11 @@ def test_repeated_rows_and_empty(spark, corpus):
     assert corpus_pipeline.near_duplicates(spark, twice, corpus).groupBy("doc_id").count().where("count > 1").count() == 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), corpus).count() == 0
+
+
+def test_toxic_drops_what_the_operator_predicts(spark, corpus, monkeypatch):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    for score, left in ((0.29, docs.count()), (0.31, 0), (0.49, 0)):
+        model = toxicity.Model(np.array([], np.int32), np.array([], np.float32), math.log(score / (1 - score)))
+        monkeypatch.setattr(toxicity, "fit_tables", lambda *_: model)
+        assert corpus_pipeline.toxic(spark, docs, corpus).count() == left
