@@ -214,7 +214,9 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterato
         ids, weights, sides = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.array([x[2] for x in held])
         sets, sigs = [x[3] for x in held], np.stack([signature(x[3], a) for x in held])
         l, r = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        same = not len(r)
+        same = now[1] == now[2]
+        if not same and not (len(l) and len(r)):  # one of the two buckets is empty: its other pairs are of the diagonal blocks
+            return
         r = l if same else r
         left = [sets[i] for i in l]
         pairs = linked(left, left if same else [sets[j] for j in r], sigs[l], sigs[r], same, threshold)

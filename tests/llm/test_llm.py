@@ -442,6 +442,17 @@ def test_jaccard_against_brute_force(spark, monkeypatch, block):
     assert got == brute_links(rows)
 
 
+def test_jaccard_blocks_with_an_empty_bucket(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 30)
+    rows = []
+    for g in range(16):
+        base = " ".join(f"g{g}w{k}" for k in range(44))
+        rows += [(2 * g, base, None), (2 * g + 1, base + " tail", None)]
+    got = {x.doc_id: tuple(x)[1:] for x in jaccard.near_duplicates(frame(spark, rows)).collect()}
+    assert got == brute_links(rows)
+    assert all(n_links == 1 and n_classes == 1 for _, _, n_links, n_classes, _ in got.values())
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "a"), (1, text, "b"), (1, "other words that are not alike at all", "c"), (None, text, None), (None, "a b c d e f g", None), (2, None, None)]
