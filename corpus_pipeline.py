@@ -24,23 +24,31 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select(*COLUMNS), model, "_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*COLUMNS)
 
 
+def without(docs: DataFrame, rows: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` that aren't among ``rows`` (doc_id, text_key), null ids compared as values; ``how``: left_semi for those that are."""
+    gone = bounded(rows.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_text_key")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text_key"))
+    return docs.select(*COLUMNS).join(gone, same, how)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group; repeated rows of it become one."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"))
-    ids = stored(found.groupBy("doc_id").agg(F.max(F.col("group_id") != F.col("doc_id")).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"), "pipeline-ids")
-    kept = docs.select(*COLUMNS).join(bounded(ids.where("goes").select("doc_id")), "doc_id", "left_anti")
-    twice = ids.where("not goes").select("doc_id")
+    """Keeps the document with the smallest doc_id of each group; repeated rows (equal id and text) become one."""
+    found = jaccard.keyed_duplicates(docs.select("doc_id", "text"))
+    goes = ~(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("text_key") == F.col("group_key")))
+    rows = stored(found.groupBy("doc_id", "text_key").agg(F.max(goes).alias("goes"), F.count("*").alias("n")).where("goes or n > 1"), "pipeline-rows")
+    kept = without(docs, rows.where("goes"))
+    twice = rows.where("not goes")
     if twice.limit(1).count():
-        twice = bounded(twice)
-        kept = kept.join(twice, "doc_id", "left_anti").union(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        one = without(kept, twice, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("x")).select("doc_id", "text", "x.*")
+        kept = without(kept, twice).union(one)
     return kept.select(*COLUMNS)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id").distinct(), "pipeline-ids")
-    return docs.select(*COLUMNS).join(bounded(bad), "doc_id", "left_anti").select(*COLUMNS)
+    bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id", F.xxhash64("text").alias("text_key")).distinct(), "pipeline-rows")
+    return without(docs, bad)
 
 
 def secret(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

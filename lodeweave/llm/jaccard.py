@@ -260,6 +260,13 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     other rows whose similarity reaches the threshold, copies included; n_linked_classes: other classes
     linked; group_id: the smallest doc_id that links lead to.
     """
+    return keyed_duplicates(docs, n, threshold).drop("text_key", "group_key")
+
+
+def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+    """``near_duplicates`` with text_key, a 64-bit hash of the row's text, and group_key, that of the text which
+    represents its group: ids may be null or several rows' own, so (group_id, group_key) names the one that stays.
+    """
     sets = signatures(docs, n)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     sized = sets.where("set_key is not null").groupBy("set_key").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"))
@@ -284,12 +291,15 @@ def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -
     met = stored(arrow(ready, lambda b: _met(b, n, threshold), "cid bigint, root bigint, links bigint, classes bigint"), "jaccard-links")
     links = met.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
     roots = components(met.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
-    named = roots.join(classes.select("cid", "class_id"), "cid")
-    groups = named.join(named.groupBy("root").agg(F.min("class_id").alias("group_id")), "root").select("cid", "group_id")
-    done = stored(classes.select("set_key", "cid", "class_id", "n").join(links, "cid", "left").join(groups, "cid", "left"), "jaccard-done")
-    out = sets.select("doc_id", "set_key").join(done, "set_key", "left")
+    named = roots.join(classes.select("cid", "class_id", F.col("text_key").alias("class_key")), "cid")
+    groups = named.join(named.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_key")).alias("lead")), "root").select("cid", "lead")
+    classed = classes.select("set_key", "cid", "class_id", F.col("text_key").alias("class_key"), "n")
+    lead = F.coalesce("lead", F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_key"))
+    done = classed.join(links, "cid", "left").join(groups, "cid", "left").withColumn("lead", lead)
+    done = stored(done.select("set_key", "class_id", "n", "links", "classes", F.col("lead.class_id").alias("group_id"), F.col("lead.class_key").alias("group_key")), "jaccard-done")
+    out = sets.select("doc_id", "text_key", "set_key").join(done, "set_key", "left")
     own, copies = F.coalesce("class_id", "doc_id"), F.coalesce("n", F.lit(1))
-    return out.select("doc_id", own.alias("class_id"), copies.alias("n_copies"), (F.coalesce("links", F.lit(0)) + copies - 1).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_linked_classes"), F.coalesce("group_id", own).alias("group_id"))
+    return out.select("doc_id", own.alias("class_id"), copies.alias("n_copies"), (F.coalesce("links", F.lit(0)) + copies - 1).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_linked_classes"), F.coalesce("group_id", own).alias("group_id"), "text_key", F.coalesce("group_key", "text_key").alias("group_key"))
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -67,3 +67,22 @@ def test_toxic_drops_what_the_operator_predicts(spark, corpus, monkeypatch):
         model = toxicity.Model(np.array([], np.int32), np.array([], np.float32), math.log(score / (1 - score)))
         monkeypatch.setattr(toxicity, "fit_tables", lambda *_: model)
         assert corpus_pipeline.toxic(spark, docs, corpus).count() == left
+
+
+def test_rows_are_dropped_by_id_and_text(spark, corpus):
+    one, other, third = (" ".join(f"{p}{k}" for k in range(30)) for p in "abc")
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    rows = [
+        (1, one), (1, other), (1, one), (2, other + " tail"), (2, third), (3, item), (3, "clean " + one[::-1]), (4, third + " end"), (4, "fine"),
+        (None, one), (None, "no id " + item), (None, "no id twice here"), (None, "no id twice here"), (None, None), (5, None), (5, ""), (5, ""),
+        (6, " ".join(f"d{k}" for k in range(30))), (6, " ".join(f"d{k}" for k in range(31))),
+    ]
+    docs = spark.createDataFrame([(i, t, None if k % 2 else "en", "s", k) for k, (i, t) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    got = corpus_pipeline.near_duplicates(spark, docs, corpus)
+    gone = {(2, other + " tail"), (4, third + " end"), (None, one)}
+    two = pairs(got)
+    assert [p for p in two if p[0] == 6] in ([rows[-1]], [rows[-2]])
+    assert [p for p in two if p[0] != 6] == sorted({p for p in rows if p[0] != 6} - gone, key=repr)
+    clean = corpus_pipeline.contaminated(spark, docs, corpus)
+    assert pairs(clean) == sorted((p for p in rows if item not in (p[1] or "")), key=repr)
