@@ -48,8 +48,12 @@ IDENTIFIER_WORDS = (
 ).split()
 
 
+#: Characters of which ordinary rulers are made, each repeated.
+RULED = "".join(map(chr, range(48, 58))) + "".join(chr(c + k) for c in range(97, 123) for k in (0, -32)) + "+/_=-"
+
+
 def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
-    """(text, label): n random strings of three alphabets and n identifiers of three styles, all from a rule."""
+    """(text, label): n random strings of three alphabets, and n ordinary texts (identifiers of four styles, rulers of one character), all from a rule."""
     ids = spark.range(n, numPartitions=1)
     digest = F.sha2(F.concat(F.lit("sample-"), F.col("id").cast("string")).cast("binary"), 256)
     base = F.base64(F.unhex(digest))
@@ -62,7 +66,9 @@ def samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     four = [word(k) for k in range(4)]
     snake, camel = F.concat_ws("_", *four), F.concat(four[0], *(F.initcap(w) for w in four[1:]))
     path = F.concat(F.concat_ws("/", *four), F.lit("-"), F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(100)).cast("string"))
-    named = F.when(F.col("id") % 3 == 0, snake).when(F.col("id") % 3 == 1, camel).otherwise(path)
+    ruler = F.repeat(F.substring(F.lit(RULED), (F.floor(F.col("id") / 5) % len(RULED) + 1).cast("int"), F.lit(1)), F.lit(20))
+    style = F.col("id") % 5
+    named = F.when(style == 0, snake).when(style == 1, camel).when(style == 2, F.upper(snake)).when(style == 3, ruler).otherwise(path)
     return ids.select(mixed.alias("text"), F.lit(1).alias("label")).union(ids.select(named, F.lit(0)))
 
 
@@ -136,11 +142,7 @@ def scan(docs: DataFrame, table: list[float], text: str = "text", threshold: flo
     )
     found = found.withColumn("base_spans", F.array_sort(base))
 
-    def random(v: Column) -> Column:
-        varied = v.rlike("[0-9]") & v.rlike("[A-Za-z]") & (F.size(F.array_distinct(F.split(v, ""))) >= 10)
-        return F.when(varied, ratio(v, table) >= threshold).otherwise(F.lit(False))
-
-    more = _placed(t, TOKEN, 3, F.transform("_token", random), F.col("_token"))
+    more = _placed(t, TOKEN, 3, F.transform("_token", lambda v: ratio(v, table) >= threshold), F.col("_token"))
     apart = F.filter(more, lambda m: ~F.exists("base_spans", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     return found.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).select(*(F.col(f"`{c}`") for c in docs.columns), "base_spans", "spans")
 

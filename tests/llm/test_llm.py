@@ -388,6 +388,19 @@ def test_models_tell_random_from_ordinary(spark):
     assert secrets.train(held.limit(0).select("text", "label")) == [0.0] * 128 * 128
 
 
+def test_scan_lets_the_ratio_decide(spark):
+    r = random.Random(19)
+    table = secrets.train(secrets.samples(spark))
+    letters, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"letters": letters + letters.upper(), "lower": letters, "digits": digits, "hex": digits + "abcdef", "all": letters + letters.upper() + digits}
+    texts = [(k, "see " + "".join(r.choice(a) for _ in range(22)) + " here") for k, a in alphabets.items() for _ in range(300)]
+    pick = lambda sep: sep.join(r.choice(secrets.IDENTIFIER_WORDS) for _ in range(5))
+    texts += [("ordinary", x) for _ in range(100) for x in (pick("_"), pick("_").upper(), pick("/"), pick(""))] + [("ordinary", c * n) for c in "-=_/+aX0" for n in (20, 90)]
+    got = Counter(x.kind for x in secrets.scan(spark.createDataFrame(texts, "kind string, text string"), table).where(F.exists("spans", lambda s: s["kind"] == 3)).collect())
+    assert got["all"] == got["hex"] == 300 and got["letters"] > 290 and got["lower"] > 270 and got["digits"] > 230
+    assert got["ordinary"] <= 4
+
+
 # Jaccard join
 
 
