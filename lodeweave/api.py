@@ -13,15 +13,13 @@ from lodeweave.operators import joins, profile, search as predicates
 from lodeweave.plans import dsl, features
 from lodeweave.sources import readers
 
-ENTITIES = 1000
 
-
-def generate_metadata(df: DataFrame, description: dict | None = None, entities: int = ENTITIES) -> dict:
+def generate_metadata(df: DataFrame, description: dict | None = None, entities: int | None = None) -> dict:
     """P-05 to P-08, P-11, B-04 to B-06: a description of a table; what is given wins, the profile fills gaps.
 
     A variable whose ``named_entity`` or ``temporal_coverage`` is given as None is profiled; one without
-    the key is profiled only if it has no description either. At most ``entities`` values a column are listed
-    (in their order), since a description is one row.
+    the key is profiled only if it has no description either. All values of a column are listed, in their order,
+    or the first ``entities`` where a number is given.
     """
     given = dict(description or {})
     types = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -33,7 +31,8 @@ def generate_metadata(df: DataFrame, description: dict | None = None, entities:
     asked = [c for c in strings if (c in able and wants(c, "named_entity")) or variables.get(c, {}).get("named_entity", "") is None]
     values: dict[str, list[str]] = {c: [] for c in asked}
     for c in asked:
-        values[c] = [r["value"] for r in profile.entity_values(df, [c]).orderBy("value").limit(entities).collect()]
+        found = profile.entity_values(df, [c]).orderBy("value")
+        values[c] = [r["value"] for r in (found if entities is None else found.limit(entities)).toLocalIterator()]
     dated = [c for c in [*strings, *times] if wants(c, "temporal_coverage")]
     coverage = {r["column"]: {"start": r["start"], "end": r["end"]} for r in profile.temporal_coverage(df, dated).collect()} if dated else {}
     out = []

@@ -109,3 +109,10 @@ def test_one_job_without_python(people):
     for df in (profile.missing(people), profile.spaces(people), profile.targets(people), profile.temporal_coverage(people, ["Date"])):
         text = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and text.count("Exchange") <= 2
+
+
+def test_description_lists_all_values(spark):
+    names = spark.range(2500).select(F.concat(F.lit("Anna "), F.translate(F.lpad(F.col("id").cast("string"), 4, "0"), "0123456789", "abcdefghij")).alias("who"))
+    v = api.generate_metadata(names, {"variables": [{"name": "who", "named_entity": None}]})["variables"][0]
+    assert v["named_entity"] == sorted(r.who for r in names.collect())
+    assert api.generate_metadata(names, {"variables": [{"name": "who", "named_entity": None}]}, 10)["variables"][0]["named_entity"] == v["named_entity"][:10]
