@@ -1,4 +1,4 @@
-"""Readers by name, with constraints and implicit variables (S-01 to S-22), and the CSV sink (K-01, K-05)."""
+"""Readers by name, with constraints and implicit variables (S-01 to S-22 without S-10 and S-11), and the CSV sink (K-01, K-05)."""
 
 from __future__ import annotations
 
