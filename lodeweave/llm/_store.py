@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _KEY = "spark.checkpoint.dir"
-#: Rows that a broadcast table of a few narrow columns may have.
+#: Rows and bytes (as JSON, which is no shorter than Spark's rows by much) that a broadcast table may have.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 32 << 20
 _shipped: set[str] = set()
 
 
@@ -42,10 +43,13 @@ def arrow(df: DataFrame, func: Callable, schema: str | T.StructType) -> DataFram
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests, one machine) is a local folder made and set.
+    Where that setting is missing, a local folder is made and set on one machine (a local master, as in
+    tests); on a cluster RuntimeError is raised, since its machines share no local folder.
     """
     found = spark.conf.get(_KEY, None) or spark.sparkContext.getConf().get(_KEY, None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{_KEY} isn't set: name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
         spark.conf.set(_KEY, found)
     return found.rstrip("/")
@@ -55,16 +59,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: a cut in the lineage
-    that outlives lost executors."""
+    that outlives lost executors. ``forget`` deletes it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes stored tables that nothing reads any more."""
+    for df in tables:
+        if path := df.__dict__.pop("_stored_at", None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -74,6 +84,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def bounded(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most BROADCAST_ROWS rows and BROADCAST_BYTES bytes."""
+    row = F.octet_length(F.to_json(F.struct(*(F.hex(c) if t == "binary" else F.col(c) for c, t in df.dtypes)))).cast("bigint")
+    n, size = df.agg(F.count("*"), F.coalesce(F.sum(row), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and size <= BROADCAST_BYTES else df
