@@ -47,7 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id", F.xxhash64("text").alias("text_key")).distinct(), "pipeline-rows")
+    bad = stored(decontam.decontaminate(docs.select("doc_id", "text"), benchmark).where("n_hit > 0").select("doc_id", "text_key").distinct(), "pipeline-rows")
     return without(docs, bad)
 
 
