@@ -4,17 +4,20 @@
    shingle) and ``HASHES`` MinHash values, next to each other in one pass over the texts.
 2. Texts with equal sets are one class; its smallest doc_id represents it. Only classes go on, so
    exact copies, however many, cost one aggregation that is summed map-side.
-3. Classes that agree in a band of MinHash values are tied to the smallest class of that bucket: a
-   bucket of n gives n - 1 ties, never its pairs. The ties' connected components hold all candidates.
-4. Within a component all pairs are candidates, met in blocks of at most ``BLOCK`` x ``BLOCK`` classes: MinHash
+3. Classes that agree in a band of MinHash values fall into one bucket. Each is tied to the smallest class
+   of its buckets, about one tie a class, and the ties' connected components hold all candidates.
+4. Classes meet in units: a component of at most ``BLOCK`` classes is one unit, in which all pairs are
+   candidates; of a larger component (texts full of boilerplate run together in chains) each bucket is a unit, and a
+   pair counts in the first bucket that holds both. A unit is dealt in blocks of at most ``BLOCK`` x ``BLOCK`` classes. There MinHash
    values are compared ``STEP`` at a time, and a pair goes when the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``TOLERANCE``. What is left is verified exactly on
    the shingle sets. A block hands on, for each class, its number of links and one tie to the block's
-   component, never the pairs; a component of n classes is ceil(n / BLOCK) ** 2 / 2 blocks for as many tasks.
+   component, never the pairs; a unit of n classes is ceil(n / BLOCK) ** 2 / 2 blocks for as many tasks.
 
 What the numbers mean for recall: two classes that just reach 0.8 miss all ``BANDS`` bands with
-probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5 (1e-8 at 0.9), and only if no third class ties them;
-pruning loses at most TOLERANCE of what it drops.
+probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5 (1e-8 at 0.9), and in a small component only if no third
+class ties them; pruning loses at most TOLERANCE of what it drops. ``exact=True`` prunes nothing, so that the
+loss of the pruning can be measured.
 
 Cases: texts without words (null and empty ones too) have no shingles, no links and a class of their
 own; a null doc_id takes part as any other row under its text, and never represents a class that has
@@ -32,8 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import _bytes
-from lodeweave.llm._graph import components
-from lodeweave.llm._store import arrow, bounded, stored
+from lodeweave.llm._graph import components, starred
+from lodeweave.llm._store import arrow, bounded, forget, stored
 
 N = 5
 THRESHOLD = 0.8
@@ -162,11 +165,19 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray
     return total[at_l, at_r].astype(np.int64)
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, sig_r: np.ndarray, same: bool, threshold: float = THRESHOLD) -> np.ndarray:
-    """(i, j) of the pairs that reach the threshold; i < j if both sides are the ``same``."""
+def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, sig_r: np.ndarray, same: bool, threshold: float = THRESHOLD, band: int = -1, exact: bool = False) -> np.ndarray:
+    """(i, j) of the pairs that reach the threshold; i < j if both sides are the ``same``.
+
+    ``band``: the bucket's band, if the block is of a bucket; pairs that agree in an earlier one meet there.
+    """
     alive = np.triu(np.ones((len(left), len(right)), bool), 1) if same else np.ones((len(left), len(right)), bool)
+    for k in range(band):
+        agree = np.ones(alive.shape, bool)
+        for c in range(k * ROWS, (k + 1) * ROWS):
+            agree &= sig_l[:, c, None] == sig_r[None, :, c]
+        alive &= ~agree
     match = np.zeros(alive.shape, np.int16)
-    needed = least_matches(threshold)
+    needed = [] if exact else least_matches(threshold)
     for n, least in needed:
         if alive.sum() * 8 < alive.size:  # few are left: compare those alone
             i, j = np.nonzero(alive)
@@ -203,7 +214,7 @@ def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     return root
 
 
-def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterator[pa.RecordBatch]:
+def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float, exact: bool) -> Iterator[pa.RecordBatch]:
     """Links and ties of each block; a block's rows come one after another."""
     a = _coefficients(HASHES)
     held: list[tuple] = []
@@ -214,12 +225,12 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterato
         ids, weights, sides = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.array([x[2] for x in held])
         sets, sigs = [x[3] for x in held], np.stack([signature(x[3], a) for x in held])
         l, r = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
-        same = now[1] == now[2]
+        same = now[2] == now[3]
         if not same and not (len(l) and len(r)):  # one of the two buckets is empty: its other pairs are of the diagonal blocks
             return
         r = l if same else r
         left = [sets[i] for i in l]
-        pairs = linked(left, left if same else [sets[j] for j in r], sigs[l], sigs[r], same, threshold)
+        pairs = linked(left, left if same else [sets[j] for j in r], sigs[l], sigs[r], same, threshold, now[1], exact)
         i, j = l[pairs[:, 0]], r[pairs[:, 1]]
         links = np.bincount(i, weights[j], len(held)) + np.bincount(j, weights[i], len(held))
         classes = np.bincount(i, minlength=len(held)) + np.bincount(j, minlength=len(held))
@@ -237,14 +248,13 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterato
     for batch in batches:
         for part in _bytes.slices(batch, "text"):
             value, at = shingles(part.column("text"), n)
-            rows = zip(*(part.column(c).to_pylist() for c in ("cid", "n", "side", "comp", "bi", "bj")))
+            rows = zip(*(part.column(c).to_pylist() for c in ("cid", "n", "side", "unit", "band", "bi", "bj")))
             for k, (cid, weight, side, *key) in enumerate(rows):
                 if key != now and held:
                     block()
                     held.clear()
                 now = key
-                if not held or held[-1][0] != cid:  # equal rows of a repeated document come next to each other
-                    held.append((cid, weight, side, value[at[k] : at[k + 1]].copy()))
+                held.append((cid, weight, side, value[at[k] : at[k + 1]].copy()))
         if len(out) > 10_000:
             yield given()
     if held:
@@ -253,17 +263,17 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float) -> Iterato
         yield given()
 
 
-def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """doc_id, class_id, n_copies, n_links, n_linked_classes, group_id of each row of docs (doc_id, text).
 
     class_id: the smallest doc_id whose text has the same shingles; n_copies: rows of the class; n_links:
     other rows whose similarity reaches the threshold, copies included; n_linked_classes: other classes
     linked; group_id: the smallest doc_id that links lead to.
     """
-    return keyed_duplicates(docs, n, threshold).drop("text_key", "group_key")
+    return keyed_duplicates(docs, n, threshold, exact).drop("text_key", "group_key")
 
 
-def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
+def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, exact: bool = False) -> DataFrame:
     """``near_duplicates`` with text_key, a 64-bit hash of the row's text, and group_key, that of the text which
     represents its group: ids may be null or several rows' own, so (group_id, group_key) names the one that stays.
     """
@@ -272,31 +282,38 @@ def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD)
     sized = sets.where("set_key is not null").groupBy("set_key").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"))
     classes = stored(sized.select("set_key", F.xxhash64("set_key").alias("cid"), F.col("rep.doc_id").alias("class_id"), F.col("rep.text_key").alias("text_key"), "n", "size"), "jaccard-classes")
     same = sets["doc_id"].eqNullSafe(classes["class_id"]) & (sets["text_key"] == classes["text_key"])
-    band = sets.join(classes, same).select("cid", F.explode("bands").alias("band"))
-    leads = band.groupBy("band").agg(F.min("cid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("band", "lead")
-    ties = band.join(leads, "band").where("cid <> lead").select(F.col("cid").alias("a"), F.col("lead").alias("b"))
-    member = components(ties).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+    bands = sets.join(classes, same).select("cid", F.posexplode("bands").alias("band", "bucket"))
+    shared = bands.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("bucket", "lead")
+    buckets = stored(bands.join(shared, "bucket"), "jaccard-buckets")
+    member = components(starred(buckets.select(F.col("cid").alias("a"), F.col("lead").alias("b")))).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     member = stored(member.join(classes.drop("set_key"), "cid"), "jaccard-members")
+    small = member.groupBy("comp").agg(F.count("*").alias("members")).where(F.col("members") <= BLOCK).select("comp")
+    alone = member.join(small, "comp", "left_semi").select("cid", F.col("comp").alias("unit"), F.lit(-1).alias("band"))
+    large = member.join(small, "comp", "left_anti").select("cid")
+    units = alone.union(buckets.join(large, "cid", "left_semi").select("cid", "bucket", "band").distinct()).join(member.select("cid", "size"), "cid")
     # blocks: as many as keep each one within BLOCK classes and BLOCK_SHINGLES shingles on average
-    comps = member.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("m"))
-    dealt = member.join(comps, "comp").withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("m")).cast("int"))
+    sizes = units.groupBy("unit", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("m"))
+    dealt = units.join(sizes, ["unit", "band"]).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("m")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("m") - 1))
     low, high = F.least("mine", "other"), F.greatest("mine", "other")
-    blocks = dealt.withColumn("other", other).select("cid", "n", "comp", low.alias("bi"), high.alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"), "class_id", "text_key")
-    # only candidates' texts are moved: their keys are broadcast while they are few, and joined by a shuffle beyond
-    wanted = bounded(member.select(F.col("text_key").alias("of_key")).distinct())
-    texts = docs.select(F.col("doc_id").alias("of"), F.xxhash64("text").alias("of_key"), "text").join(wanted, "of_key", "left_semi")
-    ready = blocks.join(texts, (F.col("text_key") == F.col("of_key")) & F.col("class_id").eqNullSafe(F.col("of"))).select("cid", "n", "side", "comp", "bi", "bj", "text")
-    ready = ready.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "cid")
-    met = stored(arrow(ready, lambda b: _met(b, n, threshold), "cid bigint, root bigint, links bigint, classes bigint"), "jaccard-links")
+    blocks = dealt.withColumn("other", other).select("cid", "unit", "band", low.alias("bi"), high.alias("bj"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    # of a class one row's text alone is moved: such rows' keys are broadcast while they are few, and joined by a shuffle beyond
+    wanted = bounded(member.select("cid", "n", F.col("class_id").alias("of"), F.col("text_key").alias("of_key")))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    texts = rows.join(wanted, (F.col("key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of"))).select("cid", "n", "text").dropDuplicates(["cid"])
+    ready = blocks.join(texts, "cid").select("cid", "n", "side", "unit", "band", "bi", "bj", "text")
+    ready = ready.repartition("unit", "band", "bi", "bj").sortWithinPartitions("unit", "band", "bi", "bj", "cid")
+    met = stored(arrow(ready, lambda b: _met(b, n, threshold, exact), "cid bigint, root bigint, links bigint, classes bigint"), "jaccard-links")
+    forget(buckets, member)
     links = met.groupBy("cid").agg(F.sum("links").alias("links"), F.sum("classes").alias("classes"))
-    roots = components(met.select(F.col("cid").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("cid"), "root")
+    roots = components(starred(met.select(F.col("cid").alias("a"), F.col("root").alias("b")))).select(F.col("node").alias("cid"), "root")
     named = roots.join(classes.select("cid", "class_id", F.col("text_key").alias("class_key")), "cid")
     groups = named.join(named.groupBy("root").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_key")).alias("lead")), "root").select("cid", "lead")
     classed = classes.select("set_key", "cid", "class_id", F.col("text_key").alias("class_key"), "n")
     lead = F.coalesce("lead", F.struct(F.col("class_id").isNull().alias("none"), "class_id", "class_key"))
     done = classed.join(links, "cid", "left").join(groups, "cid", "left").withColumn("lead", lead)
     done = stored(done.select("set_key", "class_id", "n", "links", "classes", F.col("lead.class_id").alias("group_id"), F.col("lead.class_key").alias("group_key")), "jaccard-done")
+    forget(met, classes)
     out = sets.select("doc_id", "text_key", "set_key").join(done, "set_key", "left")
     own, copies = F.coalesce("class_id", "doc_id"), F.coalesce("n", F.lit(1))
     return out.select("doc_id", own.alias("class_id"), copies.alias("n_copies"), (F.coalesce("links", F.lit(0)) + copies - 1).alias("n_links"), F.coalesce("classes", F.lit(0)).alias("n_linked_classes"), F.coalesce("group_id", own).alias("group_id"), "text_key", F.coalesce("group_key", "text_key").alias("group_key"))

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeweave.llm import brown, chat, decontam, jaccard, secrets, sentencepiece_codec, sharding, topk, toxicity, warc
+from lodeweave.llm import _graph, brown, chat, decontam, jaccard, secrets, sentencepiece_codec, sharding, topk, toxicity, warc
 
 DOCS = "doc_id bigint, text string, extra string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -436,7 +436,7 @@ def brute_links(rows):
     return out
 
 
-@pytest.mark.parametrize("block", [1024, 16])
+@pytest.mark.parametrize("block", [1024, 16, 5])
 def test_jaccard_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(11)
@@ -466,6 +466,30 @@ def test_jaccard_blocks_with_an_empty_bucket(spark, monkeypatch):
     assert all(n_links == 1 and n_classes == 1 for _, _, n_links, n_classes, _ in got.values())
 
 
+def test_components_of_chains_and_stars(spark):
+    r = random.Random(12)
+    nodes = list(range(400))
+    r.shuffle(nodes)
+    ties = [(max(a, b), min(a, b)) for a, b in zip(nodes[:300], nodes[1:300])] + [(max(x, 500), min(x, 500)) for x in nodes[300:]] + [(7, 7)]
+    df = spark.createDataFrame(ties, "a bigint, b bigint")
+    for edges in (df, _graph.starred(df)):
+        got = {x.node: x.root for x in _graph.components(edges).collect()}
+        assert got == {x: min(nodes[:300]) for x in nodes[:300]} | {x: min(nodes[300:]) for x in [*nodes[300:], 500]}
+
+
+def test_jaccard_exact_mode(spark):
+    r = random.Random(13)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(40):
+        text = list(base)
+        for _ in range(r.randint(0, 4)):
+            text[r.randrange(len(text))] = f"x{r.randrange(1000)}"
+        rows.append((i, " ".join(text), None))
+    got = {x.doc_id: tuple(x)[1:] for x in jaccard.near_duplicates(frame(spark, rows), exact=True).collect()}
+    assert got == brute_links(rows)
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "a"), (1, text, "b"), (1, "other words that are not alike at all", "c"), (None, text, None), (None, "a b c d e f g", None), (2, None, None)]
