@@ -23,6 +23,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of words that are hashed at once: temporaries take some 40 times as much.
+_AT_ONCE = 1 << 18
 _powers = np.ones(1, np.uint64)
 
 
@@ -60,16 +62,28 @@ class Words:
         return np.repeat(np.arange(len(self.before) - 1), np.diff(self.before))
 
     def hashes(self, limit: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``limit`` bytes."""
+        """A 64-bit hash of each word, or of its first ``limit`` bytes; made ``_AT_ONCE`` bytes at a time, within a word too."""
         n = self.length if limit is None else np.minimum(self.length, limit)
-        if not len(n):
-            return np.empty(0, np.uint64)
-        first = np.cumsum(n) - n
-        within = np.arange(int(n.sum())) - np.repeat(first, n)
-        value = self.data[np.repeat(self.start, n) + within].astype(np.uint64)
-        value += np.uint64(1)
-        value *= powers(int(n.max()))[within]
-        return mix(np.add.reduceat(value, first) + n.astype(np.uint64))
+        out = np.empty(len(n), np.uint64)
+        ends = np.cumsum(n)
+        i = 0
+        while i < len(n):
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + _AT_ONCE, "right")))
+            some, first = n[i:j], ends[i:j] - n[i:j] - (ends[i] - n[i])
+            if j == i + 1 and n[i] > _AT_ONCE:
+                total = np.uint64(0)
+                for k in range(0, int(n[i]), _AT_ONCE):
+                    part = self.data[self.start[i] + k : self.start[i] + min(k + _AT_ONCE, int(n[i]))].astype(np.uint64) + np.uint64(1)
+                    total += (part * powers(_AT_ONCE)[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(int(_BASE), k, 1 << 64))
+                out[i] = total
+            else:
+                within = np.arange(int(some.sum())) - np.repeat(first, some)
+                value = self.data[np.repeat(self.start[i:j], some) + within].astype(np.uint64)
+                value += np.uint64(1)
+                value *= powers(int(some.max()))[within]
+                out[i:j] = np.add.reduceat(value, first)
+            i = j
+        return mix(out + n.astype(np.uint64)) if len(n) else out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -100,7 +114,7 @@ def words(column: pa.Array, kind: np.ndarray) -> Words:
     return Words(data, start, np.flatnonzero(closes) + 1 - start, np.searchsorted(start, at))
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``most`` bytes of text each (a longer text is a part of its own)."""
     column = batch.column(batch.schema.get_field_index(text))
     _, at = raw(column)

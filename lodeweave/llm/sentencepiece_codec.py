@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-A text is read once from left to right. For each position the best last piece is kept, from the last
-``longest piece`` positions alone; as soon as the paths back from all of them meet in one boundary, the
-ids before it are committed and forgotten, so a text of any length needs a window of bounded size.
+``search`` reads a text once from left to right. For each position the best last piece is kept, as a pointer
+back to where it begins; only the last ``longest piece`` positions can still be continued. Positions before
+that window which nothing continues are cut off, and as soon as the pointers of all that survive lead back
+to one boundary, the ids before it are committed and forgotten.
 
 What "best" means depends on the model's kind. A unigram model takes the path with the largest sum
 of scores. In a BPE model the path is the one whose neighbouring pieces are all compatible, that is,
@@ -10,22 +11,23 @@ their joint text would be merged into just these two; every prefix has exactly o
 what merging by score gives (so ids equal the SentencePiece library's, which plain score sums wouldn't).
 Characters without a piece become their bytes, or the unknown id.
 
-Where no piece crosses the border before a blank, paths always meet there; what lies between two
-borders is looked up in a bounded cache of what the search has found.
+Where no piece crosses the border before a blank, all paths meet there whatever stands around it: a text's
+stretches between such borders are searched on their own, equal ones of a slice of texts once. Stretches and their borders
+are found with numpy; a bounded cache keeps lately searched ones.
 
 Models are read from a .model file (its path is a parameter), parsed here; they are never trained.
 Only the identity normaliser is taken; any other raises ValueError.
 
 Cases: null and empty texts have no ids; ids out of range raise IndexError; a literal U+2581 in a text
 decodes to a blank, as in the library; bytes that aren't UTF-8 decode to U+FFFD; rows are independent of
-each other, so ties and repeated rows are of no concern; extra columns stay, and a column named like the
-new one raises ValueError; an empty table gives an empty result.
+each other, so ties and repeated rows are of no concern; extra columns stay, but one named like the
+new one is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
 import struct
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -47,9 +49,11 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 UNIGRAM, BPE = 1, 2
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
-#: Entries of a worker's caches at most: stretches (about 250 bytes each) and pairs of pieces (about 120).
-_CACHE = 400_000
-_PAIRS = 500_000
+#: Entries of a worker's caches at most: stretches (about 220 bytes each) and pairs of pieces (about 120).
+_CACHE = 100_000
+_PAIRS = 300_000
+#: Bytes of text that are encoded at once.
+_SLICE = 1 << 19
 _UNKNOWN_PENALTY = 10.0
 
 
@@ -95,13 +99,10 @@ class Model:
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == _UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == _BYTE}
         self.worst = min((p[1] for p in self.pieces if p[2] == _NORMAL), default=0.0) - _UNKNOWN_PENALTY
-        crossing = any(BLANK in p.lstrip(BLANK) for p in self.ids)
-        alone = "".join(re.escape(c) for c in "\t\n\r\x0b\x0c" if not any(c in p for p in self.ids))
-        stop = f"[{alone}]|" if alone else ""
-        #: What lies between borders that no piece crosses.
-        self.stretch = re.compile(r".+" if crossing else f"{stop}{BLANK}*[^{BLANK}{alone}]+|{BLANK}+", re.S)
-        #: Neighbours within pieces: between any other two characters all paths meet.
-        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Whether stretches between borders before blanks can be searched on their own.
+        self.cut = bool(self.bytes) and BLANK in self.ids and not any(BLANK in p.lstrip(BLANK) for p in self.ids)
+        #: ASCII white space that is within no piece: a border on both sides.
+        self.alone = [ord(c) for c in "\t\n\r\x0b\x0c" if not any(c in p for p in self.ids)]
         order = {x: i for i, x in enumerate(sorted({p[1] for p in self.pieces}, reverse=True))}
         self.rank = {p: order[self.pieces[i][1]] for p, i in self.ids.items()}
         self.automaton = None
@@ -179,8 +180,8 @@ class Model:
         return self.whole[piece]
 
 
-def load(data: bytes) -> Model:
-    """The model of a .model file's bytes."""
+def parsed(data: bytes) -> tuple[list[tuple[str, float, int]], int, bool]:
+    """Pieces, kind and whether a blank is put before texts, of a .model file's bytes."""
     pieces, kind, dummy = [], UNIGRAM, True
     for number, value in _fields(data):
         if number == 1:
@@ -195,7 +196,12 @@ def load(data: bytes) -> Model:
             dummy = bool(f.get(3, 1))
     if kind not in (UNIGRAM, BPE):
         raise ValueError("only unigram and BPE models are taken")
-    return Model(pieces, kind, dummy)
+    return pieces, kind, dummy
+
+
+def load(data: bytes) -> Model:
+    """The model of a .model file's bytes."""
+    return Model(*parsed(data))
 
 
 def _ends(model: Model, text: str) -> Iterator[list[tuple[int, int]]]:
@@ -219,48 +225,84 @@ def _ends(model: Model, text: str) -> Iterator[list[tuple[int, int]]]:
 
 def search(model: Model, text: str) -> Iterator[tuple[int, str]]:
     """(id or -1, its text) of each piece, committed as soon as all surviving paths agree on it."""
-    reach, pieces = model.longest, model.pieces
-    back: dict[int, tuple[int, int]] = {}  # end -> (begin, id), only of the window and what isn't committed
+    reach, pieces, bpe = model.longest, model.pieces, model.kind == BPE
+    back: dict[int, tuple[int, int]] = {}  # end -> (begin, id) of what isn't committed
+    kids = {0: [0, 0]}  # position -> number of the surviving positions that lead back to it, and their sum
     total = {0: 0.0}
-    done = 0
-    bpe = model.kind == BPE
+    root = 0
     for end, fits in enumerate(_ends(model, text), 1):
         best = None
         if bpe:
             for begin, found in fits:
-                if (end - begin == 1 or model.own(found)) and (begin == 0 or model.compatible(back[begin][1], found)):
-                    back[end] = (begin, found)
+                if (end - begin == 1 or model.own(found)) and (begin == 0 or model.compatible(back[begin][1] if begin in back else last, found)):
                     break
         else:
-            for begin, found in fits:
-                score = total[begin] + (pieces[found][1] if found >= 0 else model.worst)
+            for at, piece in fits:
+                score = total[at] + (pieces[piece][1] if piece >= 0 else model.worst)
                 if best is None or score > best:
-                    best = score
-                    back[end] = (begin, found)
-        if best is not None:
+                    best, begin, found = score, at, piece
             total[end] = best
             total.pop(end - reach, None)
-        if end % (4 * reach) == 0:
-            live = set(range(max(done, end - reach + 1), end + 1))
-            while len(live) > 1:  # the latest of the ends steps back until one is left
-                last = max(live)
-                live.remove(last)
-                live.add(back[last][0])
-            meet = live.pop()
-            yield from _path(back, text, done, meet)
-            for i in [i for i in back if i < min(meet, end - reach)]:
-                del back[i]
-            done = meet
-    yield from _path(back, text, done, len(text))
-
-
-def _path(back: dict[int, tuple[int, int]], text: str, begin: int, end: int) -> list[tuple[int, str]]:
+        back[end] = (begin, found)
+        kids[end] = [0, 0]
+        kids[begin][0] += 1
+        kids[begin][1] += end
+        gone = end - reach  # nothing that is still to come begins here or before
+        at = gone
+        while at > root and at in kids and not kids[at][0]:
+            before = back.pop(at)[0]
+            del kids[at]
+            kids[before][0] -= 1
+            kids[before][1] -= at
+            at = before
+        while root <= gone and kids[root][0] == 1:
+            to = kids.pop(root)[1]
+            last = back.pop(to)[1]
+            yield last, text[root:to]
+            root = to
+    path = []
+    end = len(text)
+    while end > root:
+        begin, found = back[end]
+        path.append((found, text[begin:end]))
+        end = begin
+    yield from reversed(path)
+
+
+def search_window(model: Model, text: str) -> list[int]:
+    """Ids (-1: a character without a piece) of a text no longer than the window, of a BPE model: as ``search``, but nothing can be committed before its end."""
+    n = len(text)
+    ids, begins = [-1] * (n + 1), [-1] * (n + 1)
+    fits, whole, upto = model.fits, model.whole, 0
+    for last, (size, found) in model.automaton.iter(text):
+        end = last + 1
+        if begins[end] >= 0:  # a longer piece holds here already
+            continue
+        while upto < last:
+            upto += 1
+            if begins[upto] < 0:
+                begins[upto] = upto - 1
+        begin = end - size
+        if size > 1:
+            own = whole.get(found)
+            if not (model.own(found) if own is None else own):
+                continue
+        left = ids[begin]
+        if begin and left >= 0:
+            fit = fits.get(left << 32 | found)
+            if not (model.compatible(left, found) if fit is None else fit):
+                continue
+        ids[end], begins[end] = found, begin
+    while upto < n:
+        upto += 1
+        if begins[upto] < 0:
+            begins[upto] = upto - 1
     out = []
-    while end > begin:
-        at, found = back[end]
-        out.append((found, text[at:end]))
-        end = at
-    return out[::-1]
+    while n:
+        out.append(ids[n])
+        n = begins[n]
+    out.reverse()
+    return out
 
 
 _encoders: dict[bytes, Encoder] = {}
@@ -275,15 +317,21 @@ def encoder_of(data: bytes) -> Encoder:
 
 
 class Encoder:
-    """Ids of texts as bytes of 32-bit numbers, with a bounded cache of stretches."""
+    """Ids of texts, with a bounded cache of stretches."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.new: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.new: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
-    def _searched(self, text: str) -> bytes:
+    def searched(self, text: str) -> bytes:
+        """The ids of a text whose blanks are U+2581, as bytes of 32-bit numbers."""
         m, out = self.model, []
+        if m.automaton is not None and m.kind == BPE and len(text) <= m.longest:
+            out = search_window(m, text)
+            if -1 not in out:
+                return array("i", out).tobytes()
+            out = []
         unknown = False
         for found, piece in search(m, text):
             if found >= 0:
@@ -293,41 +341,64 @@ class Encoder:
             elif not unknown:
                 out.append(m.unknown)
             unknown = found < 0 and not m.bytes
-        return np.array(out, np.int32).tobytes()
+        return array("i", out).tobytes()
 
-    def _kept(self, text: str, make) -> bytes:
+    def _kept(self, raw: bytes) -> bytes:
         """From the cache, of which the half that wasn't used lately goes when it is full."""
-        got = self.old.get(text)
+        got = self.old.get(raw)
         if got is None:
-            got = make(text)
-        if len(text) <= 64:
+            got = self.searched(raw.decode().replace(" ", BLANK))
+        if len(raw) <= 64:
             if len(self.new) > _CACHE // 2:
                 self.old, self.new = self.new, {}
-            self.new[text] = got
+            self.new[raw] = got
         return got
 
-    def _stretch(self, text: str) -> bytes:
-        inner = self.model.inner
-        cuts = [i for i in range(1, len(text)) if text[i - 1 : i + 1] not in inner] if self.model.bytes else []
-        if not cuts:
-            return self._searched(text)
-        parts = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
-        return b"".join(self.new.get(p) or self._kept(p, self._searched) for p in parts)
-
-    def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        new, out = self.new, []
-        for s in self.model.stretch.findall((BLANK if self.model.dummy_prefix else "") + text.replace(" ", BLANK)):
-            got = new.get(s)
-            if got is None:
-                got = self._kept(s, self._stretch)
-                new = self.new
-            out.append(got)
-        return b"".join(out)
-
-
-def surfaces(model: Model) -> pa.Array:
+    def batch(self, column: pa.Array) -> pa.ListArray:
+        """The ids of each text."""
+        data, at = _bytes.raw(column)
+        full = np.diff(at) > 0
+        if self.model.dummy_prefix:
+            data = np.insert(data, at[:-1][full], 0x20)
+            at = at + np.append(0, np.cumsum(full))
+        opens = self._borders(data)
+        opens[at[:-1][full]] = True
+        start = np.flatnonzero(opens)
+        words = _bytes.Words(data, start, np.diff(np.append(start, len(data))), np.searchsorted(start, at))
+        _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        raw, found = data.tobytes(), []
+        for i, n in zip(words.start[first].tolist(), words.length[first].tolist()):
+            key = raw[i : i + n]
+            found.append(self.new.get(key) or self._kept(key))
+        sizes = np.array([len(x) // 4 for x in found], np.int64)
+        ids = np.frombuffer(b"".join(found), np.int32)
+        counts = sizes[place]
+        flat = ids[np.repeat((np.cumsum(sizes) - sizes)[place], counts) + _bytes.spans_of(counts)] if len(ids) else ids
+        offsets = np.append(0, np.cumsum(counts))[words.before].astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+
+    def _borders(self, data: np.ndarray) -> np.ndarray:
+        """Where a stretch begins, whatever stands around it."""
+        opens = np.zeros(len(data), bool)
+        if not self.model.cut or not len(data):
+            return opens
+        blank = data == 0x20
+        opens[1:] = blank[1:] & ~blank[:-1]
+        for byte in self.model.alone:
+            here = data == byte
+            opens |= here
+            opens[1:] |= here[:-1]
+        # a blank after a literal U+2581 continues its run
+        literal = np.flatnonzero((data[:-3] == 0xE2) & (data[1:-2] == 0x96) & (data[2:-1] == 0x81)) if len(data) > 3 else []
+        opens[np.asarray(literal, np.int64) + 3] &= data[np.asarray(literal, np.int64) + 3] != 0x20
+        return opens
+
+    def __call__(self, text: str) -> list[int]:
+        """The ids of one text."""
+        return self.batch(pa.array([text])).values.to_pylist()
+
+
+def surfaces(pieces: list[tuple[str, float, int]]) -> pa.Array:
     """The bytes of each id."""
 
     def one(piece: str, kind: int) -> bytes:
@@ -337,61 +408,58 @@ def surfaces(model: Model) -> pa.Array:
             return " ⁇ ".encode()
         return b"" if kind == _CONTROL else piece.replace(BLANK, " ").encode()
 
-    return pa.array([one(p, t) for p, _, t in model.pieces], pa.binary())
+    return pa.array([one(p, t) for p, _, t in pieces], pa.binary())
 
 
-def decode_lists(model: Model, table: pa.Array, lists: pa.Array) -> list[str]:
-    """The texts of lists of ids."""
-    flat = lists.flatten()
-    joined = table.take(flat)
+def _some(batch: pa.RecordBatch, ids: str, most: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` ids each."""
+    ends = np.cumsum(batch.column(ids).value_lengths().fill_null(0).to_numpy().astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield batch.slice(i, j - i)
+        i = j
+
+
+def decode_lists(table: pa.Array, lists: pa.Array, dummy: bool) -> list[str]:
+    """The texts of lists of ids; ``dummy``: the blank before each text goes."""
+    joined = table.take(lists.flatten())
     data, at = _bytes.raw(joined)
-    sizes = np.append(0, np.cumsum(np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()])))
-    begins = at[sizes]
+    begins = at[np.append(0, np.cumsum(lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)))]
     raw = data.tobytes()
-    skip = 1 if model.dummy_prefix else 0
     out = []
-    for i in range(len(lists)):
-        piece = raw[begins[i] : begins[i + 1]].decode("utf-8", "replace")
-        out.append(piece[1:] if skip and piece.startswith(" ") else piece)
+    for a, b in zip(begins[:-1].tolist(), begins[1:].tolist()):
+        out.append(raw[a + 1 if dummy and a < b and raw[a] == 0x20 else a : b].decode("utf-8", "replace"))
     return out
 
 
-def _named(df: DataFrame, name: str) -> None:
-    if name in df.columns:
-        raise ValueError(f"the input has a column named {name}")
-
-
 def encode(docs: DataFrame, model_path: str = MODEL, text: str = "text", name: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text."""
-    _named(docs, name)
+    """``docs`` with the ids of each whole text; a column of that name is replaced."""
+    docs = docs.drop(name)
     with open(model_path, "rb") as f:  # a vocabulary file of the driver, sent with the function
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(data)
         for batch in batches:
-            for part in _bytes.slices(batch, text):
-                found = [encoder(x or "") for x in part.column(text).to_pylist()]
-                at = np.append(0, np.cumsum([len(x) // 4 for x in found])).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(at), pa.array(np.frombuffer(b"".join(found), np.int32)))
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*part.schema.names, name])
+            for part in _bytes.slices(batch, text, _SLICE):
+                yield pa.RecordBatch.from_arrays([*part.columns, encoder.batch(part.column(text))], [*part.schema.names, name])
 
     return arrow(docs, run, T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, model_path: str = MODEL, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """``df`` with the text of each list of ids."""
-    _named(df, name)
+    """``df`` with the text of each list of ids; a column of that name is replaced."""
+    df = df.drop(name)
     with open(model_path, "rb") as f:
         data = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = load(data)
-        table = surfaces(model)
+        pieces, _, dummy = parsed(data)
+        table = surfaces(pieces)
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decode_lists(model, table, part.column(ids)), pa.string())], [*part.schema.names, name])
+            for part in _some(batch, ids):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decode_lists(table, part.column(ids), dummy), pa.string())], [*part.schema.names, name])
 
     return arrow(df, run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 

@@ -8,6 +8,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -253,9 +254,6 @@ def test_proximity(spark):
 
 # SentencePiece
 
-spm = pytest.importorskip("sentencepiece")
-
-
 def texts_for_pieces():
     r = random.Random(6)
     out = ["", " ", "   ", "Hello  world\n\tfoo ", "日本語😀\x00é", "a" * 5000, "▁a"]
@@ -263,14 +261,44 @@ def texts_for_pieces():
     return out + ["".join(r.choice("etaoinshrdlu") for _ in range(3000))]
 
 
-def test_pieces_equal_the_library():
+def test_pieces_equal_the_library(monkeypatch):
+    spm = pytest.importorskip("sentencepiece")
     with open(sentencepiece_codec.MODEL, "rb") as f:
         data = f.read()
     model = sentencepiece_codec.load(data)
-    encoder = sentencepiece_codec.Encoder(model)
     library = spm.SentencePieceProcessor(model_proto=data)
-    for t in texts_for_pieces():
-        assert np.frombuffer(encoder(t), np.int32).tolist() == library.encode(t)
+    texts = [*texts_for_pieces(), "x▁ y", "a▁▁ ▁b\t\n c"]
+    wanted = [library.encode(t) for t in texts]
+    assert sentencepiece_codec.Encoder(model).batch(pa.array(texts)).to_pylist() == wanted
+    # the streaming search over whole texts, with no border known beforehand
+    monkeypatch.setattr(sentencepiece_codec, "search_window", lambda *_: [-1])
+    for t, ids in zip(texts, wanted):
+        whole = sentencepiece_codec.Encoder(model).searched("▁" + t.replace(" ", "▁")) if t else b""
+        assert np.frombuffer(whole, np.int32).tolist() == ids
+
+
+def test_search_commits_within_a_window():
+    """What isn't committed stays bounded, and pieces come out while the text goes on."""
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        model = sentencepiece_codec.load(f.read())
+    r = random.Random(14)
+    text = "▁" + "▁".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 12))) for _ in range(3000))
+    read = 0
+
+    def ends(model, text):
+        nonlocal read
+        for read, x in enumerate(every(model, text), 1):
+            yield x
+
+    every, sentencepiece_codec._ends = sentencepiece_codec._ends, ends
+    try:
+        at, furthest = 0, 0
+        for _, piece in sentencepiece_codec.search(model, text):
+            at += len(piece)
+            furthest = max(furthest, read - at) if read < len(text) else furthest
+        assert at == len(text) and furthest <= 4 * model.longest
+    finally:
+        sentencepiece_codec._ends = every
 
 
 def test_unigram_path_is_best():
@@ -296,8 +324,9 @@ def test_pieces_way_back(spark):
     out = sentencepiece_codec.decode(sentencepiece_codec.encode(frame(spark, rows))).collect()
     assert len(out) == len(rows)
     assert all(x.decoded == (x.text or "").replace("▁", " ") for x in out)
-    with pytest.raises(ValueError):
-        sentencepiece_codec.encode(frame(spark, rows).withColumnRenamed("extra", "ids"))
+    clash = sentencepiece_codec.decode(sentencepiece_codec.encode(frame(spark, rows[7:9] * 2).withColumnRenamed("extra", "ids")))
+    assert clash.columns == ["doc_id", "text", "ids", "decoded"] and clash.count() == 4
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(frame(spark, []))).count() == 0
 
 
 # language model
