@@ -9,8 +9,8 @@ The table has ``slots`` rows whatever the data, so it is broadcast: at most MAX_
 integers. Placement is one projection and one broadcast hash join; nothing is shuffled.
 
 Cases: a null key is placed like the empty string; repeated rows go to the same shard; an empty
-table gives an empty result; columns of the input named like the new ones make ``place`` raise
-ValueError, so nothing is overwritten unseen (give other names).
+table gives an empty result; columns of the input named like the new ones are replaced by them (the key is read
+first, should it be one of them); give other names to keep them.
 """
 
 from __future__ import annotations
@@ -74,11 +74,11 @@ def place(df: DataFrame, key: str, names: Sequence[str] | None = None, slots: in
     A key that holds a large share of all rows would fill one shard; give a key that tells its rows
     apart (a row's id, or the key and a number from 0 to the parts wanted) to spread it.
     """
-    if clash := {slot, shard} & set(df.columns):
-        raise ValueError(f"the input has columns named {sorted(clash)}")
     names = [f"shard-{i:04d}" for i in range(SHARDS)] if names is None else names
     table = table_frame(df.sparkSession, names, slots).toDF(slot, shard)
-    return df.withColumn(slot, slot_of(F.col(f"`{key}`"), slots)).join(F.broadcast(table), slot, "left").select(*(F.col(f"`{c}`") for c in df.columns), slot, shard)
+    kept = [c for c in df.columns if c not in (slot, shard)]
+    placed = df.select(*(F.col(f"`{c}`") for c in kept), slot_of(F.col(f"`{key}`"), slots).alias(slot))
+    return placed.join(F.broadcast(table), slot, "left").select(*(F.col(f"`{c}`") for c in kept), slot, shard)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

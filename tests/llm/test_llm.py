@@ -71,8 +71,10 @@ def test_placement(spark):
         key = "" if r.doc_id is None else str(r.doc_id)
         assert r.slot == int(hashlib.md5(key.encode()).hexdigest()[:15], 16) % 31 and r.shard == table[r.slot]
     assert sharding.place(frame(spark, []), "doc_id").count() == 0
-    with pytest.raises(ValueError):
-        sharding.place(frame(spark, []).withColumnRenamed("extra", "slot"), "doc_id")
+    clash = sharding.place(frame(spark, rows).withColumnRenamed("extra", "slot"), "doc_id", ["a", "b", "c"], 31)
+    assert clash.columns == ["doc_id", "text", "slot", "shard"] and {(r.doc_id, r.slot) for r in clash.collect()} == {(r.doc_id, r.slot) for r in got}
+    by_clash = sharding.place(frame(spark, rows).withColumnRenamed("doc_id", "slot"), "slot", ["a", "b", "c"], 31)
+    assert by_clash.columns == ["text", "extra", "slot", "shard"] and by_clash.count() == len(rows)
 
 
 # toxicity
@@ -101,8 +103,62 @@ def test_toxicity_learns_and_is_whole(spark):
     assert got[1000] == got[1001]
     right = sum((min(got[i]) >= 0.3) == bool(y) for i, y in labels[400:600])
     assert right >= 196
-    with pytest.raises(ValueError):
-        toxicity.score(docs.withColumnRenamed("extra", "score"), model)
+    clash = toxicity.score(docs.withColumnRenamed("extra", "score"), model)
+    assert clash.columns == ["doc_id", "text", "score"] and clash.where("score between 0 and 1").count() == len(rows)
+    assert toxicity.score(docs.limit(0), model).count() == 0
+    # many rows of one labelled id are learnt as one
+    same = toxicity.fit(docs.union(docs).union(docs), frame(spark, labels[:400] + labels[600:], "doc_id bigint, toxic int"))
+    assert same.bucket.tolist() == model.bucket.tolist() and np.allclose(same.weight, model.weight)
+
+
+def test_ftrl_against_brute_force():
+    r = random.Random(15)
+    rows = [(np.array(sorted(r.sample(range(16), r.randint(0, 9))), np.int64), r.randrange(2)) for _ in range(300)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.7, 0.01
+    got = toxicity.ftrl(rows, 4, alpha, beta, l1, l2, 3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        cut = 0.0 if k == 16 else l1
+        if abs(z[k]) <= cut:
+            return 0.0
+        return -(z[k] - math.copysign(cut, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+
+    for _ in range(3):
+        for at, y in rows:
+            keys = [*at.tolist(), 16]
+            w = {k: weight(k) for k in keys}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for k in keys:
+                sigma = (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) / alpha
+                z[k] += g - sigma * w[k]
+                n[k] += g * g
+    want = {k: weight(k) for k in range(16) if weight(k)}
+    assert np.allclose(got.weight, list(want.values()), atol=1e-5)
+    assert got.bucket.tolist() == list(want) and math.isclose(got.bias, weight(16), abs_tol=1e-9)
+
+
+def test_toxicity_features_and_scores_against_brute_force():
+    r = random.Random(16)
+    texts = ["", "One", "tree-house, Tree", *(" ".join(r.choice(["tree", "stone", "riverbank", "watermill", "é"]) for _ in range(r.randint(1, 30))) for _ in range(40))]
+
+    def grams(text):
+        w = [x.encode() for x in words(text)]
+        out = {("w", x) for x in w} | {("p", k, x[:k]) for x in w for k in (4, 5, 6, 7, 8) if len(x) > k}
+        return out | {("n", a, b) for a, b in zip(w, w[1:])} | {("s", a, b) for a, b in zip(w, w[2:])}
+
+    both = toxicity.folded(pa.array(texts), 30)
+    assert np.bincount(both >> 30, minlength=len(texts)).tolist() == [len(grams(t)) for t in texts]
+    sets = [set((both[both >> 30 == i] & ((1 << 30) - 1)).tolist()) for i in range(len(texts))]
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        assert len(sets[i] & sets[j]) == len(grams(texts[i]) & grams(texts[j]))
+    small = toxicity.folded(pa.array(texts), 12)
+    chosen = np.unique(small & 4095)[::3]
+    model = toxicity.Model(chosen.astype(np.int32), np.linspace(-1, 1, len(chosen)).astype(np.float32), -0.2, 12)
+    table = np.zeros(1 << 12, np.float32)
+    table[model.bucket] = model.weight
+    want = [1 / (1 + math.exp(0.2 - sum(float(table[b]) for b in (small[small >> 12 == i] & 4095).tolist()))) for i in range(len(texts))]
+    assert np.allclose(toxicity.scores(pa.array(texts), model, table), want)
 
 
 def test_toxicity_without_labels(spark):
