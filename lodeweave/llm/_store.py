@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,9 @@ _KEY = "spark.checkpoint.dir"
 #: Rows and bytes (as JSON, which is no shorter than Spark's rows by much) that a broadcast table may have.
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 _shipped: set[str] = set()
 
 
@@ -35,9 +41,33 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow(df: DataFrame, func: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` whose function may use this package on the executors."""
-    ship(df.sparkSession)
-    return df.mapInArrow(func, schema)
+    """``mapInArrow`` whose function may use this package on the executors.
+
+    Where the session doesn't bound Arrow batches by bytes, they are bounded by ``BATCH_BYTES``: by rows alone, a
+    batch of long texts or lists takes hundreds of MB on both sides.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(Handing(func), schema)
+
+
+class Handing:
+    """Runs a function over batches and hands its memory back to the machine: workers are used again, and keep
+    what their allocators have freed."""
+
+    def __init__(self, func: Callable):
+        self.func = func
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from self.func(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not glibc
+            pass
 
 
 def shared_dir(spark: SparkSession) -> str:

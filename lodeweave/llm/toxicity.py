@@ -96,9 +96,8 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, alpha: float = 0.
             root = np.sqrt(n[at])
             n[at] += g * g
             z[at] += g - (np.sqrt(n[at]) - root) / alpha * w
-    every = weights(np.arange(size))
-    kept = np.flatnonzero(every[:-1])
-    return Model(kept.astype(np.int32), every[kept].astype(np.float32), float(every[-1]), bits)
+    kept = np.flatnonzero(np.abs(z[:-1]) > l1)
+    return Model(kept.astype(np.int32), weights(kept).astype(np.float32), float(weights(np.array([bias]))[0]), bits)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS) -> Model:
@@ -119,12 +118,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label"), lists], ["doc_id", "label", "buckets"])
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        buckets, rows, held = np.empty(FEATURES, np.int32), [], 0  # memory is taken as it is filled
         for batch in batches:
             values = batch.column("buckets")
             at, flat, y = values.offsets.to_numpy(), values.values.to_numpy(zero_copy_only=False), batch.column("label").to_pylist()
             fits = int(np.searchsorted(at[1:] - at[0] + held, FEATURES, "right"))
-            rows += [(flat[at[i] : at[i + 1]].copy(), y[i]) for i in range(min(fits, batch.num_rows))]
+            fits = min(fits, batch.num_rows)
+            buckets[held : held + at[fits] - at[0]] = flat[at[0] : at[fits]]
+            rows += [(buckets[held + at[i] - at[0] : held + at[i + 1] - at[0]], y[i]) for i in range(fits)]
             held += int(at[-1] - at[0])
             if held > FEATURES:
                 break
