@@ -461,13 +461,46 @@ def test_secrets(spark):
     assert [tuple(s) for s in got[1002].spans] == [(6, 3, 6 + len(random_key))]
     assert not got[1003].spans
     assert secrets.scan(frame(spark, rows).limit(0), table).count() == 0
-    with pytest.raises(ValueError):
-        secrets.scan(frame(spark, rows).withColumnRenamed("extra", "spans"), table)
+    clash = secrets.scan(frame(spark, rows).withColumnRenamed("extra", "spans").withColumnRenamed("doc_id", "_text"), table)
+    assert clash.columns == ["_text", "text", "base_spans", "spans"]
+    assert {x[0]: [tuple(s) for s in x.spans] for x in clash.collect()} == {i: [tuple(s) for s in x.spans] for i, x in got.items()}
+
+
+def test_secrets_of_very_long_texts(spark):
+    """Many matches and tokens in one text: the work follows their number, and results stay exact."""
+    table = secrets.train(secrets.samples(spark))
+    r = random.Random(21)
+    key = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    long = "secret=abcdefgh é" * 200_000
+    keys = [key() for _ in range(30_000)]
+    mixed = " token: abcdefgh1 ".join(keys)
+    one = "".join(key() for _ in range(40_000))
+    df = spark.createDataFrame([(1, long), (2, mixed), (3, one)], "doc_id bigint, text string").repartition(3)
+    got = {x.doc_id: x for x in secrets.scan(df, table).select("doc_id", "base_spans", "spans", secrets.redacted(F.col("text"), F.col("spans")).alias("clean")).collect()}
+    assert [tuple(s) for s in got[1].base_spans] == [(17 * k, 0, 17 * k + 15) for k in range(200_000)]
+    assert got[1].clean == "[SECRET] é" * 200_000
+    assert [tuple(s) for s in got[2].base_spans] == base_spans(mixed)
+    found = {s.start for s in got[2].spans if s.kind == 3}
+    assert len(found) > 29_900 and found <= {42 * k for k in range(30_000)}
+    clean, at = [], 0
+    for s in got[2].spans:
+        clean += [mixed[at : s.start], "[SECRET]"]
+        at = s.end
+    assert got[2].clean == "".join([*clean, mixed[at:]])
+    assert [tuple(s) for s in got[3].spans] == [(0, 3, len(one))] and got[3].clean == "[SECRET]"
+
+
+def test_ratio_of_stretches_is_that_of_the_whole(spark, monkeypatch):
+    table = secrets.train(secrets.samples(spark))
+    df = spark.createDataFrame([("aB3x" * 50 + "é9",), ("a",), ("ab",)], "t string")
+    want = [x[0] for x in df.select(secrets.ratio(F.col("t"), table)).collect()]
+    monkeypatch.setattr(secrets, "STRETCH", 7)
+    assert np.allclose([x[0] for x in df.select(secrets.ratio(F.col("t"), table)).collect()], want)
 
 
 def test_models_tell_random_from_ordinary(spark):
     table = secrets.train(secrets.samples(spark))
-    held = secrets.samples(spark, 6000).withColumn("n", F.monotonically_increasing_id())
+    held = secrets.samples(spark, 6000, 1_000_000).withColumn("n", F.monotonically_increasing_id())
     wrong = held.where("length(text) >= 20").withColumn("r", secrets.ratio(F.col("text"), table)).where((F.col("r") >= secrets.THRESHOLD) != (F.col("label") == 1)).count()
     assert wrong < 0.03 * held.count()
     assert secrets.train(held.limit(0).select("text", "label")) == [0.0] * 128 * 128
