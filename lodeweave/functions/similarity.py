@@ -15,20 +15,21 @@ def equal_ignoring_case(left: Column, right: Column) -> Column:
     return equal(F.lower(left), F.lower(right))
 
 
-def _set(tokens: Column) -> Column:
+def token_set(tokens: Column) -> Column:
+    """A token array's distinct members, case ignored."""
     return F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))
 
 
 def jaccard(left: Column, right: Column) -> Column:
     """Of two arrays of tokens, case ignored; two empty ones have nothing in common."""
-    a, b = _set(left), _set(right)
+    a, b = token_set(left), token_set(right)
     union = F.size(F.array_union(a, b))
     return F.coalesce(F.when(union > 0, F.size(F.array_intersect(a, b)) / union), F.lit(0.0))
 
 
 def cosine(left: Column, right: Column) -> Column:
     """Cosine of two token sets."""
-    a, b = _set(left), _set(right)
+    a, b = token_set(left), token_set(right)
     return F.coalesce(F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.sqrt(F.size(a) * F.size(b))), F.lit(0.0))
 
 
@@ -60,7 +61,7 @@ def ngram(left: Column, right: Column, n: int = 2) -> Column:
 
 def hybrid_jaccard(left: Column, right: Column, least: float = 0.5) -> Column:
     """Jaccard of token arrays where tokens also match by edit similarity: each left token's best similarity of ``least`` or more counts."""
-    a, b = _set(left), _set(right)
+    a, b = token_set(left), token_set(right)
     best = F.transform(a, lambda x: F.coalesce(F.array_max(F.transform(b, lambda y: levenshtein(x, y))), F.lit(0.0)))
     good = F.filter(best, lambda s: s >= least)
     total = F.aggregate(good, F.lit(0.0), lambda acc, s: acc + s)

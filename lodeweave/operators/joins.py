@@ -2,8 +2,10 @@
 
 Linkage compares distinct key tuples, not rows: a score depends on the key values alone and ties go
 to the largest right id, so each side is first reduced to its distinct keys (the right one with its largest
-id). Blocks are equi-joins on an explicit key. Without a block every left key must meet every right key;
-that nested loop is only planned when the caller says so.
+id), and the best match is chosen for a key before rows are joined to it. Candidates come from equi-joins: blocks
+on an explicit key; for token sets an inverted index of each set's rarest tokens, of which two sets above the
+threshold share one; for one number or date the nearest values on either side, found in bins. Only what
+none of these covers lets every left key meet every right key.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import dates, similarity, text
@@ -89,12 +91,49 @@ def _score(kind: str, a: Column, b: Column, span: Column, exact: bool) -> Column
     return similarity.equal(a, b)
 
 
-def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool = False, block: str = "auto", threshold: float = THRESHOLD) -> DataFrame:
-    """(left key number, right id, score) of candidate key pairs at or above the threshold, with the left keys.
+#: Bins of sorted values: the bound of the table of their edges.
+BINS = 200
 
-    block: "auto" takes category features as the block, else, for string features and more than BLOCK_PAIRS
-    row pairs, their first characters, else none; "none" compares all keys.
+
+def _nearest(keys: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Each left number l0 with the right one before or at it and the one at or after it (r0, rid).
+
+    Bins are cut at approximate quantiles of the right numbers. In a bin a window finds both neighbours; where
+    there is none, the nearest bins' edges serve, a table of BINS rows.
     """
+    theirs = theirs.where("r0 is not null")
+    cuts = theirs.select(F.percentile_approx("r0", [k / BINS for k in range(1, BINS)]).alias("cuts"))
+    bin_of = lambda df, c: df.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x <= F.col(c)))).drop("cuts")
+    own = F.struct(F.col("r0").alias("r0"), "rid")
+    right = bin_of(theirs, "r0").select("bin", F.col("r0").alias("v"), own.alias("at"))
+    kept = [c for c in keys.columns]
+    mine = bin_of(keys.where("l0 is not null"), "l0").select("bin", F.col("l0").alias("v"), F.struct(*kept).alias("key"))
+    both = mine.unionByName(right, allowMissingColumns=True)
+    up = Window.partitionBy("bin").orderBy("v")
+    near = both.withColumn("low", F.last("at", True).over(up.rangeBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("at", True).over(up.rangeBetween(0, Window.unboundedFollowing))).where("key is not null")
+    edges = right.groupBy("bin").agg(F.max(F.struct("v", "at"))["at"].alias("last"), F.min(F.struct("v", "at"))["at"].alias("first"))
+    every = keys.sparkSession.range(BINS, numPartitions=1).select(F.col("id").cast("int").alias("bin")).join(edges, "bin", "left")
+    order = Window.orderBy("bin")  # BINS rows
+    every = every.select("bin", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    found = near.join(F.broadcast(every), "bin").select("key.*", F.explode(F.array(F.coalesce("low", "below"), F.coalesce("high", "above"))).alias("at"))
+    return found.where("at is not null").select(*kept, "at.*").distinct()
+
+
+def _sharing(keys: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of token sets that share one of their rarest tokens, as all do whose similarity reaches the threshold (prefix filter)."""
+    left, right = keys.withColumn("t", similarity.token_set(F.col("l0"))), theirs.withColumn("t", similarity.token_set(F.col("r0")))
+    often = left.select(F.explode("t").alias("w")).union(right.select(F.explode("t"))).groupBy("w").agg(F.count("*").alias("n"))
+
+    def prefixes(df: DataFrame) -> DataFrame:
+        ranked = df.select(*(c for c in df.columns if c != "t"), F.xxhash64("t").alias("k"), F.size("t").alias("size"), F.explode("t").alias("w")).join(often, "w")
+        place = F.row_number().over(Window.partitionBy(*(c for c in df.columns if c != "t"), "k").orderBy("n", "w"))
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).drop("k", "size", "n", "place")
+
+    return prefixes(left).join(prefixes(right), "w").drop("w").distinct()
+
+
+def _scored_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool, block: str, threshold: float, nearest: bool) -> tuple[DataFrame, list[str], DataFrame]:
+    """Left rows' keys, their names, and (keys, right id, score) of candidates at or above the threshold."""
     if not features:
         raise ValueError("no features to compare")
     lt, rt = dict(left.dtypes), dict(right.dtypes)
@@ -110,14 +149,19 @@ def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     blocked = [i for i, f in enumerate(features) if f.kind == "category"]
     strings = [i for i, f in enumerate(features) if f.kind == "string"]
     lower = lambda c: F.lower(F.col(c).cast("string"))
-    if blocked and block == "auto":
+    a = b = None
+    if exact and n == 1:
+        a, b = F.col("l0"), F.col("r0")
+    elif blocked and block == "auto":
         a, b = (F.concat(*(lower(f"{s}{i}") for i in blocked)) for s in "lr")
     elif strings and block == "auto" and _many(left, right):
         a, b = (F.concat(*(F.substring(lower(f"{s}{i}"), 1, 1) for i in strings)) for s in "lr")
-    else:
-        a = b = None
     if a is not None:
         pairs = keys.withColumn("_b", a).join(theirs.withColumn("_b", b), "_b")
+    elif n == 1 and features[0].kind == "token" and threshold > 0:
+        pairs = _sharing(keys, theirs, threshold)
+    elif n == 1 and spans and nearest:
+        pairs = _nearest(keys, theirs)
     else:
         pairs = keys.join(theirs, F.lit(True))
     total = None
@@ -125,8 +169,37 @@ def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         one = _score(f.kind, F.col(f"l{i}"), F.col(f"r{i}"), F.col(f"s{i}") if i in spans else F.lit(0.0), exact)
         one = F.when(F.col(f"l{i}").isNull() | F.col(f"r{i}").isNull(), F.lit(0.0)).otherwise(one)
         total = one if total is None else total + one
-    scored = pairs.select(*lk, "rid", (total / n).alias("score")).where(F.col("score") >= threshold)
-    return l.join(scored, [l[c].eqNullSafe(scored[c]) for c in lk]).select("lid", "rid", "score")
+    return l, lk, pairs.select(*lk, "rid", (total / n).alias("score")).where(F.col("score") >= threshold)
+
+
+def _of_rows(l: DataFrame, lk: list[str], found: DataFrame) -> DataFrame:
+    """What was found for a key, for each row with it."""
+    found = found.select(*(F.col(c).alias(f"_{c}") for c in lk), *(c for c in found.columns if c not in lk))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in lk]
+    return l.join(found, same).drop(*lk, *(f"_{c}" for c in lk))
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool = False, block: str = "auto", threshold: float = THRESHOLD) -> DataFrame:
+    """(left id, right id, score) of candidate pairs at or above the threshold.
+
+    block: "auto" takes category features as the block, else, for string features and more than BLOCK_PAIRS
+    row pairs, their first characters, else none; "none" compares all keys.
+    """
+    l, lk, scored = _scored_keys(left, right, left_id, right_id, features, exact, block, threshold, False)
+    return _of_rows(l, lk, scored).select("lid", "rid", "score")
+
+
+def linked(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool = False, block: str = "auto", threshold: float = THRESHOLD) -> DataFrame:
+    """J-06: (lid, rid, score): each left row's best right row, of equals the one with the largest id; chosen once for each distinct key."""
+    l, lk, scored = _scored_keys(left, right, left_id, right_id, features, exact, block, threshold, True)
+    best = scored.groupBy(*lk).agg(F.max(F.struct("score", "rid")).alias("b")).select(*lk, F.col("b.rid").alias("rid"), F.col("b.score").alias("score"))
+    return _of_rows(l, lk, best).select("lid", "rid", "score")
+
+
+def linked_all(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool = False, block: str = "auto", threshold: float = THRESHOLD) -> DataFrame:
+    """J-06b: (lid, rids): all right keys' rows that reach the threshold, by id; gathered once for each distinct key."""
+    l, lk, scored = _scored_keys(left, right, left_id, right_id, features, exact, block, threshold, False)
+    return _of_rows(l, lk, scored.groupBy(*lk).agg(F.array_sort(F.collect_set("rid")).alias("rids"))).select("lid", "rids")
 
 
 def _many(left: DataFrame, right: DataFrame) -> bool:
@@ -151,7 +224,7 @@ def fuzzy_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, f
 
     Every left row stays once; right columns that are compared are left out; other equal names get "_y".
     """
-    matches = best_matches(scored_pairs(left, right, left_id, right_id, features, exact, block, threshold))
+    matches = linked(left, right, left_id, right_id, features, exact, block, threshold)
     used = {c for f in features for c in f.right} | {right_id}
     rest = [c for c in right.columns if c not in used]
     theirs = right.select(F.col(right_id).alias("_rid"), *(F.col(f"`{c}`").alias(f"{c}_y" if c in left.columns else c) for c in rest))

@@ -46,25 +46,24 @@ def fuzzy_first_character(spark: SparkSession, d: str) -> DataFrame:
     """J-05b: customers against suppliers by name, blocked by first characters of more than 10,000 pairs."""
     left = table(spark, d, "customer").select(F.concat(F.substring("c_mktsegment", 1, 4), F.lit("_"), F.col("c_nationkey").cast("string")).alias("k"), "c_custkey")
     right = table(spark, d, "supplier").select(F.concat(F.lit("AUTO "), F.col("s_nationkey").cast("string")).alias("rk"), F.col("s_suppkey").alias("rid"), "s_acctbal")
-    pairs = joins.best_matches(joins.scored_pairs(left, right, "c_custkey", "rid", [Feature(("k",), ("rk",), "string")]))
+    pairs = joins.linked(left, right, "c_custkey", "rid", [Feature(("k",), ("rk",), "string")])
     return pairs.select(F.col("lid").alias("c_custkey"), F.col("rid").alias("s_suppkey"), F.round("score", 6).alias("score"))
 
 
 def fuzzy_token_jaccard(spark: SparkSession, d: str) -> DataFrame:
     """M-03 over two columns on each side."""
-    part = table(spark, d, "part").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("lid"))
-    left = part.where("p_size <= 5")
-    right = part.where("p_size between 4 and 9").select(F.col("p_name").alias("rn"), F.col("p_size").cast("string").alias("rs"), F.col("lid").alias("rid"))
-    found = joins.best_matches(joins.scored_pairs(left.withColumn("ls", F.col("p_size").cast("string")), right, "lid", "rid", [Feature(("p_name", "ls"), ("rn", "rs"), "token")], block="none"))
+    part = table(spark, d, "part").groupBy("p_name", "p_size").agg(F.min("p_partkey").alias("lid")).withColumn("ls", F.col("p_size").cast("string"))
+    right = part.select(F.concat_ws(" ", F.lit("new"), "p_name").alias("rn"), (F.col("p_size") + 1).cast("string").alias("rs"), F.col("lid").alias("rid"))
+    found = joins.linked(part, right, "lid", "rid", [Feature(("p_name", "ls"), ("rn", "rs"), "token")], block="none")
     return found.select("lid", "rid", F.round("score", 6).alias("score"))
 
 
 def fuzzy_date_nearest(spark: SparkSession, d: str) -> DataFrame:
-    """M-06: each day with orders of the first quarter, and the nearest day with a shipment of flag A."""
-    left = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("timestamp").alias("day")).agg(F.min("o_orderkey").alias("lid")).where("month(day) <= 3")
-    right = table(spark, d, "lineitem").where("l_returnflag = 'A'").groupBy(F.to_date("l_shipdate").cast("timestamp").alias("ship")).agg(F.min("l_orderkey").alias("o"))
+    """M-06: each day with orders, and the nearest day with a shipment."""
+    left = table(spark, d, "orders").groupBy(F.to_date("o_orderdate").cast("timestamp").alias("day")).agg(F.min("o_orderkey").alias("lid"))
+    right = table(spark, d, "lineitem").groupBy(F.to_date("l_shipdate").cast("timestamp").alias("ship")).agg(F.min("l_orderkey").alias("o"))
     right = right.select("ship", F.unix_date(F.to_date("ship")).cast("bigint").alias("rid"))
-    found = joins.best_matches(joins.scored_pairs(left, right, "lid", "rid", [Feature(("day",), ("ship",), "date")], block="none"))
+    found = joins.linked(left, right, "lid", "rid", [Feature(("day",), ("ship",), "date")])
     return found.select("lid", "rid", F.round("score", 9).alias("score"))
 
 
@@ -72,13 +71,13 @@ def fuzzy_number(spark: SparkSession, d: str) -> DataFrame:
     """M-04: each nation's mean customer balance, and the supplier with the most alike balance."""
     left = table(spark, d, "customer").groupBy("c_nationkey").agg(F.round(F.avg("c_acctbal"), 2).alias("bal"))
     right = table(spark, d, "supplier").select("s_acctbal", F.col("s_suppkey").alias("rid"))
-    found = joins.best_matches(joins.scored_pairs(left, right, "c_nationkey", "rid", [Feature(("bal",), ("s_acctbal",), "number")]))
+    found = joins.linked(left, right, "c_nationkey", "rid", [Feature(("bal",), ("s_acctbal",), "number")])
     return found.select(F.col("lid").alias("c_nationkey"), F.col("rid").alias("s_suppkey"))
 
 
 def _linked(spark: SparkSession, d: str, exact: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     left = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("seg") if not exact else F.col("c_mktsegment").alias("seg"), "c_nationkey")
-    right = table(spark, d, "customer").where("c_custkey % 7 = 0").select(F.col("c_custkey").alias("rid"), F.col("c_mktsegment").alias("rseg"), F.col("c_nationkey").alias("rn"), F.round("c_acctbal", 2).alias("bal"))
+    right = table(spark, d, "customer").select(F.col("c_custkey").alias("rid"), F.col("c_mktsegment").alias("rseg"), F.col("c_nationkey").alias("rn"), F.round("c_acctbal", 2).alias("bal"))
     fs = [Feature(("seg",), ("rseg",), "category"), Feature(("c_nationkey",), ("rn",), "category_number")]
     out, m = joins.fuzzy_join(left, right, "c_custkey", "rid", fs, exact=exact)
     return left, out, m
@@ -97,16 +96,16 @@ def exact_one_to_one(spark: SparkSession, d: str) -> DataFrame:
 def cover_ratio(spark: SparkSession, d: str) -> DataFrame:
     """J-08."""
     left = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "source")
-    right = table(spark, d, "labels").select(F.col("doc_id").alias("rid"), F.concat(F.lit("src"), (F.col("doc_id") % 9).cast("string")).alias("s")).where("rid % 5 = 0")
-    m = joins.best_matches(joins.scored_pairs(left, right, "id", "rid", [Feature(("source",), ("s",), "category")]))
+    right = table(spark, d, "labels").select(F.col("doc_id").alias("rid"), F.concat(F.lit("src"), (F.col("doc_id") % 9).cast("string")).alias("s"))
+    m = joins.linked(left, right, "id", "rid", [Feature(("source",), ("s",), "category")])
     return joins.report(left, m, "id").select("n_rows", "n_matched", F.round("cover_ratio", 6).alias("cover_ratio"))
 
 
 def all_matches_threshold(spark: SparkSession, d: str) -> DataFrame:
     """J-06b: all names within half of the edits."""
     left, right = _names(spark, d)
-    pairs = joins.scored_pairs(left, right, "lid", "rid", [Feature(("p_name",), ("r_name",), "string")], block="none", threshold=0.6)
-    return joins.all_matches(pairs).select("lid", F.size("rids").cast("bigint").alias("n"), F.array_join("rids", ",").alias("rids"))
+    found = joins.linked_all(left, right, "lid", "rid", [Feature(("p_name",), ("r_name",), "string")], block="none", threshold=0.6)
+    return found.select("lid", F.size("rids").cast("bigint").alias("n"), F.array_join("rids", ",").alias("rids"))
 
 
 QUERIES = {f.__name__: f for f in (equi_left_join, equi_left_join_suffixes, equi_left_join_nullsafe, fuzzy_levenshtein, fuzzy_first_character, fuzzy_token_jaccard, fuzzy_date_nearest, fuzzy_number, fuzzy_multi_feature, exact_one_to_one, cover_ratio, all_matches_threshold)}
@@ -116,7 +115,7 @@ _BEST = "row_number() OVER (PARTITION BY lid ORDER BY score DESC, rid DESC)"
 _NAMES = "l AS (SELECT p_name AS k, p_name, min(p_partkey) AS lid FROM part GROUP BY p_name), r AS (SELECT 'x' || p_name AS k, lid AS rid, CAST(length(p_name) AS BIGINT) AS size FROM l)"
 _LINKED = """
 WITH l AS (SELECT c_custkey, {seg} AS seg, c_nationkey FROM customer),
-r AS (SELECT c_custkey AS rid, c_mktsegment AS rseg, c_nationkey AS rn, round(c_acctbal, 2) AS bal FROM customer WHERE c_custkey % 7 = 0),
+r AS (SELECT c_custkey AS rid, c_mktsegment AS rseg, c_nationkey AS rn, round(c_acctbal, 2) AS bal FROM customer),
 m AS (SELECT c_custkey AS lid, rid, row_number() OVER (PARTITION BY c_custkey ORDER BY ({one} + CAST(c_nationkey = rn AS INT)) DESC, rid DESC) AS n, ({one} + CAST(c_nationkey = rn AS INT)) / 2.0 AS score FROM l JOIN r ON lower(seg) = lower(rseg))
 SELECT c_custkey, seg, c_nationkey, bal FROM l LEFT JOIN (SELECT * FROM m WHERE n = 1 AND score >= 0.5) m ON m.lid = c_custkey LEFT JOIN r ON r.rid = m.rid
 """
@@ -134,14 +133,16 @@ p AS (SELECT lid, rid, {_LEV} AS score FROM l, r, big WHERE NOT many OR lower(su
 b AS (SELECT *, {_BEST} AS n FROM p WHERE score >= 0.5)
 SELECT lid AS c_custkey, rid AS s_suppkey, round(score, 6) AS score FROM b WHERE n = 1""",
     "fuzzy_token_jaccard": f"""
-WITH t AS (SELECT p_name, p_size, min(p_partkey) AS lid, list_distinct(list_filter(string_split_regex(lower(p_name) || ' ' || CAST(p_size AS VARCHAR), '\\s+'), lambda x: x <> '')) AS k FROM part GROUP BY p_name, p_size),
-p AS (SELECT l.lid, r.lid AS rid, len(list_intersect(l.k, r.k)) / CAST(len(list_distinct(list_concat(l.k, r.k))) AS DOUBLE) AS score FROM t l, t r WHERE l.p_size <= 5 AND r.p_size BETWEEN 4 AND 9),
+WITH g AS (SELECT p_name, p_size, min(p_partkey) AS id FROM part GROUP BY p_name, p_size),
+l AS (SELECT id AS lid, list_distinct(list_filter(string_split_regex(lower(p_name) || ' ' || CAST(p_size AS VARCHAR), '\\s+'), lambda x: x <> '')) AS k FROM g),
+r AS (SELECT id AS rid, list_distinct(list_filter(string_split_regex('new ' || lower(p_name) || ' ' || CAST(p_size + 1 AS VARCHAR), '\\s+'), lambda x: x <> '')) AS k FROM g),
+p AS (SELECT lid, rid, len(list_intersect(l.k, r.k)) / CAST(len(list_distinct(list_concat(l.k, r.k))) AS DOUBLE) AS score FROM l, r),
 b AS (SELECT *, {_BEST} AS n FROM p WHERE score >= 0.5)
 SELECT lid, rid, round(score, 6) AS score FROM b WHERE n = 1""",
     "fuzzy_date_nearest": f"""
-WITH l AS (SELECT CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS lid FROM orders GROUP BY 1 HAVING month(day) <= 3),
+WITH l AS (SELECT CAST(o_orderdate AS DATE) AS day, min(o_orderkey) AS lid FROM orders GROUP BY 1),
 s AS (SELECT max(epoch(day)) - min(epoch(day)) AS span FROM l),
-r AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ship FROM lineitem WHERE l_returnflag = 'A'),
+r AS (SELECT DISTINCT CAST(l_shipdate AS DATE) AS ship FROM lineitem),
 p AS (SELECT lid, CAST(date_diff('day', DATE '1970-01-01', ship) AS BIGINT) AS rid, 1 - abs(epoch(day) - epoch(ship)) / span AS score FROM l, r, s),
 b AS (SELECT *, {_BEST} AS n FROM p WHERE score >= 0.5)
 SELECT lid, rid, round(score, 9) AS score FROM b WHERE n = 1""",
@@ -152,5 +153,5 @@ b AS (SELECT *, {_BEST} AS n FROM p WHERE score >= 0.5)
 SELECT lid AS c_nationkey, rid AS s_suppkey FROM b WHERE n = 1""",
     "fuzzy_multi_feature": _LINKED.format(seg="lower(c_mktsegment)", one="1"),
     "exact_one_to_one": _LINKED.format(seg="c_mktsegment", one="1"),
-    "cover_ratio": "WITH m AS (SELECT DISTINCT 'src' || CAST(doc_id % 9 AS VARCHAR) AS s FROM labels WHERE doc_id % 5 = 0) SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(s) AS BIGINT) AS n_matched, round(count(s) / CAST(count(*) AS DOUBLE), 6) AS cover_ratio FROM documents LEFT JOIN m ON lower(source) = lower(s)",
+    "cover_ratio": "WITH m AS (SELECT DISTINCT 'src' || CAST(doc_id % 9 AS VARCHAR) AS s FROM labels) SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(s) AS BIGINT) AS n_matched, round(count(s) / CAST(count(*) AS DOUBLE), 6) AS cover_ratio FROM documents LEFT JOIN m ON lower(source) = lower(s)",
 }

@@ -118,3 +118,32 @@ def test_fuzzy_join_keeps_left_rows(spark, a, b):
     assert all(0 <= r.score <= 1 for r in rows)
     out, _ = joins.fuzzy_join(left, right, "lid", "rid", [Feature(("k",), ("r",), "string")], block="none")
     assert out.count() == len(a)
+
+
+def test_nearest_and_shared_tokens_equal_all_pairs(spark, monkeypatch):
+    """Candidates from bins and from rare tokens lose nothing against every pair."""
+    import random
+
+    r = random.Random(3)
+    left = spark.createDataFrame([(i, r.choice([None, float(r.randrange(-50, 50)), r.uniform(-500, 500)])) for i in range(200)] + [(900, 1e6), (901, 2.0)], "lid bigint, x double")
+    right = spark.createDataFrame([(i, r.choice([None, float(r.randrange(-50, 50)), r.uniform(-300, 900)])) for i in range(150)], "rid bigint, y double")
+    feature = [joins.Feature(("x",), ("y",), "number")]
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    for bins in (200, 3):
+        monkeypatch.setattr(joins, "BINS", bins)
+        assert rows(joins.linked(left, right, "lid", "rid", feature)) == rows(joins.best_matches(joins.scored_pairs(left, right, "lid", "rid", feature)))
+    assert joins.linked(left, right.limit(0), "lid", "rid", feature).count() == 0
+    words = ["red", "blue", "tall", "old", "new", "house", "tree", "Tree", "car"]
+    texts = lambda n: [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 6)))) for i in range(n)]
+    a, b = spark.createDataFrame(texts(80), "lid bigint, x string"), spark.createDataFrame(texts(80), "rid bigint, y string")
+    feature = [joins.Feature(("x",), ("y",), "token")]
+    for threshold in (0.3, 0.5, 0.8, 1.0):
+        got = joins.linked(a, b, "lid", "rid", feature, threshold=threshold)
+        sets = {(t, i): frozenset(x.lower().split()) for t, df in (("l", a), ("r", b)) for i, x in df.collect()}
+        want = {}
+        for (t, i), x in sets.items():
+            if t == "l":
+                all_ = [(len(x & y) / len(x | y), j) for (u, j), y in sets.items() if u == "r" and x | y]
+                if all_ and max(all_)[0] >= threshold:
+                    want[i] = max(all_)
+        assert {x.lid: (x.score, x.rid) for x in got.collect()} == want
