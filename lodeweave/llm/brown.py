@@ -1,27 +1,32 @@
 """Language-model scoring with Brown's class-based n-grams.
 
-Brown et al. (Computational Linguistics 18:4, 1992): P(w | w') = P(c(w) | c(w')) * P(w | c(w)), where
-each word has one class. Classes come from exchange clustering: a word moves to the class that
-raises the mutual information of neighbouring classes the most, pass after pass.
-
-What is counted, over all training documents: every token (a table of counts by a 64-bit hash of the
-token, written to the shared folder; it grows with the corpus and is never collected) and the pairs
-of neighbouring types. A type is one of the ``HEAD`` most frequent tokens, or, for any other token,
-one of ``TAILS`` buckets of its last bytes and length: rare tokens get a class by what they look
-like, and a class is known without a look-up. Pairs of types are at most (HEAD + TAILS + 1)**2 rows,
-whatever the corpus: that is the bound of what the driver clusters.
-
-Scoring needs log(c + 0.5) of every token. Counts of the ``CACHE`` most frequent tokens go to the
-executors (16 bytes each); the rest of the tokens are summed for each document and joined with the
-table of counts.
+Brown et al. (Computational Linguistics 18:4, 1992): P(w | w') = P(c(w) | g(w')) * P(w | c(w)). Every
+training word has one class c, found by exchange clustering: a word moves to the class that raises the
+likelihood of the training text the most, pass after pass. As in two-sided class models, the class g under which a
+word stands as context may differ from the one under which it is predicted, so that g is known
+without a look-up, also of words never seen.
+
+Contexts. A type is one of the ``HEAD`` most frequent tokens, or, for any other token, one of ``TAILS`` buckets of
+its last bytes and length. Pairs of neighbouring types, at most (HEAD + TAILS + 1)**2 rows whatever
+the corpus, are clustered by sequential exchange on the driver: each type's class is g of its tokens, and where
+their predicted classes begin.
+
+Words. A stored table has a row for each training token's hash with its counts after each g; it grows with the corpus and
+is never collected. Exchange runs over it in passes: given the table N(g, c) of the pass before (CLASSES**2 numbers, the
+bound of what goes to the executors and comes back), each word of one half of the words takes the class that gains most,
+itself removed; the halves alternate, so that words don't all run after one another. Where a word stands after some
+passes follows from its row and the tables of these passes alone: nothing is stored between passes.
+
+Scoring needs class and count of every token. Those of the ``CACHE`` most frequent tokens go to the
+executors (20 bytes each); the other tokens are summed for each document and joined with the table of words.
 
 The model's smoothing: class transitions are interpolated with class frequencies by Witten-Bell;
 a word's share of its class is (c + 0.5) / (N_c + 0.5 * (V_c + 1)), whose last 0.5 is for words never
-seen.
+seen, which are taken to be of their type's class.
 
 Cases: a null text is an empty one and has its end token alone; repeated rows are scored each and
 learnt from each; a null doc_id is held out of learning (its crc32 is null); no training rows at all
-give N = V = 0; extra columns are ignored.
+give N = V = 0; extra columns are ignored; an empty table gives an empty result. Tokens are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -35,11 +40,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import _bytes
-from lodeweave.llm._store import arrow, stored
+from lodeweave.llm._store import arrow, forget, stored
 
-HEAD = 1500
-TAILS = 500
+HEAD = 1000
+TAILS = 250
 CLASSES = 64
+#: Rounds of the driver's exchange over types at most, and passes over all words (each moves one half of them).
+ROUNDS = 4
 PASSES = 4
 CACHE = 200_000
 #: Counts that a task holds before it hands them on.
@@ -69,22 +76,27 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _folded(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, first, at = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
-    return key, np.concatenate([p[1] for p in parts])[first], np.bincount(at, np.concatenate([p[2] for p in parts]), len(key)).astype(np.int64)
+    """(key, code, n) with each (key, code) once."""
+    key, code, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((code, key))
+    key, code, n = key[order], code[order], n[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (code[1:] != code[:-1])
+    first = np.flatnonzero(new)
+    return key[first], code[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
-    """(key, tail, n) of what ``keys_of`` gives for each part of a batch, summed within the task as far as memory allows."""
+    """(key, code, n) of what ``keys_of`` gives for each part of a batch, summed within the task as far as memory allows."""
     parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def batch_of(k: np.ndarray, t: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(t.astype(np.int32)), pa.array(n)], ["key", "tail", "n"])
+    def batch_of(k: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(c.astype(np.int32)), pa.array(n)], ["key", "code", "n"])
 
     for batch in batches:
         for part in _bytes.slices(batch, "text"):
-            keys, tail = keys_of(part.column("text"))
-            k, first, n = np.unique(keys, return_index=True, return_counts=True)
-            parts.append((k, tail[first], n))
+            key, code = keys_of(part.column("text"))
+            parts.append(_folded([(key, code, np.ones(len(key), np.int64))]))
             if sum(len(p[0]) for p in parts) > _HELD:
                 parts = [_folded(parts)]
                 if len(parts[0][0]) > _HELD // 2:
@@ -93,18 +105,25 @@ def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBa
         yield batch_of(*_folded(parts))
 
 
-_COUNTS = "key bigint, tail int, n bigint"
+_COUNTS = "key bigint, code int, n bigint"
 
 
 def token_counts(docs: DataFrame) -> DataFrame:
-    """(key, tail, n): how often each token's hash occurs in all texts; a table in the shared folder."""
+    """(key, n): how often each token's hash occurs in all texts."""
 
     def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        h, tail, _ = tokens(column)
-        return h.view(np.int64), tail
+        h, _, _ = tokens(column)
+        return h.view(np.int64), np.zeros(len(h), np.int32)
 
-    out = arrow(docs.select("text"), lambda b: _counted(b, keys_of), _COUNTS)
-    return stored(out.groupBy("key", "tail").agg(F.sum("n").alias("n")), "lm-counts")
+    return arrow(docs.select("text"), lambda b: _counted(b, keys_of), _COUNTS).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _before(of: np.ndarray, doc: np.ndarray, texts: int, end: int) -> np.ndarray:
+    """What stands before each token; before a text's first one an end."""
+    before = np.empty_like(of)
+    before[1:] = of[:-1]
+    before[np.searchsorted(doc, np.arange(texts))] = end
+    return before
 
 
 @dataclass(frozen=True)
@@ -133,10 +152,7 @@ def pair_counts(docs: DataFrame, types: Types) -> tuple[np.ndarray, np.ndarray,
     def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         h, tail, doc = tokens(column)
         t = types.of(h, tail)
-        before = np.empty_like(t)
-        before[1:] = t[:-1]
-        before[np.searchsorted(doc, np.arange(len(column)))] = types.size - 1
-        return before * types.size + t, t
+        return _before(t, doc, len(column), types.size - 1) * types.size + t, np.zeros(len(t), np.int32)
 
     out = arrow(docs.select("text"), lambda b: _counted(b, keys_of), _COUNTS)
     got = out.groupBy("key").agg(F.sum("n").alias("n")).toArrow()
@@ -148,7 +164,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.where(x > 0, x, 1))
 
 
-def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, passes: int = PASSES) -> np.ndarray:
+def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """Each type's class, by exchange clustering (Martin, Liermann and Ney, 1998).
 
     Types begin dealt over the classes by frequency; in turn, from the most frequent on, each moves to
@@ -166,7 +182,7 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     sums = np.bincount(c, total, classes)
     by_right, by_left = np.argsort(right, kind="stable"), np.argsort(left, kind="stable")
     at_right, at_left = np.searchsorted(right[by_right], np.arange(size + 1)), np.searchsorted(left[by_left], np.arange(size + 1))
-    for _ in range(passes):
+    for _ in range(rounds):
         moved = 0
         for t in order:
             ins, outs = by_right[at_right[t] : at_right[t + 1]], by_left[at_left[t] : at_left[t + 1]]
@@ -196,9 +212,108 @@ def exchange(left: np.ndarray, right: np.ndarray, n: np.ndarray, size: int, clas
     return c
 
 
+def word_table(docs: DataFrame, types: Types, klass: np.ndarray, classes: int) -> DataFrame:
+    """(key, first, g, n) of every token's hash: the class it begins in, and how often it follows each context class; stored."""
+
+    def keys_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, tail, doc = tokens(column)
+        g = klass[types.of(h, tail)]
+        return h.view(np.int64), _before(g, doc, len(column), klass[-1]) * classes + g
+
+    # dealt by key once: both aggregations below keep that partitioning
+    pairs = arrow(docs.select("text"), lambda b: _counted(b, keys_of), _COUNTS).repartition("key").groupBy("key", "code").agg(F.sum("n").alias("n"))
+    row = F.array_sort(F.collect_list(F.struct((F.col("code") / classes).cast("int").alias("g"), "n")))
+    rows = pairs.groupBy("key").agg(F.min(F.col("code") % classes).cast("int").alias("first"), row.alias("x"))
+    return stored(rows.select("key", "first", F.col("x.g").alias("g"), F.col("x.n").alias("n")), "lm-words")
+
+
+#: Counts up to which gains are looked up, and entries that are weighed at once.
+_SMALL, _ENTRIES = 8, 1 << 14
+
+
+class Passes:
+    """Where words stand after some passes of exchange, from the tables N(g, c) of these passes."""
+
+    def __init__(self, tables: list[np.ndarray]):
+        self.tables = tables
+
+    def classes(self, key: np.ndarray, first: np.ndarray, size: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Each word's class; ``size``: how many of the entries (g, n), in order, are the word's."""
+        c = first.copy()
+        begin = np.cumsum(size) - size
+        for p, table in enumerate(self.tables):
+            movers = np.flatnonzero((_bytes.mix(key.view(np.uint64)) & np.uint64(1) == p % 2) & (key != END.view(np.int64)))
+            ends = np.cumsum(size[movers])
+            i = 0
+            small = np.arange(_SMALL + 1)[:, None, None]
+            looked = _xlogx(table + small) - _xlogx(table)
+            own = _xlogx(table) - _xlogx(np.maximum(table - small, 0))
+            while i < len(movers):
+                j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _ENTRIES, "right")))
+                some = movers[i:j]
+                c[some] = self._best(table, looked, own, c[some], size[some], np.repeat(begin[some], size[some]) + _bytes.spans_of(size[some]), g, n)
+                i = j
+        return c
+
+    @staticmethod
+    def _best(table: np.ndarray, looked: np.ndarray, own: np.ndarray, was: np.ndarray, size: np.ndarray, at: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The class of the largest gain for each word, itself removed from the one where it stands; ties to the smaller."""
+        g, n, stood = g[at], n[at], np.repeat(was, size)
+        gain = looked[np.minimum(n, _SMALL), g]
+        rows = np.arange(len(at))
+        gain[rows, stood] = own[np.minimum(n, _SMALL), g, stood]
+        many = np.flatnonzero(n > _SMALL)
+        there = table[g[many]]
+        gain[many] = _xlogx(there + n[many, None]) - _xlogx(there)
+        held = table[g[many], stood[many]]
+        gain[many, stood[many]] = _xlogx(held) - _xlogx(np.maximum(held - n[many], 0))
+        first = np.cumsum(size) - size
+        total, sums = np.add.reduceat(n, first).astype(np.float64), table.sum(axis=0)
+        cost = _xlogx(sums + total[:, None]) - _xlogx(sums)
+        cost[np.arange(len(was)), was] = _xlogx(sums[was]) - _xlogx(np.maximum(sums[was] - total, 0))
+        return np.argmax(np.round(np.add.reduceat(gain, first) - cost, 6)[:, :-1], axis=1).astype(was.dtype)
+
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+    lists = batch.column("g")
+    return (batch.column("key").to_numpy(), batch.column("first").to_numpy(), lists.value_lengths().to_numpy(),
+            lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy())
+
+
+def class_pairs(words: DataFrame, tables: list[np.ndarray], classes: int) -> np.ndarray:
+    """N(g, c) after the passes of ``tables``: at most classes**2 rows come to the driver."""
+    passes = Passes(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(classes * classes, np.int64)
+        for batch in batches:
+            key, first, size, g, n = _columns(batch)
+            c = passes.classes(key, first, size, g, n)
+            np.add.at(out, g.astype(np.int64) * classes + np.repeat(c, size), n)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out[at])], ["at", "n"])
+
+    got = arrow(words, run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(got.column("at").to_numpy(), got.column("n").to_numpy(), classes * classes).reshape(classes, classes)
+
+
+def assigned(words: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(key, class, n) of every word after the passes; stored."""
+    passes = Passes(tables)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, first, size, g, n = _columns(batch)
+            c = passes.classes(key, first, size, g, n)
+            total = np.add.reduceat(n, np.cumsum(size) - size) if len(n) else n
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(c.astype(np.int32)), pa.array(total)], ["key", "class", "n"])
+
+    return stored(arrow(words, run, "key bigint, class int, n bigint"), "lm-classes")
+
+
 @dataclass(frozen=True)
 class Model:
-    """log10 of class transitions; the log10 divisor of a class's words; the classes of types."""
+    """Types and their classes; log10 of class transitions; the log10 divisor of a class's words; words, the most frequent ones here."""
 
     types: Types
     klass: np.ndarray
@@ -206,8 +321,9 @@ class Model:
     divisor: np.ndarray
     total: int
     distinct: int
-    counts: DataFrame
-    cache: tuple[np.ndarray, np.ndarray]
+    words: DataFrame
+    cache: tuple[np.ndarray, np.ndarray, np.ndarray]
+    tables: tuple[np.ndarray, ...] = ()
 
 
 def _transitions(pairs: np.ndarray) -> np.ndarray:
@@ -219,29 +335,26 @@ def _transitions(pairs: np.ndarray) -> np.ndarray:
     return np.log10((pairs + seen * unigram) / (sums + seen))
 
 
-def fit(docs: DataFrame, head: int = HEAD, cache: int = CACHE, classes: int = CLASSES) -> Model:
+def fit(docs: DataFrame, head: int = HEAD, cache: int = CACHE, classes: int = CLASSES, passes: int = PASSES) -> Model:
     """The model of all ``docs`` (text)."""
-    counts = token_counts(docs)
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "key").limit(cache).toArrow()
-    key, n = top.column("key").to_numpy().astype(np.int64), top.column("n").to_numpy().astype(np.int64)
-    words = key[key != END.view(np.int64)]
-    types = Types(np.sort(words[:head]))
+    top = token_counts(docs).where(F.col("key") != int(END.view(np.int64))).orderBy(F.desc("n"), "key").limit(head).toArrow()
+    types = Types(np.sort(top.column("key").to_numpy().astype(np.int64)))
     left, right, many = pair_counts(docs, types)
-    klass = exchange(left, right, many, types.size, classes)
-    pairs = np.bincount(klass[left] * classes + klass[right], many, classes * classes).reshape(classes, classes)
-    # words of each class: the head's one each, a bucket's as many as it holds
-    tails = np.zeros(TAILS + 1)
-    for tail, size in counts.groupBy("tail").count().collect():
-        tails[tail] = size
-    np.subtract.at(tails, top.column("tail").to_numpy()[key != END.view(np.int64)][:head], 1)
-    v = np.bincount(klass, np.concatenate([np.ones(len(types.head)), tails]), classes)
-    return Model(types, klass, _transitions(pairs), np.log10(pairs.sum(axis=0) + 0.5 * (v + 1)), int(total), int(distinct), counts, _sorted(key, n))
-
-
-def _sorted(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    klass = exchange(left, right, many, types.size, classes).astype(np.int32)
+    words = word_table(docs, types, klass, classes)
+    tables = [class_pairs(words, [], classes)]
+    for _ in range(passes):
+        tables.append(class_pairs(words, tables, classes))
+    known = assigned(words, tables[:-1])
+    forget(words)
+    pairs = tables[-1]
+    v = np.zeros(classes)
+    for r in known.groupBy("class").count().collect():  # a row for each class
+        v[r["class"]] = r["count"]
+    got = known.orderBy(F.desc("n"), "key").limit(cache).toArrow()
+    key, c, n = (got.column(x).to_numpy() for x in ("key", "class", "n"))
     order = np.argsort(key)
-    return key[order], n[order]
+    return Model(types, klass, _transitions(pairs), np.log10(pairs.sum(axis=0) + 0.5 * (v + 1)), int(pairs.sum()), int(v.sum()), known, (key[order], c[order], n[order]), tuple(tables))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -250,9 +363,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     base = float(np.log10(model.total + 0.5 * (model.distinct + 1)))
     # a row's own key, so that repeated ids and null ids stay rows of their own
     rows = docs.select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
-    key, n = model.cache
+    key, of, n = model.cache
     log_n = np.log10(n + 0.5)
     types, klass, transition, divisor = model.types, model.klass, model.transition, model.divisor
+    classes = len(divisor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,36 +376,43 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 k = h.view(np.int64)
                 at = np.minimum(np.searchsorted(key, k), max(len(key) - 1, 0))
                 hit = key[at] == k if len(key) else np.zeros(len(k), bool)
-                c = klass[types.of(h, tail)]
-                before = np.empty_like(c)
-                before[1:] = c[:-1]
-                before[np.searchsorted(doc, np.arange(texts))] = klass[-1]
-                shape = np.bincount(doc, transition[before, c] - divisor[c], texts)
-                logs = np.bincount(doc[hit], log_n[at[hit]], texts) if len(key) else np.zeros(texts)
+                g = klass[types.of(h, tail)]
+                before = _before(g, doc, texts, klass[-1])
+                # tokens that aren't in the cache are taken for unknown ones here; what is known of them is added below
+                c, log_of = g.copy(), np.full(len(k), unknown)
+                if len(key):
+                    c[hit], log_of[hit] = of[at[hit]], log_n[at[hit]]
+                shape = np.bincount(doc, transition[before, c] - divisor[c] + log_of, texts)
+                logs = np.bincount(doc, log_of, texts)
                 size, known = np.bincount(doc, minlength=texts), np.bincount(doc[hit], minlength=texts)
-                # of the rest, each document's different tokens and how often each occurs
-                rest, far = doc[~hit], k[~hit]
-                order = np.lexsort((far, rest))
-                rest, far = rest[order], far[order]
+                # of the rest, each document's different (token, context, type's class) and how often each occurs
+                rest, far, code = doc[~hit], k[~hit], before[~hit] * classes + g[~hit]
+                order = np.lexsort((code, far, rest))
+                rest, far, code = rest[order], far[order], code[order]
                 new = np.ones(len(far), bool)
-                new[1:] = (rest[1:] != rest[:-1]) | (far[1:] != far[:-1])
+                new[1:] = (rest[1:] != rest[:-1]) | (far[1:] != far[:-1]) | (code[1:] != code[:-1])
                 first = np.flatnonzero(new)
                 often = np.diff(np.append(first, len(far)))
-                at_doc = np.searchsorted(rest[first], np.arange(texts + 1)).astype(np.int32)
+                at_doc = pa.array(np.searchsorted(rest[first], np.arange(texts + 1)).astype(np.int32))
+                listed = lambda x, kind: pa.ListArray.from_arrays(at_doc, pa.array(x.astype(kind)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("_row"), pa.array(size), pa.array(known), pa.array(logs), pa.array(shape),
-                     pa.ListArray.from_arrays(pa.array(at_doc), pa.array(far[first])), pa.ListArray.from_arrays(pa.array(at_doc), pa.array(often.astype(np.int32)))],
-                    ["doc_id", "_row", "n_tokens", "known", "logs", "shape", "keys", "often"],
+                    [part.column("doc_id"), part.column("_row"), pa.array(size), pa.array(known), pa.array(logs), pa.array(shape), listed(far[first], np.int64), listed(code[first], np.int32), listed(often, np.int32)],
+                    ["doc_id", "_row", "n_tokens", "known", "logs", "shape", "keys", "codes", "often"],
                 )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    light = stored(arrow(rows, run, f"doc_id {id_type}, _row bigint, n_tokens bigint, known bigint, logs double, shape double, keys array<bigint>, often array<int>"), "lm-rows")
-    far = light.select("_row", F.explode(F.arrays_zip("keys", "often")).alias("x")).select("_row", F.col("x.keys").alias("key"), F.col("x.often").alias("often"))
-    found = far.join(model.counts, "key").groupBy("_row").agg(F.sum("often").alias("more"), F.sum(F.col("often") * F.log10(F.col("n") + 0.5)).alias("more_logs"))
-    out = light.drop("keys", "often").join(found, "_row", "left").na.fill(0, ["more", "more_logs"])
-    n_known = F.col("known") + F.col("more")
-    logs = F.col("logs") + F.col("more_logs") + (F.col("n_tokens") - n_known) * unknown
-    return out.select("doc_id", "n_tokens", n_known.alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"), (logs - F.col("n_tokens") * base).alias("base_score"), (logs + F.col("shape")).alias("score"))
+    light = stored(arrow(rows, run, f"doc_id {id_type}, _row bigint, n_tokens bigint, known bigint, logs double, shape double, keys array<bigint>, codes array<int>, often array<int>"), "lm-rows")
+    far = light.select("_row", F.explode(F.arrays_zip("keys", "codes", "often")).alias("x")).select("_row", F.col("x.keys").alias("key"), F.col("x.codes").alias("code"), F.col("x.often").alias("often"))
+    # log10 P(c | g) less the divisor of c, a literal of classes**2 numbers
+    literal = F.split(F.lit(",".join(map(repr, (transition - divisor).ravel().tolist()))), ",").cast("array<double>")
+    share = lambda g, c: F.element_at(literal, (g * classes + c + 1).cast("int"))
+    context = F.floor(F.col("code") / classes)
+    more = F.log10(F.col("n") + 0.5) - unknown
+    other = share(context, F.col("class")) - share(context, F.col("code") % classes)
+    found = far.join(model.words, "key").groupBy("_row").agg(F.sum("often").alias("more"), F.sum(F.col("often") * more).alias("more_logs"), F.sum(F.col("often") * (more + other)).alias("more_shape"))
+    out = light.drop("keys", "codes", "often").join(found, "_row", "left").na.fill(0, ["more", "more_logs", "more_shape"])
+    return out.select("doc_id", "n_tokens", (F.col("known") + F.col("more")).alias("n_known"), F.lit(model.total).cast("bigint").alias("train_tokens"),
+                      (F.col("logs") + F.col("more_logs") - F.col("n_tokens") * base).alias("base_score"), (F.col("shape") + F.col("more_shape")).alias("score"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

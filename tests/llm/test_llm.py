@@ -395,7 +395,8 @@ def test_lm_against_brute_force(spark):
     rows += [(1000, None, None), (1001, "new\twords  only ", None), (5, rows[5][1], None), (None, "one two", None), (1003, "two " * 40_000, None)]
     docs = frame(spark, rows)
     train = docs.where(brown.in_training(F.col("doc_id")))
-    got = brown.score(docs, brown.fit(train, head=20, cache=15, classes=8)).collect()
+    model = brown.fit(train, head=20, cache=15, classes=8)
+    got = brown.score(docs, model).collect()
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
     import zlib
 
@@ -404,6 +405,55 @@ def test_lm_against_brute_force(spark):
     want = sorted((str(i), len(w := tokens(t)), sum(c[x] > 0 for x in w), round(sum(math.log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w), 5)) for i, t, _ in rows)
     assert sorted((str(x.doc_id), x.n_tokens, x.n_known, round(x.base_score, 5)) for x in got) == want
     assert {x.train_tokens for x in got} == {n}
+    # the classes of all words and the scores, with plain loops; the types' classes are the driver's (tested below)
+    def seen(t):
+        h, tail, _ = brown.tokens(pa.array([t], pa.string()))
+        return list(zip(h.tolist(), model.klass[model.types.of(h, tail)].tolist()))
+
+    xlogx = lambda x: x * math.log(x) if x > 0 else 0.0
+    K, end = 8, int(model.klass[-1])
+    after, first = defaultdict(Counter), {}
+    for i, t, _ in rows:
+        if i is not None and zlib.crc32(str(i).encode()) % 5 != 1:
+            g = end
+            for h, own in seen(t):
+                after[h][g] += 1
+                first[h] = g = own
+    at = dict(first)
+    for p in range(brown.PASSES):
+        pairs = Counter()
+        for h, x in after.items():
+            for g, k in x.items():
+                pairs[g, at[h]] += k
+        sums = [sum(pairs[g, k] for g in range(K)) for k in range(K)]
+        moved = dict(at)
+        for h, x in after.items():
+            if h == 0 or int(brown._bytes.mix(np.array([h], np.uint64))[0]) % 2 != p % 2:
+                continue
+            gains = []
+            for k in range(K - 1):
+                less = lambda g: x[g] if k == at[h] else 0  # noqa: B023, E731
+                size = sum(x.values())
+                s = sums[k] - (size if k == at[h] else 0)
+                gains.append(round(sum(xlogx(pairs[g, k] - less(g) + n_) - xlogx(pairs[g, k] - less(g)) for g, n_ in x.items()) - xlogx(s + size) + xlogx(s), 6))
+            moved[h] = gains.index(max(gains))
+        at = moved
+    final = np.zeros((K, K))
+    for h, x in after.items():
+        for g, k in x.items():
+            final[g, at[h]] += k
+    assert np.array_equal(final, model.tables[-1])
+    trans = brown._transitions(final)
+    many, distinct = final.sum(axis=0), Counter(at.values())
+    want = []
+    for i, t, _ in rows:
+        g, total = end, 0.0
+        for h, own in seen(t):
+            k = at.get(h, own)
+            total += trans[g, k] + math.log10((sum(after[h].values()) if h in after else 0) + 0.5) - math.log10(many[k] + 0.5 * (distinct[k] + 1))
+            g = own
+        want.append((str(i), len(seen(t)), round(total, 4)))
+    assert sorted((str(x.doc_id), x.n_tokens, round(x.score, 4)) for x in got) == sorted(want)
     assert sum(x.score for x in got) > sum(x.base_score for x in got)
     assert all(math.isfinite(x.score) and x.score < 0 for x in got)
 
