@@ -42,12 +42,14 @@ from pyspark.sql import functions as F
 from lodeweave.llm import _bytes
 from lodeweave.llm._store import arrow, forget, stored
 
-HEAD = 1000
-TAILS = 250
+HEAD = 1500
+TAILS = 500
 CLASSES = 64
 #: Rounds of the driver's exchange over types at most, and passes over all words (each moves one half of them).
 ROUNDS = 4
 PASSES = 4
+#: What a move over all words must gain in log-likelihood: without it, words seen once or twice follow chance.
+MARGIN = 4.0
 CACHE = 200_000
 #: Counts that a task holds before it hands them on.
 _HELD = 1 << 20
@@ -234,8 +236,8 @@ _SMALL, _ENTRIES = 8, 1 << 14
 class Passes:
     """Where words stand after some passes of exchange, from the tables N(g, c) of these passes."""
 
-    def __init__(self, tables: list[np.ndarray]):
-        self.tables = tables
+    def __init__(self, tables: list[np.ndarray], margin: float | None = None):
+        self.tables, self.margin = tables, MARGIN if margin is None else margin
 
     def classes(self, key: np.ndarray, first: np.ndarray, size: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Each word's class; ``size``: how many of the entries (g, n), in order, are the word's."""
@@ -255,9 +257,8 @@ class Passes:
                 i = j
         return c
 
-    @staticmethod
-    def _best(table: np.ndarray, looked: np.ndarray, own: np.ndarray, was: np.ndarray, size: np.ndarray, at: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The class of the largest gain for each word, itself removed from the one where it stands; ties to the smaller."""
+    def _best(self, table: np.ndarray, looked: np.ndarray, own: np.ndarray, was: np.ndarray, size: np.ndarray, at: np.ndarray, g: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """The class of the largest gain for each word, itself removed from the one where it stands; ties to the smaller; a word stays unless ``margin`` is gained."""
         g, n, stood = g[at], n[at], np.repeat(was, size)
         gain = looked[np.minimum(n, _SMALL), g]
         rows = np.arange(len(at))
@@ -271,7 +272,10 @@ class Passes:
         total, sums = np.add.reduceat(n, first).astype(np.float64), table.sum(axis=0)
         cost = _xlogx(sums + total[:, None]) - _xlogx(sums)
         cost[np.arange(len(was)), was] = _xlogx(sums[was]) - _xlogx(np.maximum(sums[was] - total, 0))
-        return np.argmax(np.round(np.add.reduceat(gain, first) - cost, 6)[:, :-1], axis=1).astype(was.dtype)
+        score = np.round(np.add.reduceat(gain, first) - cost, 6)[:, :-1]
+        best = np.argmax(score, axis=1)
+        row = np.arange(len(was))
+        return np.where(score[row, best] >= score[row, was] + self.margin, best, was).astype(was.dtype)
 
 
 def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:

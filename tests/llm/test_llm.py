@@ -388,13 +388,14 @@ def test_pieces_way_back(spark):
 # language model
 
 
-def test_lm_against_brute_force(spark):
+def test_lm_against_brute_force(spark, monkeypatch):
     r = random.Random(8)
     a, b = ["un", "deux", "trois"], ["One", "two", "three", "four"]
     rows = [(i, " ".join(r.choice(a if i % 2 else b) + r.choice(["", "", "x", str(r.randrange(50))]) for _ in range(r.randint(0, 40))), None) for i in range(300)]
     rows += [(1000, None, None), (1001, "new\twords  only ", None), (5, rows[5][1], None), (None, "one two", None), (1003, "two " * 40_000, None)]
     docs = frame(spark, rows)
     train = docs.where(brown.in_training(F.col("doc_id")))
+    monkeypatch.setattr(brown, "MARGIN", 0.5)
     model = brown.fit(train, head=20, cache=15, classes=8)
     got = brown.score(docs, model).collect()
     tokens = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)) + [None]
@@ -436,7 +437,8 @@ def test_lm_against_brute_force(spark):
                 size = sum(x.values())
                 s = sums[k] - (size if k == at[h] else 0)
                 gains.append(round(sum(xlogx(pairs[g, k] - less(g) + n_) - xlogx(pairs[g, k] - less(g)) for g, n_ in x.items()) - xlogx(s + size) + xlogx(s), 6))
-            moved[h] = gains.index(max(gains))
+            if max(gains) >= gains[at[h]] + brown.MARGIN:
+                moved[h] = gains.index(max(gains))
         at = moved
     final = np.zeros((K, K))
     for h, x in after.items():
