@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,9 +22,27 @@ FORMATS = (
 )
 
 
+def shape(pattern: str) -> str:
+    """A regular expression that every text in the format matches: a failing parse costs far more than a failing match."""
+    out, i = "(?i)^", 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "'":
+            end = pattern.index("'", i + 1)
+            out += re.escape(pattern[i + 1 : end])
+            i = end + 1
+            continue
+        n = 1
+        while c.isalpha() and i + n < len(pattern) and pattern[i + n] == c:
+            n += 1
+        out += {"y": r"[+-]?\d+", "M": r"\d+" if n < 3 else r"\p{L}+\.?"}.get(c, r"\d+") if c.isalpha() else re.escape(c)
+        i += n
+    return out + "$"
+
+
 def parse_date(text: Column) -> Column:
     """Timestamp of a text in one of FORMATS, else null."""
-    return F.coalesce(*(F.try_to_timestamp(text, F.lit(f)) for f, _ in FORMATS))
+    return F.coalesce(*(F.try_to_timestamp(F.when(text.rlike(shape(f)), text), F.lit(f)) for f, _ in FORMATS))
 
 
 def iso(ts: Column) -> Column:

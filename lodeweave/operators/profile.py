@@ -40,6 +40,18 @@ def _ratio(n: Column, of: Column) -> Column:
     return F.when(of > 0, n / of)
 
 
+def _by_value(df: DataFrame, columns: Sequence[str], aggregates: dict[str, Column]) -> DataFrame:
+    """A row for each column with aggregates over its distinct texts: ``value`` (null where missing) and ``n``, how many rows have it.
+
+    One grouping by (column, value), summed map-side, so that a value is examined once however often it occurs.
+    """
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns)))
+    counted = df.select(cells.alias("x")).groupBy(F.col("x.column").alias("column"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
+    every = df.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, columns))).alias("column"))
+    found = counted.groupBy("column").agg(*(a.alias(k) for k, a in aggregates.items()))
+    return every.join(F.broadcast(found), "column", "left")  # a row for each column
+
+
 def missing(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """F-01: number and ratio of nulls, of all rows."""
     def one(c: str) -> dict[str, Column]:
@@ -162,13 +174,15 @@ def filenames(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 def punctuation(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     """F-07: the most frequent punctuation marks: count, ratio to characters, mean density of cells, and cells whose density is an outlier.
 
-    Numeric cells count as without punctuation. Two passes: all marks' sums and deviations in one row, then outliers.
+    Numeric cells count as without punctuation. A cell is reduced to its marks and its length once; both passes (all
+    marks' sums and deviations in one row, then outliers) count in that short text.
     """
     v = F.coalesce(F.col(column).cast("string"), F.lit(""))
-    cell = df.select(F.when(text.is_number(v), "").otherwise(v).alias("v"), F.length(v).alias("chars"))
     marks = [m for m in PUNCTUATION]
+    other = "[^" + "".join("\\" + m for m in marks) + "]+"
+    cell = df.select(F.when(text.is_number(v), "").otherwise(F.regexp_replace(v, other, "")).alias("v"), F.length(v).alias("chars"))
     many = {m: F.length("v") - F.length(F.replace(F.col("v"), F.lit(m), F.lit(""))) for m in marks}
-    density = {m: F.coalesce(_ratio(many[m], F.length("v")), F.lit(0.0)) for m in marks}
+    density = {m: F.coalesce(_ratio(many[m], F.col("chars")), F.lit(0.0)) for m in marks}
     stats = cell.agg(F.sum("chars").alias("all"), *(f.alias(f"{k_}{i}") for i, m in enumerate(marks) for k_, f in (("n", F.sum(many[m])), ("d", F.avg(density[m])), ("s", F.stddev_pop(density[m])))))
     outs = cell.join(F.broadcast(stats)).agg(F.first("all").alias("all"), *(x for i, m in enumerate(marks) for x in (F.first(f"n{i}").alias(f"n{i}"), F.first(f"d{i}").alias(f"d{i}"), F.count_if(F.abs(density[m] - F.col(f"d{i}")) > SIGMA * F.col(f"s{i}")).alias(f"o{i}"))))
     rows = [F.struct(F.lit(m).alias("punctuation"), F.col(f"n{i}").alias("count"), _ratio(F.col(f"n{i}"), F.col("all")).alias("ratio"), F.col(f"d{i}").alias("density_of_cell"), F.col(f"o{i}").alias("num_outlier_cells")) for i, m in enumerate(marks)]
@@ -242,12 +256,12 @@ def entity_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
 
     It does if some value is no date, there is a value, and numeric rows over distinct values are at most a half.
     """
-    def one(c: str) -> dict[str, Column]:
-        v = F.col(c)
-        many = F.count_distinct(v)
-        return {"n_distinct": many, "is_entity": F.coalesce((F.count_if(v.isNotNull() & dates.parse_date(v).isNull()) > 0) & (many > 0) & (F.try_divide(F.count_if(text.is_number(v)), many) <= 0.5), F.lit(False))}
-
-    return _long(df, {c: one(c) for c in columns or string_columns(df)})
+    v = F.col("value")
+    many, undated = F.count(v), F.count_if(v.isNotNull() & dates.parse_date(v).isNull())
+    numeric = F.coalesce(F.sum(F.when(text.is_number(v), F.col("n"))), F.lit(0))
+    found = _by_value(df, columns or string_columns(df), {"n_distinct": many, "undated": undated, "numeric": numeric})
+    entity = (F.col("undated") > 0) & (F.col("n_distinct") > 0) & (F.try_divide("numeric", "n_distinct") <= 0.5)
+    return found.select("column", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), F.coalesce(entity, F.lit(False)).alias("is_entity"))
 
 
 def entity_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -272,17 +286,13 @@ def temporal_coverage(df: DataFrame, columns: Sequence[str], supplied: dict[str,
 
 def majority_type(df: DataFrame, columns: Sequence[str], share: float = 0.8) -> DataFrame:
     """G-01: the semantic type that ``share`` of a column's values have, else Text; MissingData if as many are missing."""
-    def one(c: str) -> dict[str, Column]:
-        v = F.trim(F.col(c).cast("string"))
-        here = F.count_if(v.isNotNull() & (v != ""))
-        part = lambda cond: F.coalesce(F.try_divide(F.count_if(cond & v.isNotNull() & (v != "")), here), F.lit(0.0)) >= share
-        kind = (
-            F.when(F.coalesce(F.try_divide(F.count("*") - here, F.count("*")), F.lit(1.0)) >= share, "MissingData")
-            .when(part(dates.parse_date(v).isNotNull()), "Time")
-            .when(part(text.is_number(v)), "Float")
-            .when(part(v.rlike(r"^[+-]?[0-9.]+\s*(-|to)\s*[+-]?[0-9.]+$")), "Interval")
-            .otherwise("Text")
-        )
-        return {"semantic_type": kind, "n_values": here}
-
-    return _long(df, {c: one(c) for c in columns})
+    v = F.trim("value")
+    there = v.isNotNull() & (v != "")
+    rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    kinds = {"Time": dates.parse_date(v).isNotNull(), "Float": text.is_number(v), "Interval": v.rlike(r"^[+-]?[0-9.]+\s*(-|to)\s*[+-]?[0-9.]+$")}
+    found = _by_value(df, columns, {"n": F.sum("n"), "n_values": rows(there), **{k: rows(there & cond) for k, cond in kinds.items()}})
+    here = F.coalesce("n_values", F.lit(0))
+    kind = F.when(F.coalesce(F.try_divide(F.col("n") - here, "n"), F.lit(1.0)) >= share, "MissingData")
+    for k in kinds:
+        kind = kind.when(F.coalesce(F.try_divide(k, here), F.lit(0.0)) >= share, k)
+    return found.select("column", kind.otherwise("Text").alias("semantic_type"), here.alias("n_values"))
