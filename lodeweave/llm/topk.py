@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from lodeweave.llm._store import arrow, stored
 
-BINS = 1024
+BINS = 256
 BLOCK = 4096
 SCALE = 256
-_ROWS = 1024
+#: Candidates that are scored at once: with BLOCK queries some 8 MB a temporary, as a block's histograms take.
+_ROWS = 256
 _OUT = "query_id bigint, vec_id bigint, score bigint"
 
 

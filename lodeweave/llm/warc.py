@@ -16,15 +16,17 @@ response and the others are revisits that refer to it and hold no payload. A pay
 found by an aggregation that is summed map-side; only payloads that occur twice are joined back.
 
 Cases: a null payload is an empty one; an empty payload gives a record without a body; repeated ids
-stay records of their own (of equal ids with equal payloads one is the response, chosen by hash of
-its url and its place in the table); a null id comes last, and its revisits refer to null; an empty
-table gives no archive. Extra columns are ignored.
+stay records of their own: rows with the smallest id of a payload are all responses, so no row refers to
+its own id; a null id comes last, and is told apart from any text by a header of its own; ids and urls are
+percent-encoded where they hold control characters, ``%``, ``<`` or ``>``; an empty table gives no archive.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -47,23 +49,35 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path)
 
 
-def record(kind: str, key: str, url: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
+_UNSAFE = re.compile(r"[\x00-\x1f\x7f%<>]")
+
+
+def coded(text: str) -> str:
+    """A header's value: no character of it ends the line, or the brackets around an id."""
+    return _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", text)
+
+
+def decoded(text: str) -> str:
+    return re.sub("%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)), text)
+
+
+def record(kind: str, key: str | None, url: str, digest: str, size: int, payload: bytes, refers_to: str | None) -> bytes:
     """One WARC/1.1 record with its two closing line ends."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{key}>",
+        f"WARC-Record-ID: <urn:page:{'none' if key is None else 'id:' + coded(key)}>",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {url}",
+        f"WARC-Target-URI: {coded(url)}",
         f"WARC-Payload-Digest: sha256:{digest}",
         f"WARC-Payload-Length: {size}",
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{'none' if refers_to is None else 'id:' + coded(refers_to)}>"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -111,7 +125,7 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload:
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("string").alias("key"), F.col(page_id).alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload").cast("bigint"))
-    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.xxhash64("url").alias("u"), "url")
+    order = F.struct(F.col("id").isNull().alias("none"), F.col("id"))
     big = F.col("size") >= REVISIT_BYTES
     first = rows.where(big).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     joined = rows.join(first, "digest", "left")
@@ -131,7 +145,7 @@ def write(planned: DataFrame, folder: str) -> DataFrame:
                 if out is None:
                     name = f"mono-{uuid.uuid4().hex}.warc.gz"
                     out, size, n = gzip.GzipFile(fileobj=store.open_output_stream(f"{at}/{name}", compression=None), mode="wb", compresslevel=LEVEL, mtime=0), 0, 0
-                data = record(r["record_type"], r["key"], r["url"].replace("\r", "%0D").replace("\n", "%0A"), r["digest"], r["size"], r["payload"].encode(), r["refers_to"])
+                data = record(r["record_type"], r["key"], r["url"], r["digest"], r["size"], r["payload"].encode(), r["refers_to"])
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= ARCHIVE_BYTES:
@@ -201,8 +215,8 @@ def read(index: DataFrame) -> DataFrame:
                     found = hashlib.sha256(payload).hexdigest()
                     if found != digest or len(payload) != size:
                         raise ValueError(f"{path} at {offset}: the payload doesn't match its digest")
-                name = lambda x: None if x is None else x.removeprefix("<urn:page:").removesuffix(">")
-                out.append((name(head["warc-record-id"]), head["warc-target-uri"] if "warc-target-uri" in head else "", size, digest, kind, name(head.get("warc-refers-to"))))
+                name = lambda x: None if x in (None, "<urn:page:none>") else decoded(x.removeprefix("<urn:page:id:").removesuffix(">"))
+                out.append((name(head["warc-record-id"]), decoded(head.get("warc-target-uri", "")), size, digest, kind, name(head.get("warc-refers-to"))))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()))], ["key", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"])
         if source is not None:
@@ -219,7 +233,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write(plan(pages), whole)
     index = normalise(archives, members)
     drop_path(spark, whole)
-    id_of = lambda c: F.when(F.col(c) != "None", F.col(c)).cast(kind).alias("page_id" if c == "key" else c)
+    id_of = lambda c: F.col(c).cast(kind).alias("page_id" if c == "key" else c)
     return read(index).select(id_of("key"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to"))
 
 

@@ -204,15 +204,20 @@ def test_warc_way_back(spark):
 
     archives = warc.write(warc.plan(pages), new_path(spark, "t"))
     index = warc.normalise(archives, new_path(spark, "t"))
-    got = sorted((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index).collect())
+    got = sorted(((str(r.key), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index).collect()), key=repr)
+    assert sorted(r.url for r in warc.read(index).collect()) == sorted(u or "" for _, u, _ in rows)
     want = []
     for i, _, h in rows:
         data = (h or "").encode()
         same = [x for x, _, y in rows if x is not None and (y or "") == (h or "")]
         again = len(data) >= 100 and (i is None or i > min(same))
         want.append((str(i), len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", str(min(same)) if again else None))
-    assert got == sorted(want)
+    assert got == sorted(want, key=repr)
     assert index.count() == len(rows)
+    odd = [("a\r\nWARC-Type: evil", "u", "z" * 100), ("None", "u", "z" * 100), (None, "u", "z" * 100), ("100%>", "u%0D", "w"), ("none", "", "v")]
+    index = warc.normalise(warc.write(warc.plan(frame(spark, odd, "page_id string, url string, html string")), new_path(spark, "t")), new_path(spark, "t"))
+    got = {r.key: (r.url, r.record_type, r.refers_to) for r in warc.read(index).collect()}
+    assert got == {odd[0][0]: ("u", "revisit", "None"), "None": ("u", "response", None), None: ("u", "revisit", "None"), "100%>": ("u%0D", "response", None), "none": ("", "response", None)}
     assert warc.normalise(warc.write(warc.plan(pages.limit(0)), new_path(spark, "t")), new_path(spark, "t")).count() == 0
 
 
