@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.llm import decontam, jaccard, secrets, sentencepiece_codec, toxicity
-from lodeweave.llm._store import bounded, stored
+from lodeweave.llm._store import bounded, forget, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -73,5 +73,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        done = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
