@@ -1,7 +1,8 @@
-"""search, augment, join, generate_metadata, upload: what a user calls (O-*, J-09, B-06, B-14, B-15)."""
+"""search, augment, join, generate_metadata, upload: what a user calls (O-01, O-02, J-09, B-06, B-10, B-13 to B-15)."""
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from lodeweave.functions import html
 from lodeweave.operators import catalog as store
 from lodeweave.operators import joins, profile, search as predicates
-from lodeweave.plans import dsl, features
-from lodeweave.sources import readers
+from lodeweave.plans import datasets, dsl, features
+from lodeweave.sources import readers, remote  # noqa: F401  remote registers the JDBC reader
 
 
 def generate_metadata(df: DataFrame, description: dict | None = None, entities: int | None = None) -> dict:
@@ -58,6 +59,15 @@ def describe_url(spark: SparkSession, url: str, **arguments: str) -> dict:
     return generate_metadata(df, {"title": name.rsplit(".", 1)[0], "url": url, "materialization": materialization})
 
 
+def refreshed(catalog: DataFrame, dataset_id: int) -> DataFrame:
+    """B-10: the catalog with one dataset profiled anew; what was profiled before gives way, what was told stays."""
+    old = datasets.described(catalog, dataset_id)
+    told = [{k: v for k, v in x.items() if k not in ("named_entity", "temporal_coverage", "description")} for x in old.get("variables") or []]
+    made = generate_metadata(datasets.load_by_id(catalog, dataset_id), {**old, "variables": told})
+    new = store.documents(catalog.sparkSession, [made])
+    return store.replace(catalog, new.withColumn("variables", store.renumbered(F.col("variables"), F.col("dataset_id"))))
+
+
 def describe_links(pages: DataFrame) -> DataFrame:
     """B-15: (page_id, title, url) of the data files that pages link to; dull link texts give way to the file's name."""
     found = html.links(pages).where(html.url_valid(F.col("href")) & html.looks_like_data(F.col("href")))
@@ -77,7 +87,7 @@ def search(catalog: DataFrame, query: dict | None = None, data: DataFrame | None
     if query.get("required_variables") or data is None:
         return dsl.run(catalog, query, data, size)
     able = [r["column"] for r in profile.entity_columns(data).collect() if r["is_entity"]]
-    kept = dsl.run(catalog, query, None, 1_000_000_000)
+    kept = dsl.hits(catalog, query)
     if not able:
         return kept.limit(0)
     place = F.create_map(*(F.lit(x) for i, c in enumerate(able) for x in (c, i)))
@@ -92,7 +102,7 @@ def augment(left: DataFrame, right: DataFrame, left_columns: Sequence[Sequence[i
     """J-00, J-09: the left table with the right one's columns, and the matches of a linkage.
 
     joiner: "default" (equi left join), "fuzzy" or "exact_match"; linkages need ids of both sides (see
-    ``joins.with_row_ids``). An unknown joiner raises ValueError.
+    ``joins.with_row_ids``). An unknown joiner warns and leaves the left table as it is.
     """
     if not left_columns or not right_columns:
         raise ValueError("join columns of both sides are needed")
@@ -100,7 +110,8 @@ def augment(left: DataFrame, right: DataFrame, left_columns: Sequence[Sequence[i
     if joiner == "default":
         return joins.equi_left_join(left, right, [left.columns[g[0]] for g in left_columns], [right.columns[g[0]] for g in right_columns]), None
     if joiner not in ("fuzzy", "exact_match"):
-        raise ValueError(f"no joiner named {joiner}")
+        warnings.warn(f"no joiner named {joiner}; the left table is returned", stacklevel=2)
+        return left, None
     if left_id is None or right_id is None:
         raise ValueError("a linkage needs ids of both sides")
     return joins.fuzzy_join(left, right, left_id, right_id, features.plan(left, right, left_columns, right_columns), exact=joiner == "exact_match")

@@ -23,6 +23,26 @@ SCHEMA = T.StructType([
 ])
 
 
+def create(spark: SparkSession, name: str, path: str | None = None) -> bool:
+    """B-01: an empty catalog table, at ``path`` or in the warehouse; False if there is one of that name, which stays."""
+    if exists(spark, name):
+        return False
+    spark.createDataFrame([], SCHEMA).write.format("parquet").options(**({"path": path} if path else {})).saveAsTable(name)
+    return True
+
+
+def exists(spark: SparkSession, name: str) -> bool:
+    """B-01."""
+    return spark.catalog.tableExists(name)
+
+
+def drop(spark: SparkSession, name: str) -> bool:
+    """B-01: whether there was such a table; a table made at a path of its own leaves its files."""
+    there = exists(spark, name)
+    spark.sql("DROP TABLE IF EXISTS IDENTIFIER(:name)", args={"name": name})
+    return there
+
+
 def documents(spark: SparkSession, docs: Iterable[dict]) -> DataFrame:
     """A catalog of descriptions given as dictionaries; unknown fields are left out."""
     lines = [(json.dumps(d),) for d in docs]

@@ -89,8 +89,13 @@ def variable_hits(catalog: DataFrame, index: DataFrame, item: dict, data: DataFr
     return plain(search.all_of(*conditions))
 
 
-def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: int = 20, entities: bool = False) -> DataFrame:
-    """Hits of a query, best first: dataset_id, score, matches (section, i, type, offset), and the description.
+def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: int = 20, entities: bool = False, offset: int = 0) -> DataFrame:
+    """A page of ``hits``, best first."""
+    return search.page(hits(catalog, query, data, entities), size, offset)
+
+
+def hits(catalog: DataFrame, query: dict, data: DataFrame | None = None, entities: bool = False) -> DataFrame:
+    """All hits of a query, in no order: dataset_id, score, matches (section, i, type, offset), and the description.
 
     All required variables must be found and one of the desired ones at least; the score is the number of
     terms matched plus one for each match.
@@ -103,10 +108,10 @@ def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: in
     for section in ("required_variables", "desired_variables"):
         some = None
         for i, item in enumerate(query.get(section) or []):
-            hits = variable_hits(kept, index, item, data).select("dataset_id", "n_terms", F.struct(F.lit(section).alias("section"), F.lit(i).alias("i"), F.lit(item["type"]).alias("type"), "offset").alias("match"))
+            one = variable_hits(kept, index, item, data).select("dataset_id", "n_terms", F.struct(F.lit(section).alias("section"), F.lit(i).alias("i"), F.lit(item["type"]).alias("type"), "offset").alias("match"))
             if section == "required_variables":
-                kept = kept.join(hits.select("dataset_id").distinct(), "dataset_id", "left_semi")
-            some = hits if some is None else some.union(hits)
+                kept = kept.join(one.select("dataset_id").distinct(), "dataset_id", "left_semi")
+            some = one if some is None else some.union(one)
         if some is not None:
             if section == "desired_variables":
                 kept = kept.join(some.select("dataset_id").distinct(), "dataset_id", "left_semi")
@@ -118,7 +123,7 @@ def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: in
         out = kept.join(scored, "dataset_id")
     if not entities:
         out = out.withColumn("variables", F.transform("variables", lambda v: v.dropFields("named_entity")))
-    return search.page(out, size)
+    return out
 
 
 def join_columns(matches: list, columns: dict[int, list[int]]) -> list[tuple[list[int], int]]:

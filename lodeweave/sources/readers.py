@@ -1,4 +1,4 @@
-"""Readers by name, with constraints and implicit variables (S-01 to S-22 without S-10 and S-11), and the CSV sink (K-01, K-05)."""
+"""Readers by name, with constraints and implicit variables (S-01 to S-22; S-10, S-11, S-13 and S-14 are in ``remote``), and the CSV sink (K-01, K-05)."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 from threading import Timer
+from uuid import uuid4
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -179,8 +180,10 @@ def load(spark: SparkSession, description: dict, constraints: dict | None = None
     m = description["materialization"]
     if m["source"] not in READERS:
         raise ValueError(f"no reader named {m['source']}")
-    spark.sparkContext.setJobGroup("load", "load a dataset", True)
-    timer = Timer(timeout, spark.sparkContext.cancelJobGroup, ["load"]) if timeout else None
+    sc, group = spark.sparkContext, f"load-{uuid4()}"
+    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
+    sc.setJobGroup(group, "load a dataset", True)
+    timer = Timer(timeout, sc.cancelJobGroup, [group]) if timeout else None
     if timer:
         timer.daemon = True
         timer.start()
@@ -189,7 +192,8 @@ def load(spark: SparkSession, description: dict, constraints: dict | None = None
     finally:
         if timer:
             timer.cancel()
-        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            sc.setLocalProperty(k, v)
     if constraints:
         df = df.where(constraint(df, constraints))
     if variables is not None:

@@ -96,8 +96,8 @@ def test_feature_planner(spark):
 
 def test_unknown_joiner(spark):
     df = spark.range(2)
-    with pytest.raises(ValueError):
-        api.augment(df, df, [[0]], [[0]], "zipper")
+    with pytest.warns(UserWarning):
+        assert api.augment(df, df, [[0]], [[0]], "zipper") == (df, None)
     with pytest.raises(ValueError):
         api.augment(df, df, (), ())
 
