@@ -59,6 +59,34 @@ def describe_url(spark: SparkSession, url: str, **arguments: str) -> dict:
     return generate_metadata(df, {"title": name.rsplit(".", 1)[0], "url": url, "materialization": materialization})
 
 
+def describe_tables(spark: SparkSession, url: str, file_type: str | None = None) -> list[dict]:
+    """B-14: a description for each sheet of a workbook or table of a page, which its ``index`` tells apart; one for any other file.
+
+    Tables without columns or rows aren't described.
+    """
+    kind = {"file_type": file_type} if file_type else {}
+    n = readers.n_parts(spark, url, file_type)
+    if n is None:
+        return [describe_url(spark, url, **kind)]
+    made = (describe_url(spark, url, index=str(i), **kind) for i in range(n))
+    return [d for d in made if d["variables"]]
+
+
+def describe_pages(spark: SparkSession, pages: DataFrame) -> tuple[list[dict], list[tuple[str, str]]]:
+    """B-15: the descriptions of all data files that pages link to, each address once, and (address, why) of those that can't be read.
+
+    Every file is a load of its own, so files are taken one after the other; their rows stay on the cluster.
+    """
+    links = describe_links(pages).groupBy("url").agg(F.min("title").alias("title")).orderBy("url")
+    made, failed = [], []
+    for r in links.toLocalIterator():
+        try:
+            made += [{**d, "title": r["title"] or d["title"]} for d in describe_tables(spark, r["url"])]
+        except Exception as e:  # noqa: BLE001  one bad file of many is reported, not fatal
+            failed.append((r["url"], str(e).split("\n")[0]))
+    return made, failed
+
+
 def refreshed(catalog: DataFrame, dataset_id: int) -> DataFrame:
     """B-10: the catalog with one dataset profiled anew; what was profiled before gives way, what was told stays."""
     old = datasets.described(catalog, dataset_id)

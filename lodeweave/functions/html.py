@@ -135,6 +135,13 @@ class _Tables(HTMLParser):
             self.depth.pop()
 
 
+def count_tables(page: str) -> int:
+    """How many tables a page opens, nested ones too."""
+    p = _Tables()
+    p.feed(page or "")
+    return len(p.tables)
+
+
 def parse_table(page: str, index: int = 0) -> tuple[list[str], list[list[str]]]:
     """Names and rows of a page's table; a first row of <td> cells is data, and columns are then numbered."""
     p = _Tables()

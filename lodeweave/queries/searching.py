@@ -206,13 +206,14 @@ _BM = ["and", "of", "the", "worthless"]
 _CNT = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS n{i}" for i, w in enumerate(_BM))
 _DF = ", ".join(f"count(*) FILTER (WHERE n{i} > 0) AS d{i}" for i in range(len(_BM)))
 _SCORE = " + ".join(f"CASE WHEN n{i} > 0 THEN ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END" for i in range(len(_BM)))
+_OWN = "'column name: ' || v.name || ', dtype: ' || CASE WHEN v.ents IS NULL THEN 'timestamp' ELSE 'string' END"
 _URL = html.URL
 _ENDS = "['.csv', '.PDF', '', '.html#x', '.json']"
 ORACLES = {
     "search_terms_ratio": f"{SQL}{_POST}{_asked(_P_BRAND)}, h AS ({_HITS}) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, CAST(off AS BIGINT) AS off, CAST(n_terms AS BIGINT) AS n_terms FROM h WHERE n_terms >= ceil(0.5 * (SELECT count(*) FROM asked))",
     "search_terms_inner_hits": f"{SQL}{_POST}{_asked(_BOTH)}, h AS ({_HITS}) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, CAST(off AS BIGINT) AS off, CAST(n_terms AS BIGINT) AS n_terms, array_to_string(terms, '|') AS terms, array_to_string(vs, '|') AS vals FROM h WHERE n_terms >= ceil(0.1 * (SELECT count(*) FROM asked))",
     "search_temporal": f"{SQL} SELECT DISTINCT CAST(dataset_id AS BIGINT) AS dataset_id FROM vars WHERE date_trunc('second', s) <= TIMESTAMP '2024-01-02' AND date_trunc('second', e) >= TIMESTAMP '2024-01-03'",
-    "search_keyvalue_and": f"{SQL} SELECT CAST(s.dataset_id AS BIGINT) AS dataset_id, title FROM sets s WHERE EXISTS (SELECT 1 FROM vars v WHERE v.dataset_id = s.dataset_id AND name = 'o_orderdate')",
+    "search_keyvalue_and": f"{SQL} SELECT CAST(s.dataset_id AS BIGINT) AS dataset_id, title FROM sets s WHERE list_contains(keywords, 'sample') AND EXISTS (SELECT 1 FROM vars v WHERE v.dataset_id = s.dataset_id AND name = 'o_orderdate' AND contains({padded_sql(_OWN)}, ' dtype timestamp '))",
     "search_keyvalue_or": f"{SQL}{_POST} SELECT DISTINCT CAST(s.dataset_id AS BIGINT) AS dataset_id, title FROM sets s JOIN post p ON p.dataset_id = s.dataset_id WHERE contains(p.p, ' furniture ') OR contains(p.p, ' signup ')",
     "search_phrase": f"SELECT doc_id FROM documents WHERE contains({padded_sql('text')}, ' of the ')",
     "search_about": f"{SQL}{_DOCTEXT} SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title FROM alltext WHERE len(list_intersect({words_sql('t')}, ['lineitem', 'furniture'])) > 0",
@@ -223,7 +224,7 @@ ORACLES = {
     "search_dataframe_columns": f"{SQL}{_POST}{_asked('SELECT c_mktsegment AS term FROM customer')}, h AS ({_HITS}) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, CAST(n_terms + 1 AS BIGINT) AS score, CAST(off AS BIGINT) AS off FROM h WHERE n_terms >= ceil(0.5 * (SELECT count(*) FROM asked))",
     "search_fanout_dedup": f"{SQL}{_POST}, q AS (SELECT DISTINCT 'p_type' AS col, 0 AS place, lower(p_type) AS term, {padded_sql('p_type')} AS tp FROM part UNION ALL SELECT DISTINCT 'p_brand', 1, lower(p_brand), {padded_sql('p_brand')} FROM part), n AS (SELECT col, count(*) AS k FROM q GROUP BY col), h AS (SELECT q.col, place, dataset_id, off, count(DISTINCT term) AS n_terms FROM post JOIN q ON contains(p, tp) GROUP BY 1, 2, 3, 4), g AS (SELECT h.*, row_number() OVER (PARTITION BY dataset_id ORDER BY place, n_terms DESC, off) AS r FROM h JOIN n ON n.col = h.col WHERE n_terms >= ceil(0.5 * k)) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, col, CAST(n_terms AS BIGINT) AS n_terms FROM g WHERE r = 1",
     "search_bm25_topk": f"WITH t AS (SELECT doc_id, {words_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS t FROM documents), c AS (SELECT doc_id, len(t) AS len, {_CNT} FROM t), s AS (SELECT count(*) AS docs, avg(len) AS mean, {_DF} FROM c) SELECT doc_id, round({_SCORE}, 6) AS score FROM c, s WHERE n0 + n1 + n2 + n3 > 0 ORDER BY 2 DESC, 1 LIMIT 20",
-    "catalog_next_id": "SELECT CAST(90000 AS BIGINT) AS next_id",
+    "catalog_next_id": f"{SQL} SELECT CAST(coalesce(max(dataset_id) + 10000, 0) AS BIGINT) AS next_id FROM sets",
     "catalog_upsert": f"""{SQL}, cur AS (SELECT dataset_id, CASE WHEN dataset_id IN (20000, 60000) THEN 'new ' || title ELSE title END AS title, dataset_id AS src FROM sets
 UNION ALL SELECT 90000 + 10000 * (row_number() OVER (ORDER BY title) - 1), 'copy of ' || title, dataset_id FROM sets WHERE dataset_id <= 10000)
 SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(cur.dataset_id + v.off + 1 AS VARCHAR), ',' ORDER BY v.off) FROM vars v WHERE v.dataset_id = src) AS ids FROM cur""",

@@ -137,14 +137,26 @@ def read_excel(spark: SparkSession, url: str, index: str | int = 0, **_) -> Data
     return spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names]))
 
 
+def n_parts(spark: SparkSession, url: str, file_type: str | None = None) -> int | None:
+    """How many tables a workbook or a page holds; None for a file that is one table."""
+    kind = kind_of(url, file_type)
+    if kind == "excel":
+        return len(_cells(_whole(spark, url)))
+    return html.count_tables(_whole(spark, url).decode("utf-8", "replace")) if kind == "html" else None
+
+
+def kind_of(url: str, file_type: str | None = None) -> str:
+    """S-04: the reader of a file type or, without one that is known, of an address's suffix; else a page's."""
+    return SUFFIXES.get(file_type or Path(url.split("?")[0]).suffix.lstrip(".").lower(), "html")
+
+
 SUFFIXES = {"csv": "csv", "json": "json", "xls": "excel", "xlsx": "excel", "parquet": "parquet"}
 
 
 @reader("general")
 def read_general(spark: SparkSession, url: str, file_type: str | None = None, **arguments) -> DataFrame:
     """S-04: by file type or the address's suffix, else as a page."""
-    kind = SUFFIXES.get(file_type or Path(url.split("?")[0]).suffix.lstrip(".").lower(), "html")
-    return READERS[kind](spark, url=url, **arguments)
+    return READERS[kind_of(url, file_type)](spark, url=url, **arguments)
 
 
 def constraint(df: DataFrame, constraints: dict) -> Column:

@@ -146,3 +146,26 @@ def test_generators(spark):
     packages = spark.createDataFrame([("t", "u", [("k",), (None,)], [("text/CSV", "r1", "d", "c"), (None, "r2", "d", "c"), ("pdf", "r3", "d", "c")])], "title string, url string, tags array<struct<name:string>>, resources array<struct<mimetype:string,url:string,description:string,created:string>>")
     (row,) = generators.csv_resources(packages).collect()
     assert row.keywords == ["k"] and row.materialization["arguments"] == {"url": "r1", "file_type": "csv"}
+
+
+def test_a_description_for_each_table(spark, tmp_path):
+    rows = lambda *n: "".join(f"<tr><td>{x}</td></tr>" for x in n)
+    (tmp_path / "page").write_text(f"<body><table><tr><th>A</th></tr>{rows('x', 'y')}</table><table></table><table><tr><th>B</th></tr>{rows('z')}</table></body>")
+    got = api.describe_tables(spark, str(tmp_path / "page"))
+    assert [(d["materialization"]["arguments"]["index"], d["variables"][0]["name"]) for d in got] == [("0", "A"), ("2", "B")]
+    (tmp_path / "t.csv").write_text("a,b\n1,x\n")
+    assert [d["title"] for d in api.describe_tables(spark, str(tmp_path / "t.csv"))] == ["t"]
+
+
+def test_bulk_reports_what_fails(spark, monkeypatch):
+    page = '<body><a href="http://h.example.org/a.csv">Prices</a><a href="http://h.example.org/a.csv">Prices</a><a href="http://h.example.org/b.csv">Rain</a></body>'
+    pages = spark.createDataFrame([(1, page, "http://h.example.org/")], "page_id long, html string, url string")
+
+    def one(_, url):
+        if "b.csv" in url:
+            raise OSError("gone")
+        return [{"title": "a", "url": url}]
+
+    monkeypatch.setattr(api, "describe_tables", one)
+    made, failed = api.describe_pages(spark, pages)
+    assert [(d["title"], d["url"]) for d in made] == [("Prices", "http://h.example.org/a.csv")] and failed == [("http://h.example.org/b.csv", "gone")]
