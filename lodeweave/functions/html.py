@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.session import ship
+
 # File suffixes that are never taken for data.
 SKIPPED_SUFFIXES = ["pdf", "zip", "tar", "gz", "jpg", "jpeg", "png", "img", "gif", "doc", "docx", "ppt", "pptx", "mp3", "mp4", "avi", "wmv", "flv", "3gp", "svg", "dxf", "psd", "php", "html"]
 # Words of a link's text that make it no title, besides those suffixes.
@@ -35,49 +37,64 @@ def dull_title(text: Column) -> Column:
     return F.arrays_overlap(F.split(F.lower(text), r"\s+"), F.array(*map(F.lit, DULL_WORDS + SKIPPED_SUFFIXES)))
 
 
+def _decoded(text: Column) -> Column:
+    """The character references that titles use decoded, the ampersand's last."""
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def title(html: Column) -> Column:
-    return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
+    return F.trim(_decoded(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
 def description(html: Column) -> Column:
-    """Title and meta description, one a line."""
-    meta = F.regexp_extract(html, r"""(?is)<meta\s+[^>]*name=["']description["'][^>]*content=["']([^"']*)["']""", 1)
-    return F.concat_ws("\n", *(F.when(F.trim(x) != "", F.trim(x)) for x in (title(html), meta)))
+    """Title and meta description, one a line; a meta tag's attributes may stand in any order."""
+    meta = r"""(?is)<meta\s(?=[^>]*(?<=\s)name\s*=\s*["']?description(?=["'\s/>]))[^>]*?(?<=\s)content\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+    said = _decoded(F.concat(F.regexp_extract(html, meta, 1), F.regexp_extract(html, meta, 2)))
+    return F.concat_ws("\n", *(F.when(F.trim(x) != "", F.trim(x)) for x in (title(html), said)))
 
 
 class _Links(HTMLParser):
+    """Links wherever they stand: what no <body> tag encloses belongs to a body that parsers supply."""
+
     def __init__(self) -> None:
         super().__init__()
         self.found: list[tuple[str, str]] = []
         self.href: str | None = None
         self.text: list[str] = []
-        self.body = False
+
+    def end(self) -> None:
+        if self.href is not None:
+            self.found.append(("".join(self.text).strip(), self.href))
+            self.href = None
 
     def handle_starttag(self, tag, attrs):
-        if tag == "body":
-            self.body = True
-        if tag == "a" and self.body:
-            self.href, self.text = dict(attrs).get("href"), []
+        if tag == "a":
+            self.end()  # links don't nest
+            given = dict(attrs)
+            self.href, self.text = (given["href"] or "") if "href" in given else None, []
 
     def handle_data(self, data):
         if self.href is not None:
             self.text.append(data)
 
     def handle_endtag(self, tag):
-        if tag == "a" and self.href is not None:
-            self.found.append(("".join(self.text).strip(), self.href))
-            self.href = None
+        if tag == "a":
+            self.end()
 
 
 def parse_links(page: str, url: str | None) -> list[tuple[str, str]]:
-    """(text, address) of the body's links; relative ones need the page's address and are left out without it."""
+    """(text, address) of a page's links; those that don't begin with http or ftp need the page's address and are left out without it."""
     from urllib.parse import urljoin
 
     p = _Links()
     p.feed(page or "")
+    p.close()
+    p.end()
     out = []
     for text, href in p.found:
-        if "://" in href:
+        if href.startswith(("http", "ftp")):
             out.append((text, href))
         elif url:
             try:
@@ -96,6 +113,7 @@ def links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str =
             rows = [(k, t, h) for k, page, u in zip(f[key], f[html], f[url]) for t, h in parse_links(page, u)]
             yield pd.DataFrame(rows, columns=[key, "text", "href"])
 
+    ship(pages.sparkSession)
     return pages.select(key, html, url).mapInPandas(run, f"{key} {kind}, text string, href string")
 
 

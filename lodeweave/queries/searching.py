@@ -139,8 +139,9 @@ def links_filter(spark, d):
 
 
 def page_description(spark, d):
-    """H-02."""
-    return table(spark, d, "pages").select("page_id", html.description(F.col("html")).alias("description"))
+    """H-02; every other page is given a meta description, whose attributes stand the other way round."""
+    meta = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta content="Page &amp; number '), F.col("page_id").cast("string"), F.lit('" name="description">'))).otherwise("")
+    return table(spark, d, "pages").select("page_id", html.description(F.concat("html", meta)).alias("description"))
 
 
 def url_valid(spark, d):
@@ -191,6 +192,11 @@ def head_n(spark, d):
 _NAMES = "search_terms_ratio search_terms_inner_hits search_temporal search_keyvalue_and search_keyvalue_or search_phrase search_about search_url search_required_and search_desired_or search_date_range search_dataframe_columns search_fanout_dedup search_bm25_topk catalog_next_id catalog_upsert catalog_existing catalog_intersection links_extract links_filter page_description url_valid json_flatten collect_set_concat pivot_mean group_mean implicit_variables constraint_filter head_n".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
+_LINK = '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
+_decoded = "regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"
+for _name, _char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "''"), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")):
+    _decoded = f"replace({_decoded}, '{_name}', '{_char}')"
+
 _POST = f", post AS (SELECT dataset_id, off, v AS value, {padded_sql('v')} AS p FROM (SELECT dataset_id, off, unnest(ents) AS v FROM vars))"
 _HITS = "SELECT dataset_id, off, count(DISTINCT term) AS n_terms, list_sort(list_distinct(list(term))) AS terms, list_sort(list_distinct(list(value))) AS vs FROM post JOIN asked ON contains(p, tp) AND tp <> '  ' GROUP BY 1, 2"
 
@@ -231,7 +237,8 @@ SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(
     "catalog_existing": f"{SQL} SELECT 'new ' || title AS title FROM sets WHERE dataset_id IN (20000, 60000)",
     "catalog_intersection": f"{SQL} SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title FROM sets WHERE dataset_id IN (SELECT dataset_id FROM vars WHERE ents IS NULL) AND list_contains(keywords, 'orders')",
     "links_filter": f"WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || list_extract({_ENDS}, CAST(page_id % 5 + 1 AS BIGINT)) AS u FROM pages) SELECT page_id, lower(regexp_extract(u, '\\.([^./#]*)(?:#[^/]*)?$', 1)) NOT IN ({', '.join(repr(x) for x in html.SKIPPED_SUFFIXES)}) AS data, page_id % 3 = 0 AS dull FROM p",
-    "page_description": "SELECT page_id, trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)) AS description FROM pages",
+    "links_extract": f"SELECT page_id, trim(text) AS text, CASE WHEN href LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/?#]+') || href ELSE href END AS href FROM (SELECT page_id, url, unnest(regexp_extract_all(html, '{_LINK}', 1)) AS href, unnest(regexp_extract_all(html, '{_LINK}', 2)) AS text FROM pages)",
+    "page_description": f"SELECT page_id, concat_ws(chr(10), nullif(trim({_decoded}), ''), CASE WHEN page_id % 2 = 0 THEN 'Page & number ' || page_id END) AS description FROM pages",
     "url_valid": f"SELECT page_id, regexp_matches(CASE WHEN page_id % 4 = 0 THEN replace(url, 'http', 'gopher') ELSE url END, '{_URL}') AS valid FROM pages",
     "json_flatten": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, event_type AS who_0, CAST(user_id AS VARCHAR) AS who_1 FROM events",
     "collect_set_concat": "SELECT user_id, string_agg(DISTINCT event_type, ';' ORDER BY event_type) AS event_type, string_agg(DISTINCT CAST(dayofweek(ts) + 1 AS VARCHAR), ';' ORDER BY CAST(dayofweek(ts) + 1 AS VARCHAR)) AS day FROM events GROUP BY user_id",

@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
 
 def session(name: str = "lodeweave", **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(name)
@@ -11,3 +18,17 @@ def session(name: str = "lodeweave", **conf: str) -> SparkSession:
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a Spark application, so that their Python finds it."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parent
+    target = os.path.join(tempfile.mkdtemp(prefix="lodeweave-code-"), "lodeweave_code.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(top.rglob("*.py")):
+            z.write(p, str(p.relative_to(top.parent)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)

@@ -2,7 +2,10 @@
 
 import io
 import json
+import subprocess
+import sys
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,8 @@ from lodeweave import api
 from lodeweave.functions import html
 from lodeweave.sources import readers
 
+ROOT = Path(__file__).resolve().parents[1]
+
 
 def test_csv_constraints_and_implicit(spark, tmp_path):
     (tmp_path / "t.csv").write_text("date,city,v\n2018-01-01 00:00:00,a,1\n2018-02-01 00:00:00,b,2\n2018-03-01 00:00:00,a,3\n")
@@ -52,6 +57,26 @@ def test_pages(spark, tmp_path):
     assert readers.read_html(spark, str(tmp_path / "p.html"), index=1).columns == ["0"]
 
 
+def test_links_of_bare_pages(spark):
+    page = "<a href='r?u=http://y'>One</a><p><a href='/b'>Two<a>none</a><a href>Three</a> <a href='ftp://x/z'>Fo&amp;ur"
+    assert html.parse_links(page, "http://h.org/p/q") == [("One", "http://h.org/p/r?u=http://y"), ("Two", "http://h.org/b"), ("Three", "http://h.org/p/q"), ("Fo&ur", "ftp://x/z")]
+    assert html.parse_links(page, None) == [("Fo&ur", "ftp://x/z")] and html.parse_links(None, None) == []
+    pages = spark.createDataFrame([("<title>A &amp;lt; b</title><META content='x, y' lang=en Name=description>",), ("<meta name='keywords' content='k'><meta data-name='description' content='c'>",), (None,)], "html string")
+    assert [r[0] for r in pages.select(html.description(F.col("html"))).collect()] == ["A &lt; b\nx, y", "", ""]
+
+
+def test_links_need_no_code_on_the_executors(tmp_path):
+    code = f"""
+import sys; sys.path.append({str(ROOT)!r})
+from pyspark.sql import SparkSession
+from lodeweave.functions import html
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+pages = spark.createDataFrame([(1, "<a href='/b'>Two</a>", "http://h.org/p")], "page_id long, html string, url string")
+assert [tuple(r) for r in html.links(pages).collect()] == [(1, "Two", "http://h.org/b")]
+"""
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
+
+
 @pytest.mark.parametrize("url,valid", [("http://a.example.com/x?y=1", True), ("ftp://localhost:21/", True), ("https://10.0.0.1/a", True), ("gopher://a.com", False), ("http://nodot", False), (None, False)])
 def test_urls(spark, url, valid):
     assert spark.createDataFrame([(url,)], "u string").select(html.url_valid(F.col("u"))).first()[0] is valid
