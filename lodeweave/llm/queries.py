@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeweave.llm import brown, chat, decontam, jaccard, secrets, sentencepiece_codec, sharding, topk, toxicity, warc
+from lodeweave.llm import brown, chat, collocations, decontam, jaccard, mixing, secrets, sentencepiece_codec, sharding, topk, toxicity, warc, whitening
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_lm_scoring": brown.op8_lm_scoring,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_mixing": mixing.op12_mixing,
+    "op13_collocations": collocations.op13_collocations,
 }
 
 ORACLES = {
@@ -22,4 +25,6 @@ ORACLES = {
     "op4_warc": warc.OP4_SQL,
     "op5_chat_format": chat.OP5_SQL,
     "op6_decontamination": decontam.OP6_SQL,
+    "op12_mixing": mixing.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
 }
