@@ -5,22 +5,24 @@ from __future__ import annotations
 import warnings
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import html
 from lodeweave.operators import catalog as store
 from lodeweave.operators import joins, profile, search as predicates
+from lodeweave.operators.index import EntityIndex, TextIndex
 from lodeweave.plans import datasets, dsl, features
 from lodeweave.sources import readers, remote  # noqa: F401  remote registers the JDBC reader
 
 
-def generate_metadata(df: DataFrame, description: dict | None = None, entities: int | None = None) -> dict:
+def generate_metadata(df: DataFrame, description: dict | None = None, entities: int | None = None, listed: bool = True) -> dict:
     """P-05 to P-08, P-11, B-04 to B-06: a description of a table; what is given wins, the profile fills gaps.
 
     A variable whose ``named_entity`` or ``temporal_coverage`` is given as None is profiled; one without
     the key is profiled only if it has no description either. All values of a column are listed, in their order,
-    or the first ``entities`` where a number is given.
+    or the first ``entities`` where a number is given; with ``listed`` false none, for an index of values (see
+    ``index_tables``): the list is there and empty.
     """
     given = dict(description or {})
     types = {f.name: f.dataType.simpleString() for f in df.schema}
@@ -31,9 +33,12 @@ def generate_metadata(df: DataFrame, description: dict | None = None, entities:
     able = {r["column"] for r in profile.entity_columns(df, strings).collect() if r["is_entity"]} if strings else set()
     asked = [c for c in strings if (c in able and wants(c, "named_entity")) or variables.get(c, {}).get("named_entity", "") is None]
     values: dict[str, list[str]] = {c: [] for c in asked}
-    for c in asked:
-        found = profile.entity_values(df, [c]).orderBy("value")
-        values[c] = [r["value"] for r in (found if entities is None else found.limit(entities)).toLocalIterator()]
+    if asked and listed:
+        found = profile.entity_values(df, asked)
+        if entities is not None:
+            found = found.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("_n") <= entities)
+        for r in found.orderBy("column", "value").toLocalIterator():
+            values[r["column"]].append(r["value"])
     dated = [c for c in [*strings, *times] if wants(c, "temporal_coverage")]
     coverage = {r["column"]: {"start": r["start"], "end": r["end"]} for r in profile.temporal_coverage(df, dated).collect()} if dated else {}
     out = []
@@ -109,18 +114,39 @@ def upload(catalog: DataFrame, descriptions: Sequence[dict]) -> DataFrame:
     return store.upsert(catalog, store.documents(catalog.sparkSession, good)) if good else catalog
 
 
-def search(catalog: DataFrame, query: dict | None = None, data: DataFrame | None = None, size: int = 20) -> DataFrame:
-    """O-01, O-02: hits of a query; with data and no required variables, each able column of it is asked at once."""
-    query = dict(query or {})
+def index_tables(catalog: DataFrame, index: EntityIndex, tables: Sequence[tuple[DataFrame, dict]]) -> DataFrame:
+    """P-01, B-04, B-12: the catalog with the described tables, whose entity values executors write to the index.
+
+    Descriptions are saved under the ids that the catalog gives them, or has for them, without lists of values: no column's values pass the driver,
+    whatever their number. Descriptions that ``catalog.validate`` rejects raise ValueError.
+    """
+    made = [generate_metadata(df, description, listed=False) for df, description in tables]
+    if wrong := [f"{d.get('title')}: {'; '.join(w)}" for d in made if (w := store.validate(d))]:
+        raise ValueError(" ".join(wrong))
+    new = store.documents(catalog.sparkSession, made)
+    out = store.upsert(catalog, new)
+    key = store.identity(out)
+    given = {tuple(r["k"]): r["dataset_id"] for r in out.join(new.select(store.identity(new).alias("_k")).distinct(), key.eqNullSafe(F.col("_k"))).select(key.alias("k"), "dataset_id").collect()}  # a row for each table
+    for (df, _), d, k in zip(tables, made, (tuple(r["k"]) for r in new.select(store.identity(new).alias("k")).collect())):
+        index.add(df, given[k], {v["name"]: i for i, v in enumerate(d["variables"]) if "named_entity" in v})
+    return out
+
+
+def search(catalog: DataFrame, query: dict | None = None, data: DataFrame | None = None, size: int = 20, index: EntityIndex | None = None, texts: TextIndex | None = None) -> DataFrame:
+    """O-01, O-02: hits of a query; with data and no required variables, each able column of it is asked at once.
+
+    index, texts: stored indexes of the catalog's entity values and texts.
+    """
+    query, postings = dict(query or {}), index.postings() if index else None
     if query.get("required_variables") or data is None:
-        return dsl.run(catalog, query, data, size)
+        return dsl.run(catalog, query, data, size, index=postings, texts=texts)
     able = [r["column"] for r in profile.entity_columns(data).collect() if r["is_entity"]]
-    kept = dsl.hits(catalog, query)
+    kept = dsl.hits(catalog, query, index=postings, texts=texts)
     if not able:
         return kept.limit(0)
     place = F.create_map(*(F.lit(x) for i, c in enumerate(able) for x in (c, i)))
     terms = profile.entity_values(data, able).select("column", place[F.col("column")].alias("place"), F.col("value").alias("term"))
-    hits = predicates.fan_out(predicates.postings(catalog), terms)
+    hits = predicates.fan_out(predicates.postings(catalog) if postings is None else postings, terms)
     best = hits.select("dataset_id", F.col("n_terms").cast("double").alias("_score"), F.array(F.struct(F.lit("required_variables").alias("section"), F.col("place").alias("i"), F.lit("dataframe_columns").alias("type"), "offset")).alias("_m"))
     out = kept.join(best, "dataset_id").withColumns({"score": F.col("_score"), "matches": F.col("_m")}).drop("_score", "_m")
     return predicates.page(out, size)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import dates, text
+from lodeweave.operators import index as stored
 
 TERMS = 1000
 RATIO = 0.5
@@ -43,17 +44,26 @@ def terms_hits(index: DataFrame, terms: DataFrame, ratio: float | None = RATIO,
     terms (by.., term): distinct texts, in order of the text; the first ``limit`` are asked, all count
     towards the number that must match up to that limit. ``by`` columns part several questions.
     """
+    on = ["token", "bucket"] if "bucket" in index.columns else ["token"]
     distinct = terms.where("term is not null").select(*by, F.lower("term").alias("term")).distinct()
     place = F.row_number().over(Window.partitionBy(*by).orderBy("term")) if by else F.row_number().over(Window.orderBy("term"))
     asked = distinct.withColumn("_n", place).where(F.col("_n") <= limit).drop("_n") if by else distinct.orderBy("term").limit(limit)
     size = asked.groupBy(*by).agg(F.ceil(F.count("*") * (ratio or RATIO)).alias("_need"))
-    keyed = asked.select(*by, "term", text.padded(F.col("term")).alias("_p"), F.get(text.analyzed(F.col("term")), F.lit(0)).alias("token")).where("token is not null")
-    found = index.join(keyed, "token").where(F.contains("padded", F.col("_p")))
+    keyed = asked.select(*by, "term", text.padded(F.col("term")).alias("_p"), F.get(text.analyzed(F.col("term")), F.lit(0)).alias("token")).where(F.length("token") > 0)
+    if "bucket" in on:  # a stored index: only the asked tokens' folders are read
+        keyed = keyed.withColumn("bucket", stored.bucket_of(F.col("token")))
+    found = index.join(keyed if by else F.broadcast(keyed), on).where(F.contains("padded", F.col("_p")))
     hits = found.groupBy(*by, "dataset_id", "offset").agg(F.count_distinct("term").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("terms"), F.array_sort(F.collect_set("value")).alias("values"))
     joined = hits.join(F.broadcast(size), list(by)) if by else hits.join(F.broadcast(size))
     return joined.where(F.col("n_terms") >= F.col("_need")).drop("_need")
 
 
+def phrase_hits(index: DataFrame, phrases: Sequence[str]) -> DataFrame:
+    """(dataset_id, offset) of variables of which a value holds one of the phrases."""
+    terms = index.sparkSession.createDataFrame([(p,) for p in phrases] or [(None,)], "term string")
+    return terms_hits(index, terms, 1e-9, len(phrases) or 1).select("dataset_id", "offset")
+
+
 def covers(v: Column, start: str | None, end: str | None) -> Column:
     """Q-04: whether a variable's coverage begins no later than start and ends no earlier than end; ends that aren't dates ask nothing."""
     s, e = (dates.parse_date(F.lit(x).cast("string")) for x in (start, end))

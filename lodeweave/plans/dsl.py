@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import dates, text
 from lodeweave.operators import search
+from lodeweave.operators.index import TextIndex
 
 _DATASET = {"about", "name", "description", "keywords", "url", "creator", "publisher", "date_published", "date_created"}
 _KINDS = {"dataframe_columns", "temporal_entity", "geospatial_entity", "generic_entity"}
@@ -58,7 +59,10 @@ def _terms(spark: SparkSession, values: list[str]) -> DataFrame:
 
 
 def variable_hits(catalog: DataFrame, index: DataFrame, item: dict, data: DataFrame | None) -> DataFrame:
-    """(dataset_id, offset, n_terms) of the variables that an item of the query asks for."""
+    """(dataset_id, offset, n_terms) of the variables that an item of the query asks for.
+
+    A stored index (one with buckets) has the entity values, which descriptions then needn't list.
+    """
     spark, kind = catalog.sparkSession, item["type"]
     every = search.variables(catalog)
     plain = lambda cond: every.where(cond).select("dataset_id", "offset", F.lit(0).cast("bigint").alias("n_terms"))
@@ -76,6 +80,11 @@ def variable_hits(catalog: DataFrame, index: DataFrame, item: dict, data: DataFr
     if kind == "geospatial_entity":
         return search.terms_hits(index, _terms(spark, (item.get("named_entities") or {}).get("items") or [])).select("dataset_id", "offset", "n_terms")
     conditions = []
+    if item.get("named_entities") and "bucket" in index.columns:
+        given = item["named_entities"]
+        values = given.get("items", []) if isinstance(given, dict) else given
+        named = search.phrase_hits(index, [str(x) for x in (values if isinstance(values, list) else [values])])
+        every, item = every.join(named, ["dataset_id", "offset"], "left_semi"), {k: v for k, v in item.items() if k != "named_entities"}
     if item.get("about"):
         v = F.col("v")
         own = F.concat_ws(" ", v["name"], v["description"], F.array_join(v["semantic_type"], " "), F.array_join(v["named_entity"], " "))
@@ -89,21 +98,23 @@ def variable_hits(catalog: DataFrame, index: DataFrame, item: dict, data: DataFr
     return plain(search.all_of(*conditions))
 
 
-def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: int = 20, entities: bool = False, offset: int = 0) -> DataFrame:
+def run(catalog: DataFrame, query: dict, data: DataFrame | None = None, size: int = 20, entities: bool = False, offset: int = 0, index: DataFrame | None = None, texts: TextIndex | None = None) -> DataFrame:
     """A page of ``hits``, best first."""
-    return search.page(hits(catalog, query, data, entities), size, offset)
+    return search.page(hits(catalog, query, data, entities, index, texts), size, offset)
 
 
-def hits(catalog: DataFrame, query: dict, data: DataFrame | None = None, entities: bool = False) -> DataFrame:
+def hits(catalog: DataFrame, query: dict, data: DataFrame | None = None, entities: bool = False, index: DataFrame | None = None, texts: TextIndex | None = None) -> DataFrame:
     """All hits of a query, in no order: dataset_id, score, matches (section, i, type, offset), and the description.
 
     All required variables must be found and one of the desired ones at least; the score is the number of
-    terms matched plus one for each match.
+    terms matched plus one for each match, and with ``about`` the BM25 score of the description's text; 1 where nothing of these is asked.
+    index: postings of the entity values (``EntityIndex.postings``), else those that descriptions list; texts: the index of
+    the descriptions' texts, else they are read.
     """
     if wrong := validate(query):
         raise ValueError("; ".join(wrong))
     kept = catalog.where(dataset_condition(query.get("dataset") or {}))
-    index = search.postings(kept)
+    index = search.postings(kept) if index is None else index
     found = None
     for section in ("required_variables", "desired_variables"):
         some = None
@@ -121,6 +132,10 @@ def hits(catalog: DataFrame, query: dict, data: DataFrame | None = None, entitie
     else:
         scored = found.groupBy("dataset_id").agg(F.sum(F.col("n_terms") + 1).cast("double").alias("score"), F.array_sort(F.collect_set("match")).alias("matches"))
         out = kept.join(scored, "dataset_id")
+    if about := (query.get("dataset") or {}).get("about"):
+        told = texts.score(about).withColumnRenamed("key", "dataset_id") if texts else search.bm25(catalog.withColumn("_text", search.document_text()), about, "dataset_id", "_text")
+        out = out.join(told.withColumnRenamed("score", "_told"), "dataset_id", "left")
+        out = out.withColumn("score", F.coalesce("_told", F.lit(0.0)) + (F.lit(0.0) if found is None else F.col("score"))).drop("_told")
     if not entities:
         out = out.withColumn("variables", F.transform("variables", lambda v: v.dropFields("named_entity")))
     return out

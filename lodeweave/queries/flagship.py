@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave import api
-from lodeweave.plans import dsl
+from lodeweave.operators import catalog as store
+from lodeweave.operators.index import EntityIndex
+from lodeweave.plans import datasets, dsl
 from lodeweave.queries.common import CATALOG, catalog, table
+from lodeweave.session import shared_path
 
 
 def discover_and_join(spark: SparkSession, d: str) -> DataFrame:
@@ -23,5 +26,20 @@ def discover_and_join(spark: SparkSession, d: str) -> DataFrame:
     return api.augment(mine, right, [[0]], [[0]])[0]
 
 
-QUERIES = {"discover_and_join": discover_and_join}
-ORACLES = {"discover_and_join": "WITH m AS (SELECT c_mktsegment AS segment, count(*) AS target FROM customer GROUP BY 1) SELECT segment, target, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM m LEFT JOIN customer ON segment = c_mktsegment"}
+def generate_and_augment(spark: SparkSession, d: str) -> DataFrame:
+    """P-01, B-04, Q-01, O-01, J-09: tables are described and saved, their values indexed; a table finds its complement by them, which is loaded by its id and joined."""
+    index = EntityIndex(spark, shared_path(spark, "entities"))
+    described = lambda name: {"title": name, "materialization": {"source": "parquet", "arguments": {"url": f"{d}/{name}.parquet"}}}
+    made = api.index_tables(spark.createDataFrame([], store.SCHEMA), index, [(table(spark, d, name), described(name)) for name in ("customer", "part", "orders", "nation", "region")])
+    mine = table(spark, d, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("target")).withColumnRenamed("c_mktsegment", "segment")
+    hits = api.search(made, {"required_variables": [{"type": "dataframe_columns", "index": [0]}]}, mine, 1, index)
+    best = hits.select("dataset_id", "matches").first()  # one row
+    right = datasets.load_by_id(made, best["dataset_id"])
+    (_, offset), *_ = dsl.join_columns(best["matches"], {0: [0]})
+    out = api.augment(mine, right, [[0]], [[offset]])[0]
+    return out.select("segment", "target", "c_custkey", F.round("c_acctbal", 2).alias("c_acctbal"))
+
+
+QUERIES = {"discover_and_join": discover_and_join, "generate_and_augment": generate_and_augment}
+_SQL = "WITH m AS (SELECT c_mktsegment AS segment, count(*) AS target FROM customer GROUP BY 1) SELECT segment, target, c_custkey, round(c_acctbal, 2) AS c_acctbal FROM m LEFT JOIN customer ON segment = c_mktsegment"
+ORACLES = {n: _SQL for n in QUERIES}

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from lodeweave.functions import html
 from lodeweave.operators import catalog as store
 from lodeweave.operators import search
+from lodeweave.operators.index import TextIndex
 from lodeweave.plans import dsl
 from lodeweave.queries.common import SQL, catalog, padded_sql, table, words_sql
+from lodeweave.session import shared_path
 from lodeweave.sources import readers
 
 
@@ -94,8 +96,17 @@ def search_fanout_dedup(spark, d):
 
 
 def search_bm25_topk(spark, d):
-    """Q-11, Q-14."""
-    return search.bm25(table(spark, d, "documents"), "worthless the of and", "doc_id", "text", 20)
+    """Q-11, Q-14: from an index of the texts."""
+    index = TextIndex.build(table(spark, d, "documents"), "doc_id", "text", shared_path(spark, "texts"))
+    return index.score("worthless the of and", 20).withColumnRenamed("key", "doc_id")
+
+
+def search_scored(spark, d):
+    """Q-08, Q-14: hits by the relevance of their descriptions, from an index of these."""
+    c = catalog(spark, d)
+    texts = TextIndex.build(c, "dataset_id", search.document_text(), shared_path(spark, "descriptions"))
+    hits = dsl.run(c, {"dataset": {"about": "lineitem orders timestamp furniture table"}}, texts=texts)
+    return hits.select("dataset_id", F.round("score", 5).alias("score"))
 
 
 def catalog_next_id(spark, d):
@@ -189,7 +200,7 @@ def head_n(spark, d):
     return table(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
 
 
-_NAMES = "search_terms_ratio search_terms_inner_hits search_temporal search_keyvalue_and search_keyvalue_or search_phrase search_about search_url search_required_and search_desired_or search_date_range search_dataframe_columns search_fanout_dedup search_bm25_topk catalog_next_id catalog_upsert catalog_existing catalog_intersection links_extract links_filter page_description url_valid json_flatten collect_set_concat pivot_mean group_mean implicit_variables constraint_filter head_n".split()
+_NAMES = "search_terms_ratio search_terms_inner_hits search_temporal search_keyvalue_and search_keyvalue_or search_phrase search_about search_url search_required_and search_desired_or search_date_range search_dataframe_columns search_fanout_dedup search_bm25_topk search_scored catalog_next_id catalog_upsert catalog_existing catalog_intersection links_extract links_filter page_description url_valid json_flatten collect_set_concat pivot_mean group_mean implicit_variables constraint_filter head_n".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _LINK = '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
@@ -212,6 +223,12 @@ _BM = ["and", "of", "the", "worthless"]
 _CNT = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS n{i}" for i, w in enumerate(_BM))
 _DF = ", ".join(f"count(*) FILTER (WHERE n{i} > 0) AS d{i}" for i in range(len(_BM)))
 _SCORE = " + ".join(f"CASE WHEN n{i} > 0 THEN ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END" for i in range(len(_BM)))
+_FULLTEXT = ", fulltext AS (SELECT s.dataset_id, concat_ws(' ', s.title, s.description, s.url, array_to_string(s.keywords, ' '), (SELECT string_agg(concat_ws(' ', v.name, 'column name ' || v.name || ' dtype ' || CASE WHEN v.ents IS NULL THEN 'timestamp' ELSE 'string' END, array_to_string(coalesce(v.ents, []), ' ')), ' ') FROM vars v WHERE v.dataset_id = s.dataset_id)) AS t FROM sets s)"
+_ABOUT = ["furniture", "lineitem", "orders", "table", "timestamp"]
+_ABOUT_CNT = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS n{i}" for i, w in enumerate(_ABOUT))
+_ABOUT_DF = ", ".join(f"count(*) FILTER (WHERE n{i} > 0) AS d{i}" for i in range(len(_ABOUT)))
+_ABOUT_SCORE = " + ".join(f"CASE WHEN n{i} > 0 THEN ln(1 + (docs - d{i} + 0.5) / (d{i} + 0.5)) * n{i} * 2.2 / (n{i} + 1.2 * (0.25 + 0.75 * len / mean)) ELSE 0 END" for i in range(len(_ABOUT)))
+_ABOUT_ANY = " OR ".join(f"n{i} > 0" for i in range(len(_ABOUT)))
 _OWN = "'column name: ' || v.name || ', dtype: ' || CASE WHEN v.ents IS NULL THEN 'timestamp' ELSE 'string' END"
 _URL = html.URL
 _ENDS = "['.csv', '.PDF', '', '.html#x', '.json']"
@@ -230,6 +247,7 @@ ORACLES = {
     "search_dataframe_columns": f"{SQL}{_POST}{_asked('SELECT c_mktsegment AS term FROM customer')}, h AS ({_HITS}) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, CAST(n_terms + 1 AS BIGINT) AS score, CAST(off AS BIGINT) AS off FROM h WHERE n_terms >= ceil(0.5 * (SELECT count(*) FROM asked))",
     "search_fanout_dedup": f"{SQL}{_POST}, q AS (SELECT DISTINCT 'p_type' AS col, 0 AS place, lower(p_type) AS term, {padded_sql('p_type')} AS tp FROM part UNION ALL SELECT DISTINCT 'p_brand', 1, lower(p_brand), {padded_sql('p_brand')} FROM part), n AS (SELECT col, count(*) AS k FROM q GROUP BY col), h AS (SELECT q.col, place, dataset_id, off, count(DISTINCT term) AS n_terms FROM post JOIN q ON contains(p, tp) GROUP BY 1, 2, 3, 4), g AS (SELECT h.*, row_number() OVER (PARTITION BY dataset_id ORDER BY place, n_terms DESC, off) AS r FROM h JOIN n ON n.col = h.col WHERE n_terms >= ceil(0.5 * k)) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, col, CAST(n_terms AS BIGINT) AS n_terms FROM g WHERE r = 1",
     "search_bm25_topk": f"WITH t AS (SELECT doc_id, {words_sql(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')} AS t FROM documents), c AS (SELECT doc_id, len(t) AS len, {_CNT} FROM t), s AS (SELECT count(*) AS docs, avg(len) AS mean, {_DF} FROM c) SELECT doc_id, round({_SCORE}, 6) AS score FROM c, s WHERE n0 + n1 + n2 + n3 > 0 ORDER BY 2 DESC, 1 LIMIT 20",
+    "search_scored": f"{SQL}{_FULLTEXT}, t AS (SELECT dataset_id, {words_sql('t')} AS t FROM fulltext), c AS (SELECT dataset_id, len(t) AS len, {_ABOUT_CNT} FROM t), s AS (SELECT count(*) AS docs, avg(len) AS mean, {_ABOUT_DF} FROM c) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, round({_ABOUT_SCORE}, 5) AS score FROM c, s WHERE {_ABOUT_ANY}",
     "catalog_next_id": f"{SQL} SELECT CAST(coalesce(max(dataset_id) + 10000, 0) AS BIGINT) AS next_id FROM sets",
     "catalog_upsert": f"""{SQL}, cur AS (SELECT dataset_id, CASE WHEN dataset_id IN (20000, 60000) THEN 'new ' || title ELSE title END AS title, dataset_id AS src FROM sets
 UNION ALL SELECT 90000 + 10000 * (row_number() OVER (ORDER BY title) - 1), 'copy of ' || title, dataset_id FROM sets WHERE dataset_id <= 10000)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,3 +33,19 @@ def ship(spark: SparkSession) -> None:
             z.write(p, str(p.relative_to(top.parent)))
     context.addPyFile(target)
     _shipped.add(context.applicationId)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Without that setting a folder is made on a local master alone; on a cluster, whose machines share no local
+    folder, RuntimeError is raised.
+    """
+    key = "spark.checkpoint.dir"
+    found = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key, None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"{key} isn't set: name a folder that all machines share")
+        found = "file://" + tempfile.mkdtemp(prefix="lodeweave-")
+        spark.conf.set(key, found)
+    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
