@@ -4,12 +4,14 @@ Linkage compares distinct key tuples, not rows: a score depends on the key value
 to the largest right id, so each side is first reduced to its distinct keys (the right one with its largest
 id), and the best match is chosen for a key before rows are joined to it. Candidates come from equi-joins: blocks
 on an explicit key; for token sets an inverted index of each set's rarest tokens, of which two sets above the
-threshold share one; for one number or date the nearest values on either side, found in bins. Only what
-none of these covers lets every left key meet every right key.
+threshold share one; for one string an index of segments of which one stays whole within the edits that the threshold allows; for
+one number or date the nearest values on either side, by a merge of sorted ranges. Only what none of these covers lets every left key meet
+every right key.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeweave.functions import dates, similarity, text
+from lodeweave.session import shared_path
 
 THRESHOLD = 0.5
 BLOCK_PAIRS = 10_000
@@ -91,34 +94,90 @@ def _score(kind: str, a: Column, b: Column, span: Column, exact: bool) -> Column
     return similarity.equal(a, b)
 
 
-#: Bins of sorted values: the bound of the table of their edges.
-BINS = 200
+#: Rows of both sides that a bin of sorted values has, about, and the bins' number on one of two levels: BINS * BINS at most.
+BIN_ROWS = 20_000
+BINS = 64
+
+
+def _bins(values: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """One row with the edges of bins that hold about as many of the values (v) each, in two levels; and their number."""
+    side = max(1, min(BINS, math.ceil(math.sqrt(n / BIN_ROWS))))
+    bins = side * side
+    edges = F.percentile_approx("v", F.array(*(F.lit(k / bins) for k in range(1, bins))), F.lit(10 * bins + 1000)) if bins > 1 else F.array().cast("array<double>")
+    found = values.agg(F.coalesce(edges, F.array().cast("array<double>")).alias("e"))
+    upper = F.filter("e", lambda x, i: i % side == side - 1)
+    return found.select(upper.alias("_upper"), F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.slice("e", i * side + 1, side - 1)).alias("_lower")), bins
 
 
 def _nearest(keys: DataFrame, theirs: DataFrame) -> DataFrame:
-    """Each left number l0 with the right one before or at it and the one at or after it (r0, rid).
+    """Each left number l0 with the right one before or at it and the one at or after it (r0, rid): a merge of sorted ranges.
 
-    Bins are cut at approximate quantiles of the right numbers. In a bin a window finds both neighbours; where
-    there is none, the nearest bins' edges serve, a table of BINS rows.
+    Ranges are cut at quantiles of both sides together, so that neither fills one alone. In a range two running passes, upwards and
+    downwards, carry the last right number along; where a range has none before a key, the nearest ranges' edges serve, a table of a row for each range.
     """
-    theirs = theirs.where("r0 is not null")
-    cuts = theirs.select(F.percentile_approx("r0", [k / BINS for k in range(1, BINS)]).alias("cuts"))
-    bin_of = lambda df, c: df.join(F.broadcast(cuts)).withColumn("bin", F.size(F.filter(F.coalesce("cuts", F.array().cast("array<double>")), lambda x: x <= F.col(c)))).drop("cuts")
-    own = F.struct(F.col("r0").alias("r0"), "rid")
-    right = bin_of(theirs, "r0").select("bin", F.col("r0").alias("v"), own.alias("at"))
-    kept = [c for c in keys.columns]
-    mine = bin_of(keys.where("l0 is not null"), "l0").select("bin", F.col("l0").alias("v"), F.struct(*kept).alias("key"))
-    both = mine.unionByName(right, allowMissingColumns=True)
-    up = Window.partitionBy("bin").orderBy("v")
-    near = both.withColumn("low", F.last("at", True).over(up.rangeBetween(Window.unboundedPreceding, 0))).withColumn("high", F.first("at", True).over(up.rangeBetween(0, Window.unboundedFollowing))).where("key is not null")
-    edges = right.groupBy("bin").agg(F.max(F.struct("v", "at"))["at"].alias("last"), F.min(F.struct("v", "at"))["at"].alias("first"))
-    every = keys.sparkSession.range(BINS, numPartitions=1).select(F.col("id").cast("int").alias("bin")).join(edges, "bin", "left")
-    order = Window.orderBy("bin")  # BINS rows
-    every = every.select("bin", F.last("last", True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("below"), F.first("first", True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("above"))
+    theirs, mine = theirs.where("r0 is not null"), keys.where("l0 is not null")
+    kept, own = list(keys.columns), F.struct(F.col("r0").alias("r0"), "rid")
+    right = theirs.select(F.col("r0").alias("v"), own.alias("at"), F.lit(None).cast(mine.select(F.struct(*kept).alias("x")).schema["x"].dataType).alias("key"))
+    both = right.union(mine.select(F.col("l0").alias("v"), F.lit(None).cast(right.schema["at"].dataType).alias("at"), F.struct(*kept).alias("key")))
+    cuts, bins = _bins(both, both.count())
+    at_most = lambda edges, v: F.size(F.filter(edges, lambda x: x <= v))
+    high = F.least(at_most(F.col("_upper"), F.col("v")), F.size("_lower") - 1)
+    both = both.join(F.broadcast(cuts)).withColumn("bin", high * int(math.isqrt(bins)) + at_most(F.get("_lower", high), F.col("v"))).drop("_upper", "_lower")
+    up, down = (Window.partitionBy("bin").orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("v"), F.desc("v")))
+    near = both.withColumn("low", F.last("at", True).over(up)).withColumn("high", F.last("at", True).over(down)).where("key is not null")
+    edges = both.where("at is not null").groupBy("bin").agg(F.max_by("at", "v").alias("last"), F.min_by("at", "v").alias("first"))
+    every = keys.sparkSession.range(bins, numPartitions=1).select(F.col("id").cast("int").alias("bin")).join(edges, "bin", "left")
+    above, below = (Window.orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.desc("bin"), F.asc("bin")))  # ``bins`` rows
+    every = every.select("bin", F.last("last", True).over(below).alias("below"), F.last("first", True).over(above).alias("above"))
     found = near.join(F.broadcast(every), "bin").select("key.*", F.explode(F.array(F.coalesce("low", "below"), F.coalesce("high", "above"))).alias("at"))
     return found.where("at is not null").select(*kept, "at.*").distinct()
 
 
+def _edits(n: Column, threshold: float) -> Column:
+    """Edits that two strings of which the longer has n characters may be apart."""
+    return F.floor(n * (1 - threshold) + 1e-9).cast("int")
+
+
+def _segment(n: Column, d: Column, i: Column) -> tuple[Column, Column]:
+    """Where segment i of a string of n characters in d + 1 segments begins, from 0, and its length; the last ones are longer by one."""
+    base, short = F.floor(n / (d + 1)).cast("int"), d + 1 - n % (d + 1)
+    return i * base + F.greatest(F.lit(0), i - short), base + F.when(i >= short, 1).otherwise(0)
+
+
+def _alike(keys: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of strings whose edit similarity reaches the threshold, by a segment index.
+
+    The longer of two strings is cut into d + 1 segments, d the edits allowed at its length: one of them stands whole in
+    the shorter one, near its place. So segments meet substrings by equality of (length, segment number, text). Of substrings those are
+    taken that can be the first whole segment from the left and from the right: the shift is bounded by the segments
+    before, and with the difference in length by those behind.
+    """
+    n, d, i = F.col("n"), F.col("d"), F.col("i")
+    lengths = lambda df, s: df.select(F.length(s).alias("n")).distinct()
+
+    def segments(df: DataFrame, s: str) -> DataFrame:
+        rows = df.where(F.col(s).isNotNull()).withColumn("n", F.length(s)).withColumn("d", _edits(n, threshold)).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+        start, size = _segment(n, d, i)
+        return rows.withColumn("part", F.substring(F.col(s), start + 1, size))
+
+    def substrings(df: DataFrame, s: str, longer: DataFrame, least: int) -> DataFrame:
+        own = F.length(s)
+        rows = df.where(F.col(s).isNotNull()).withColumn("n", F.explode(F.sequence(own, F.greatest(own, F.floor(own / threshold + 1e-9).cast("int"))))).where(n >= own + least)
+        rows = rows.join(F.broadcast(longer), "n").withColumn("d", _edits(n, threshold)).withColumn("i", F.explode(F.sequence(F.lit(0), d)))
+        (start, size), more = _segment(n, d, i), n - own
+        low = F.greatest(F.lit(0), start - i, start - more - (d - i))
+        high = F.least(own - size, start + i, start - more + (d - i))
+        rows = rows.withColumn("_low", low).withColumn("_high", high).withColumn("_size", size).where("_low <= _high")
+        parts = F.array_distinct(F.transform(F.sequence("_low", "_high"), lambda q: F.substring(F.col(s), q + 1, F.col("_size"))))
+        return rows.withColumn("part", F.explode(parts)).drop("_low", "_high", "_size", "d")
+
+    out = None
+    for a, x, b, y, least in ((theirs, "r0", keys, "l0", 0), (keys, "l0", theirs, "r0", 1)):
+        met = segments(a, x).join(substrings(b, y, lengths(a, x), least), ["n", "i", "part"]).where(F.expr("levenshtein(l0, r0, d) >= 0")).select(*keys.columns, *theirs.columns)
+        out = met if out is None else out.union(met)
+    return out.distinct()
+
+
 def _sharing(keys: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
     """Pairs of token sets that share one of their rarest tokens, as all do whose similarity reaches the threshold (prefix filter)."""
     left, right = keys.withColumn("t", similarity.token_set(F.col("l0"))), theirs.withColumn("t", similarity.token_set(F.col("r0")))
@@ -160,6 +219,8 @@ def _scored_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         pairs = keys.withColumn("_b", a).join(theirs.withColumn("_b", b), "_b")
     elif n == 1 and features[0].kind == "token" and threshold > 0:
         pairs = _sharing(keys, theirs, threshold)
+    elif n == 1 and features[0].kind == "string" and threshold > 0:
+        pairs = _alike(keys, theirs, threshold)
     elif n == 1 and spans and nearest:
         pairs = _nearest(keys, theirs)
     else:
@@ -240,12 +301,14 @@ def report(left: DataFrame, matches: DataFrame, left_id: str) -> DataFrame:
 
 
 def with_row_ids(df: DataFrame, order: Sequence[str], name: str = "row_id") -> DataFrame:
-    """Contiguous ids from 0 in a stated order, by a range sort and a sum of partition sizes: no task sorts all rows."""
-    cut = df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")).persist()
-    sizes = {r["_p"]: r["n"] for r in cut.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # a row for each partition
-    before, total = [], 0
-    for p in sorted(sizes):
-        before.append((p, total))
-        total += sizes[p]
-    offset = F.create_map(*(F.lit(x) for pair in before for x in pair))[F.col("_p")] if before else F.lit(0)
-    return cut.withColumn(name, (F.col("_i") + offset).cast("bigint")).drop("_p", "_i")
+    """Contiguous ids from 0 in a stated order, by a range sort and a sum of partition sizes: no task sorts all rows.
+
+    The sorted rows are stored in the shared folder, so that sizes and ids are of the same order whatever is computed again.
+    """
+    spark, path = df.sparkSession, shared_path(df.sparkSession, "row-ids")
+    df.orderBy(*order).select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("_i")).write.parquet(path)
+    cut = spark.read.parquet(path)
+    sizes = cut.groupBy("_p").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_ahead"))
+    return cut.join(F.broadcast(ahead), "_p").withColumn(name, (F.col("_i") + F.col("_ahead")).cast("bigint")).drop("_p", "_i", "_ahead")
