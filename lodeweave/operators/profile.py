@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.functions import dates, text
+from lodeweave.operators import statistics
 
 TOP = 10
 SIGMA = 3
@@ -108,12 +109,15 @@ def signs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
 
 def targets(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """F-11: mean, standard deviation, median and quartiles (interpolated) of numbers."""
+    """F-11: mean, standard deviation, median and quartiles (interpolated) of numbers; quartiles by distributed selection."""
+    names = list(columns or numeric_columns(df))
+    found = statistics.quantiles(df, names, (0.25, 0.5, 0.75))
+
     def one(c: str) -> dict[str, Column]:
-        q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        return {"mean": F.avg(c), "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)), "q1": q[0], "median": q[1], "q3": q[2]}
+        q = {k: F.lit(found[c, p]).cast("double") for k, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+        return {"mean": F.avg(c), "std": F.coalesce(F.stddev_samp(c), F.lit(0.0)), **q}
 
-    return _long(df, {c: one(c) for c in columns or numeric_columns(df)})
+    return _long(df, {c: one(c) for c in names})
 
 
 def outliers(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -189,52 +193,14 @@ def punctuation(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     return outs.select(F.explode(F.array(*rows)).alias("r")).select("r.*").where(F.col("count") > 0).orderBy(F.desc("count"), "punctuation").limit(k)
 
 
-def _correlated(values: DataFrame, names: Sequence[str]) -> DataFrame:
-    """min, max, mean, median and std of each column's correlations with every column, itself included."""
-    def r(a: str, b: str) -> Column:
-        both = F.col(a).isNotNull() & F.col(b).isNotNull()
-        x, y = F.when(both, F.col(a).cast("double")), F.when(both, F.col(b).cast("double"))
-        spread = (F.var_pop(x) > 0) & (F.var_pop(y) > 0)
-        return F.when(spread, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
-
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = values.agg(*(r(a, b).alias(f"r{k}") for k, (a, b) in enumerate(pairs)))
-    at = {p: k for k, p in enumerate(pairs)}
-    cells = F.array(*(F.struct(F.lit(a).alias("column"), F.col(f"r{at.get((a, b), at.get((b, a)))}").alias("r")) for a in names for b in names))
-    return wide.select(F.explode(cells).alias("x")).select("x.*").groupBy("column").agg(F.min("r").alias("min"), F.max("r").alias("max"), F.avg("r").alias("mean"), F.percentile("r", F.lit(0.5)).alias("median"), F.stddev_samp("r").alias("std"))
-
-
 def pearson(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """F-20."""
-    return _correlated(df, list(columns or numeric_columns(df)))
+    """F-20: min, max, mean, median and std of each column's correlations with every column, itself included."""
+    return statistics.pearson(df, list(columns or numeric_columns(df)))
 
 
 def spearman(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """F-21: as Pearson's over average ranks.
-
-    A value's average rank is (rows below it) + (its rows + 1) / 2. Values are counted by grouping, so
-    ties never meet in one task, and ranks come from a sum over the distinct values of a column.
-    """
-    names = list(columns or numeric_columns(df))
-    out = df.select(*names)
-    for i, c in enumerate(names):
-        counted = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("_v")).agg(F.count("*").alias("_n"))
-        below = _running(counted, "_v", "_n")
-        ranks = below.select("_v", (F.col("_below") + (F.col("_n") + 1) / 2).alias(f"_rank{i}"))
-        out = out.join(ranks, out[c] == ranks["_v"], "left").drop("_v")
-    ranked = out.select(*(F.col(f"_rank{i}").alias(c) for i, c in enumerate(names)))
-    return _correlated(ranked, names)
-
-
-def _running(df: DataFrame, order: str, n: str, parts: int = 64) -> DataFrame:
-    """``df`` with ``_below``: the sum of n over rows with a smaller ``order``, by ranges: no task gets all rows."""
-    bounds = df.agg(F.percentile_approx(order, F.array(*(F.lit(k / parts) for k in range(1, parts))), F.lit(10_000)).alias("_b"))
-    cell = F.size(F.filter("_b", lambda b: b < F.col(order)))
-    dealt = df.join(F.broadcast(bounds)).withColumn("_cell", F.coalesce(cell, F.lit(0))).drop("_b")
-    sums = dealt.groupBy("_cell").agg(F.sum(n).alias("_s"))  # at most ``parts`` rows
-    before = sums.select("_cell", F.coalesce(F.sum("_s").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.coalesce(F.sum(n).over(Window.partitionBy("_cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_cell").withColumn("_below", F.col("_before") + F.col("_in")).drop("_cell", "_in", "_before")
+    """F-21: as Pearson's over average ranks."""
+    return statistics.spearman(df, list(columns or numeric_columns(df)))
 
 
 def language(df: DataFrame, column: str) -> DataFrame:
