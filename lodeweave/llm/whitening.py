@@ -2,8 +2,8 @@
 
 Each component c of a vector becomes the whole number floor(scale * c) + shift. One aggregation gives
 the exact sums of each dimension; a second one is made of generated SQL, a sum of centred products
-for each pair of dimensions i <= j, so that a task hands over one row of d * (d + 1) / 2 numbers,
-whatever its share of the table. The driver assembles the matrix (d is the vectors' width) and
+for each pair of dimensions, grouped by pairs of tiles of TILE dimensions (the upper triangle of tiles), so that a task hands over
+some d * d / 2 numbers, whatever its share of the table. The driver assembles the matrix (d is the vectors' width) and
 decomposes it with LAPACK. Rows are then projected in Arrow batches, and the covariance of what comes
 out is measured by the same kind of aggregation.
 
@@ -39,6 +39,8 @@ COMPONENTS = 32
 #: Magnitude that scaled entries must stay below: floor of a double is exact there.
 _MOST = 1 << 52
 _LEAST_SHARE = 1e-12
+#: Columns of a tile: a task sums TILE * TILE products for each pair of tiles.
+TILE = 8
 #: A sum is carried in two halves of so many bits, so that no sum of 64 bits overflows.
 _HALF = 26
 
@@ -78,13 +80,26 @@ def _scaled(df: DataFrame, width: int, scale: float) -> DataFrame:
 
 
 def pair_sums(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, sums and the symmetric matrix of summed products of number columns, by one aggregation."""
-    d = len(columns)
-    exprs = ["count(*)", *(f"sum({c})" for c in columns), *(f"sum({columns[i]} * {columns[j]})" for i in range(d) for j in range(i, d))]
-    row = df.selectExpr(*(f"{e} AS s{k}" for k, e in enumerate(exprs))).first()
-    out = np.zeros((d, d))
-    out[np.triu_indices(d)] = [0.0 if x is None else x for x in row[1 + d :]]
-    return row[0], np.array([0.0 if x is None else x for x in row[1 : 1 + d]]), np.triu(out) + np.triu(out, 1).T
+    """Rows, sums and the symmetric matrix of summed products of number columns, by one aggregation.
+
+    Columns are taken TILE at a time. A row meets the pairs of tiles i <= j, and a group of the aggregation is such a pair, with a
+    generated sum for each of its TILE * TILE products: so a plan of any width is some dozens of expressions, which Spark compiles.
+    """
+    d, tiles = len(columns), -(-len(columns) // TILE)
+    names = [*columns, *["0D"] * (tiles * TILE - d)]
+    blocks = ", ".join(f"array({', '.join(names[t * TILE : (t + 1) * TILE])})" for t in range(tiles))
+    pairs = ", ".join(f"named_struct('i', {i}, 'j', {j})" for i in range(tiles) for j in range(i, tiles))
+    met = df.selectExpr(f"array({blocks}) AS b", f"explode(array({pairs})) AS p").selectExpr("p.i AS i", "p.j AS j", "b[p.i] AS x", "b[p.j] AS y")
+    met = met.selectExpr("i", "j", *(f"{v}[{k}] AS {v}{k}" for v in "xy" for k in range(TILE)))
+    sums = [f"sum(x{k}) AS s{k}" for k in range(TILE)] + [f"sum(x{k} * y{l}) AS p{k}_{l}" for k in range(TILE) for l in range(TILE)]
+    rows = met.groupBy("i", "j").agg(F.count("*").alias("n"), *map(F.expr, sums)).collect()  # a row for each pair of tiles
+    n, total, out = 0, np.zeros(tiles * TILE), np.zeros((tiles * TILE, tiles * TILE))
+    for r in rows:
+        x, y = (slice(r[t] * TILE, (r[t] + 1) * TILE) for t in "ij")
+        out[x, y] = np.array(r[3 + TILE :]).reshape(TILE, TILE)
+        if r["i"] == r["j"]:
+            n, total[x] = r["n"], r[3 : 3 + TILE]
+    return n, total[:d], (np.triu(out) + np.triu(out, 1).T)[:d, :d]
 
 
 def fit(rows: DataFrame, scale: float = SCALE, shift: int = SHIFT) -> Whitening:
