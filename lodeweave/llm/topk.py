@@ -15,7 +15,8 @@ Cases: vectors that are null, or hold a null or non-finite component, take no pa
 are padded with zeros; the rows that carry the query's id aren't its candidates, any other row is,
 repeated ones each; of several rows with one query id the one with the smallest vector asks; ties go
 to the smaller id; fewer than k candidates give fewer rows; an empty table gives an empty result.
-Components must lie below 2**40 in magnitude after scaling. Extra columns are ignored.
+A score has 64 bits: where the length of a scaled query times that of the longest candidate reaches 2**62, ValueError is raised before
+anything is scored. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from lodeweave.llm._store import arrow, stored
 BINS = 256
 BLOCK = 4096
 SCALE = 256
+#: What scores must stay below, so that ranges of scores fit 64 bits too.
+_MOST = float(1 << 62) * (1 - 1e-6)
 #: Candidates that are scored at once: with BLOCK queries some 8 MB a temporary, as a block's histograms take.
 _ROWS = 256
 _OUT = "query_id bigint, vec_id bigint, score bigint"
@@ -161,6 +164,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: float = SCALE,
         last = int(ids[-1])
         column = rows.column("v").combine_chunks()
         matrix = _matrix(column if isinstance(column, pa.Array) else column.chunk(0), width, scale)
+        if not float(np.maximum(np.sqrt((matrix**2).sum(axis=1)), 1.0).max()) * longest < _MOST:
+            raise ValueError("scores don't fit 64 bits: scale the vectors down")
         bound = np.ceil(np.sqrt((matrix**2).sum(axis=1)) * longest * (1 + 1e-9)).astype(np.int64) + 1
         scores = _Scores(ids, matrix, scale, exact=bool(bound.max() < 1 << 52))
         kept = _kept(clean, scores, _thresholds(clean, scores, bound, k), k)
