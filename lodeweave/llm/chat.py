@@ -125,19 +125,28 @@ def format_conversations(rows: DataFrame, part_bytes: int = PART_BYTES) -> DataF
     return arrow(dealt, run, FORMATTED.format(kind.simpleString()))
 
 
-_TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:[^\\ ]|\\.| (?!</turn>\n))*) </turn>\n", re.S)
+_HEAD = re.compile(r"### ([^\\:]*(?:\\.[^\\:]*)*): ", re.S)
+_END = " </turn>\n"
 
 
 def turns(formatted: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted text; raises ValueError if it isn't one."""
-    out, at = [], 0
+    return list(each_turn(formatted))
+
+
+def each_turn(formatted: str) -> Iterator[tuple[str, str]]:
+    """(role, text) of each turn of a formatted text, one at a time; raises ValueError if it isn't one.
+
+    Within texts the end mark is escaped behind its blank, so the next one ends the turn.
+    """
+    at = 0
     while at < len(formatted):
-        m = _TURN.match(formatted, at)
-        if not m:
+        head = _HEAD.match(formatted, at)
+        end = formatted.find(_END, head.end()) if head else -1
+        if end < 0:
             raise ValueError(f"no turn at {at}")
-        out.append((unescape(m[1]), unescape(m[2])))
-        at = m.end()
-    return out
+        yield unescape(head[1]), unescape(formatted[head.end() : end])
+        at = end + len(_END)
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -167,7 +176,7 @@ def digests(formatted: DataFrame) -> DataFrame:
                     if now:
                         done.append(now)
                     now = [key, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                for role, said in turns(text):
+                for role, said in each_turn(text):
                     now[1] += 1
                     now[2].update(f"{role}\n{said}\n".encode())
                 raw = text.encode()
