@@ -364,17 +364,14 @@ class Encoder:
         opens = self._borders(data)
         opens[at[:-1][full]] = True
         start = np.flatnonzero(opens)
-        words = _bytes.Words(data, start, np.diff(np.append(start, len(data))), np.searchsorted(start, at))
-        _, first, place = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        raw, found = data.tobytes(), []
-        for i, n in zip(words.start[first].tolist(), words.length[first].tolist()):
-            key = raw[i : i + n]
-            found.append(self.new.get(key) or self._kept(key))
+        stretches = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data.tobytes())]).dictionary_encode()
+        place, before = stretches.indices.to_numpy(), np.searchsorted(start, at)
+        found = [self.new.get(key) or self._kept(key) for key in stretches.dictionary.to_pylist()]
         sizes = np.array([len(x) // 4 for x in found], np.int64)
         ids = np.frombuffer(b"".join(found), np.int32)
         counts = sizes[place]
         flat = ids[np.repeat((np.cumsum(sizes) - sizes)[place], counts) + _bytes.spans_of(counts)] if len(ids) else ids
-        offsets = np.append(0, np.cumsum(counts))[words.before].astype(np.int32)
+        offsets = np.append(0, np.cumsum(counts))[before].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
     def _borders(self, data: np.ndarray) -> np.ndarray:
