@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ASCII letters and digits and everything beyond ASCII: the bytes of [^\x00-\x2F\x3A-\x60\x7B-\x7F] after lower-casing.
 WORD = np.zeros(256, bool)
@@ -22,20 +23,11 @@ DENSE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes of words that are hashed at once: temporaries take some 40 times as much.
-_AT_ONCE = 1 << 18
-_powers = np.ones(1, np.uint64)
-
-
-def powers(n: int) -> np.ndarray:
-    """_BASE to the powers 0 .. n-1, modulo 2**64."""
-    global _powers
-    if len(_powers) < n:
-        more = np.full(max(n, 4096), _BASE)
-        more[0] = 1
-        _powers = np.multiply.accumulate(more)
-    return _powers[:n]
+#: Key of the hashes, and what the state is multiplied by.
+_KEY, _PRIME = np.uint64(0x51F2D1A7C3B8E469), np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of words that are hashed at once, and of a word that numpy hashes: longer ones are hashed one by one.
+_AT_ONCE = 1 << 20
+_SHORT = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -62,28 +54,33 @@ class Words:
         return np.repeat(np.arange(len(self.before) - 1), np.diff(self.before))
 
     def hashes(self, limit: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word, or of its first ``limit`` bytes; made ``_AT_ONCE`` bytes at a time, within a word too."""
+        """A keyed 64-bit hash of each word, or of its first ``limit`` bytes.
+
+        Eight bytes at a time are mixed into the state, whose start is the length, by a step that isn't linear, so that no pattern of
+        letters makes words alike; words of more than ``_SHORT`` bytes take xxHash.
+        """
         n = self.length if limit is None else np.minimum(self.length, limit)
         out = np.empty(len(n), np.uint64)
-        ends = np.cumsum(n)
+        for k in np.flatnonzero(n > _SHORT):
+            out[k] = xxhash.xxh3_64_intdigest(self.data[self.start[k] : self.start[k] + n[k]].tobytes(), seed=int(_KEY))
+        short = np.flatnonzero(n <= _SHORT)
+        ends = np.cumsum(n[short])
         i = 0
-        while i < len(n):
-            j = max(i + 1, int(np.searchsorted(ends, ends[i] - n[i] + _AT_ONCE, "right")))
-            some, first = n[i:j], ends[i:j] - n[i:j] - (ends[i] - n[i])
-            if j == i + 1 and n[i] > _AT_ONCE:
-                total = np.uint64(0)
-                for k in range(0, int(n[i]), _AT_ONCE):
-                    part = self.data[self.start[i] + k : self.start[i] + min(k + _AT_ONCE, int(n[i]))].astype(np.uint64) + np.uint64(1)
-                    total += (part * powers(_AT_ONCE)[: len(part)]).sum(dtype=np.uint64) * np.uint64(pow(int(_BASE), k, 1 << 64))
-                out[i] = total
-            else:
-                within = np.arange(int(some.sum())) - np.repeat(first, some)
-                value = self.data[np.repeat(self.start[i:j], some) + within].astype(np.uint64)
-                value += np.uint64(1)
-                value *= powers(int(some.max()))[within]
-                out[i:j] = np.add.reduceat(value, first)
+        while i < len(short):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _AT_ONCE, "right")))
+            some = short[i:j]
+            state, left, at = mix(n[some].astype(np.uint64) * _PRIME ^ _KEY), n[some], self.start[some]
+            live = np.flatnonzero(left > 0)
+            while len(live):
+                within = np.arange(8)
+                eight = self.data[np.minimum(at[live, None] + within, len(self.data) - 1)]
+                eight[within >= left[live, None]] = 0
+                state[live] = mix((state[live] ^ np.ascontiguousarray(eight).view(np.uint64)[:, 0]) * _PRIME)
+                left, at = left - 8, at + 8
+                live = live[left[live] > 0]
+            out[some] = state
             i = j
-        return mix(out + n.astype(np.uint64)) if len(n) else out
+        return out
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
