@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.session import ship
@@ -121,6 +122,7 @@ class _Tables(HTMLParser):
     def __init__(self) -> None:
         super().__init__()
         self.tables: list[list[list[str]]] = []
+        self.marks: list[dict[str, str | None]] = []
         self.headed: list[bool] = []
         self.depth: list[int] = []
         self.cell: list[str] | None = None
@@ -128,6 +130,7 @@ class _Tables(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "table":
             self.tables.append([])
+            self.marks.append(dict(attrs))
             self.headed.append(False)
             self.depth.append(len(self.tables) - 1)
         elif self.depth:
@@ -153,24 +156,56 @@ class _Tables(HTMLParser):
             self.depth.pop()
 
 
-def count_tables(page: str) -> int:
-    """How many tables a page opens, nested ones too."""
-    p = _Tables()
-    p.feed(page or "")
-    return len(p.tables)
+_XPATH = re.compile(r"//table(?:\[(\d+)\]|\[@([\w-]+)=(['\"])(.*?)\3\])?")
+
+
+def chooses(selector: str | None, index: int, marks: dict[str, str | None]) -> bool:
+    """Whether a table is the chosen one: by place from 0 ("2"), "#id", ".class", or //table with a place from 1 or an attribute; None chooses all.
 
+    Another selector raises ValueError.
+    """
+    if selector is None or selector == "":
+        return True
+    if selector.isdigit():
+        return index == int(selector)
+    if selector[0] == "#":
+        return marks.get("id") == selector[1:]
+    if selector[0] == ".":
+        return selector[1:] in (marks.get("class") or "").split()
+    m = _XPATH.fullmatch(selector)
+    if not m:
+        raise ValueError(f"no selector of tables: {selector}")
+    place, name, _, value = m.groups()
+    return index == int(place) - 1 if place else name is None or marks.get(name) == value
 
-def parse_table(page: str, index: int = 0) -> tuple[list[str], list[list[str]]]:
-    """Names and rows of a page's table; a first row of <td> cells is data, and columns are then numbered."""
+
+def parse_tables(page: str, selector: str | None = None) -> Iterator[tuple[int, list[list[str]], bool]]:
+    """(index, rows, whether the first row names the columns) of the chosen tables of a page; rows without cells are left out."""
     p = _Tables()
     p.feed(page or "")
-    if index >= len(p.tables):
-        return [], []
-    rows = [r for r in p.tables[index] if r]
-    if not rows:
-        return [], []
-    width = max(map(len, rows))
-    names = rows[0] if p.headed[index] else [str(i) for i in range(width)]
-    body = rows[1:] if p.headed[index] else rows
-    names = [*names, *(str(i) for i in range(len(names), width))]
-    return names, [[*r, *[""] * (width - len(r))] for r in body]
+    for i, rows in enumerate(p.tables):
+        if chooses(selector, i, p.marks[i]):
+            yield i, [r for r in rows if r], p.headed[i]
+
+
+@F.udtf(returnType="table int, row int, header boolean, cells array<string>")
+class PageTables:
+    """S-09, S-18: the rows of a page's tables, for lateral joins: ``page_tables(html, selector)`` in SQL, once registered."""
+
+    def eval(self, page: str, selector: str | None):
+        for i, rows, headed in parse_tables(page, selector):
+            for j, cells in enumerate(rows):
+                yield i, j, headed and j == 0, cells
+
+
+def register(spark: SparkSession) -> None:
+    """Makes ``page_tables`` known to SQL."""
+    ship(spark)
+    spark.udtf.register("page_tables", PageTables)
+
+
+def tables(pages: DataFrame, key: str = "page_id", html: str = "html", selector: str | None = None) -> DataFrame:
+    """S-09, S-18: (key, table, row, header, cells) of the chosen tables of all pages; tables and rows are counted from 0."""
+    ship(pages.sparkSession)
+    rows = PageTables(F.col(html).outer(), F.lit(selector).cast("string"))
+    return pages.select(key, html).lateralJoin(rows).select(key, "table", "row", "header", "cells")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeweave import api
+from lodeweave.functions import html
 from lodeweave.operators import catalog as store
 from lodeweave.operators import generators, search
 from lodeweave.plans import datasets
 from lodeweave.queries.common import SQL, catalog, padded_sql, table
-from lodeweave.sources import remote
+from lodeweave.sources import remote, workbooks
 
 
 def search_keywords(spark, d):
@@ -112,6 +113,23 @@ def page_tables(spark, d):
     return table(spark, d, "pages").select("page_id", generators.n_tables(F.col("html")).alias("n_tables"))
 
 
+def html_tables(spark, d):
+    """S-09, S-18: the rows of tables of all pages, whose lists are turned into tables."""
+    page = F.col("html")
+    for old, new in (("<ul>", '<table class="nav">'), ("</ul>", "</table>"), ("<li>", "<tr><td>"), ("</li>", "</td><td>x</td></tr>")):
+        page = F.replace(page, F.lit(old), F.lit(new))
+    rows = html.tables(table(spark, d, "pages").select("page_id", page.alias("html")), selector=".nav")
+    return rows.select("page_id", F.col("table").cast("bigint").alias("tab"), F.col("row").cast("bigint").alias("line"), F.array_join("cells", "|").alias("cells"))
+
+
+def workbook_tables(spark, d):
+    """S-07, S-08, S-16: workbooks of a hundred parts each, written and read as rows, header and title told apart."""
+    parts = table(spark, d, "part").select(F.expr("p_partkey div 100").cast("string").alias("book"), "p_partkey", "p_name", "p_brand", "p_type")
+    rows = workbooks.tabular(workbooks.rows(workbooks.packed(parts, "book", "p_partkey", "Parts of the sample warehouse")))
+    cell = lambda i, name: F.get("cells", F.lit(i)).alias(name)
+    return rows.where("kind = 'data'").select(F.col("path").alias("book"), cell(0, "p_partkey"), cell(1, "p_name"), cell(2, "p_brand"), cell(3, "p_type"))
+
+
 def csv_resources(spark, d):
     """G-07: pages as packages of resources."""
     p = table(spark, d, "pages")
@@ -121,7 +139,7 @@ def csv_resources(spark, d):
     return generators.csv_resources(packages).select("title", "url", F.array_join("keywords", ",").alias("keywords"), F.col("date_published").alias("published"))
 
 
-_NAMES = "search_keywords search_columns_best entity_constraints constrained_join load_by_id generated_metadata year_chunks common_station paged_union area_years key_entities page_tables csv_resources".split()
+_NAMES = "search_keywords search_columns_best entity_constraints constrained_join load_by_id generated_metadata year_chunks common_station paged_union area_years key_entities page_tables html_tables workbook_tables csv_resources".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _POST = f", post AS (SELECT dataset_id, off, v AS value, {padded_sql('v')} AS p FROM (SELECT dataset_id, off, unnest(ents) AS v FROM vars))"
@@ -166,6 +184,8 @@ SELECT event_type, user_id AS station FROM (SELECT *, row_number() OVER (PARTITI
     "area_years": "SELECT o_orderpriority, o_orderstatus, o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT', '5-LOW') AND year(o_orderdate) BETWEEN 1994 AND 1996",
     "key_entities": """SELECT DISTINCT 'props_k' AS key, 'Text' AS semantic_type, json_extract_string(props, '$.k') AS value FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL
 UNION ALL SELECT DISTINCT 'who_id', 'Identifier', CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL UNION ALL SELECT DISTINCT 'who_kinds_0', 'Text', event_type FROM events WHERE event_type IS NOT NULL""",
+    "html_tables": r"SELECT page_id, tab, CAST(line AS BIGINT) AS line, trim(regexp_replace(regexp_replace(replace(replace(replace(item, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '</?(a|b)( [^>]*)?>', '', 'g'), '\s+', ' ', 'g')) || '|x' AS cells FROM (SELECT page_id, tab, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS line FROM (SELECT page_id, CAST(k - 1 AS BIGINT) AS tab, regexp_extract_all(uls[k], '(?s)<li>(.*?)</li>', 1) AS items FROM (SELECT page_id, uls, unnest(range(1, len(uls) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS uls FROM pages))))",
+    "workbook_tables": "SELECT CAST(p_partkey // 100 AS VARCHAR) AS book, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part",
     "page_tables": r"SELECT page_id, CAST(coalesce(len(regexp_extract_all(lower(html), '<table\b|\{\|')), 0) AS BIGINT) AS n_tables FROM pages",
     "csv_resources": "SELECT CAST(page_id AS VARCHAR) AS title, url, 't' AS keywords, '2020-01-01' AS published FROM pages WHERE page_id % 4 IN (0, 3)",
 }

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import io
 import json
-import zipfile
 from collections.abc import Callable, Sequence
 from pathlib import Path
 from threading import Timer
 from uuid import uuid4
-from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeweave.functions import dates, html
+from lodeweave.sources import workbooks
 
 Reader = Callable[..., DataFrame]
 READERS: dict[str, Reader] = {}
@@ -73,76 +71,47 @@ def _whole(spark: SparkSession, url: str) -> bytes:
 
 
 def _named(names: Sequence[str]) -> list[str]:
-    out: list[str] = []
-    for i, n in enumerate(names):
-        n = n or f"column_{i}"
-        out.append(n if n not in out else f"{n}.{sum(x.split('.')[0] == n for x in out)}")
-    return out
+    return unique_names([n or f"column_{i}" for i, n in enumerate(names)])
+
+
+def _columns(rows: DataFrame, header: Sequence[str | None] | None, width: int) -> DataFrame:
+    """Rows (cells) as text columns: named by the header, else numbered."""
+    names = _named([str(c or "") for c in [*header, *[None] * (width - len(header))]]) if header is not None else [str(i) for i in range(width)]
+    return rows.select(*(F.get("cells", F.lit(i)).alias(n) for i, n in enumerate(names)))
 
 
 @reader("html")
-def read_html(spark: SparkSession, url: str, index: str | int = 0, **_) -> DataFrame:
-    """S-09, S-18: a table of a page, all columns texts."""
-    names, rows = html.parse_table(_whole(spark, url).decode("utf-8", "replace"), int(index))
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in _named(names)])
-    return spark.createDataFrame([tuple(r) for r in rows], schema)
-
-
-def _cells(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
-    """Name and rows of each sheet of an .xlsx file."""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        ns = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in s.iter(f"{{{ns['m']}}}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall("m:si", ns)]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).find("m:sheets", ns)]
-        sheets = sorted((n for n in z.namelist() if n.startswith("xl/worksheets/sheet")), key=lambda n: int("".join(filter(str.isdigit, n.rsplit("/", 1)[1])) or 0))
-        out = []
-        for name, path in zip(names, sheets):
-            rows: list[list[str | None]] = []
-            for row in ElementTree.fromstring(z.read(path)).iter(f"{{{ns['m']}}}row"):
-                cells: dict[int, str | None] = {}
-                for c in row.findall("m:c", ns):
-                    at = 0
-                    for ch in filter(str.isalpha, c.get("r", "A")):
-                        at = at * 26 + ord(ch) - 64
-                    value = c.find("m:v", ns)
-                    text = "".join(t.text or "" for t in c.iter(f"{{{ns['m']}}}t")) if c.get("t") == "inlineStr" else value.text if value is not None else None
-                    cells[at - 1] = shared[int(text)] if c.get("t") == "s" and text is not None else text
-                rows.append([cells.get(i) for i in range(max(cells, default=-1) + 1)])
-            width = max(map(len, rows), default=0)
-            out.append((name, [[*r, *[None] * (width - len(r))] for r in rows]))
-        return out
-
-
-def table_of(rows: list[list[str | None]]) -> tuple[list[str], list[list[str | None]], list[list[str | None]], list[list[str | None]]]:
-    """S-08: (header, rows, lines above, lines below): outer lines with more than half of the cells empty are remarks."""
-    rows = [r for r in rows if any(c is not None for c in r)]
-    used = [i for i in range(len(rows[0]) if rows else 0) if any(r[i] is not None for r in rows)]
-    rows = [[r[i] for i in used] for r in rows]
-    remark = [sum(c is None for c in r) > len(r) / 2 for r in rows]
-    good = [i for i, x in enumerate(remark) if not x]
-    if not good:
-        return [], [], rows, []
-    first, last = good[0], good[-1]
-    names = _named([str(c) if c is not None else "" for c in rows[first]])
-    return names, rows[first + 1 : last + 1], rows[:first], rows[last + 1 :]
+def read_html(spark: SparkSession, url: str, index: str | int = 0, xpath: str | None = None, **_) -> DataFrame:
+    """S-09, S-18: a table of a page, all columns texts, cells that a row lacks empty; chosen by place or ``xpath`` (see ``html.chooses``).
+
+    The first matching table of each page counts. Pages are parsed by the executors; the driver gets the widest row's size and a header.
+    """
+    pages = spark.read.format("binaryFile").load(url).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
+    rows = html.tables(pages, "path", "html", xpath or str(index))
+    first = rows.groupBy("path").agg(F.min("table").alias("table"))
+    rows = rows.join(first, ["path", "table"])
+    found = rows.agg(F.max(F.size("cells")).alias("width"), F.min_by(F.when(F.col("header"), F.col("cells")), F.struct("path", "row")).alias("header")).first()
+    width = found["width"] or 0
+    header = found["header"] and [*found["header"], *(str(i) for i in range(len(found["header"]), width))]
+    out = _columns(rows.where(~F.col("header")).orderBy("path", "row"), header, width)
+    return out.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in out.columns))
 
 
 @reader("excel")
 def read_excel(spark: SparkSession, url: str, index: str | int = 0, **_) -> DataFrame:
-    """S-07, S-16: a sheet, all columns texts."""
-    sheets = _cells(_whole(spark, url))
-    names, rows, _, _ = table_of(sheets[int(index)][1])
-    return spark.createDataFrame([tuple(r) for r in rows], T.StructType([T.StructField(n, T.StringType()) for n in names]))
+    """S-07, S-08, S-16: a sheet of a workbook, or of each workbook that the address matches, all columns texts; names are those of the first workbook's header."""
+    rows = workbooks.tabular(workbooks.read(spark, url, int(index)))
+    found = rows.agg(F.max(F.size("cells")).alias("width"), F.min_by(F.when(F.col("kind") == "header", F.col("cells")), F.when(F.col("kind") == "header", F.col("path"))).alias("header")).first()
+    return _columns(rows.where("kind = 'data'").orderBy("path", "row"), found["header"] or [], found["width"] if found["header"] else 0)
 
 
 def n_parts(spark: SparkSession, url: str, file_type: str | None = None) -> int | None:
     """How many tables a workbook or a page holds; None for a file that is one table."""
     kind = kind_of(url, file_type)
+    files = spark.read.format("binaryFile").load(url)
     if kind == "excel":
-        return len(_cells(_whole(spark, url)))
-    return html.count_tables(_whole(spark, url).decode("utf-8", "replace")) if kind == "html" else None
+        return workbooks.sheets(files.select("path", "content")).agg(F.coalesce(F.max("sheet") + 1, F.lit(0))).first()[0]
+    return html.tables(files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html")), "path").agg(F.coalesce(F.max("table") + 1, F.lit(0))).first()[0] if kind == "html" else None
 
 
 def kind_of(url: str, file_type: str | None = None) -> str:
@@ -252,12 +221,14 @@ def declared(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def unique_names(names: Sequence[str]) -> list[str]:
-    """K-05: x, x.1, x.2, ...; the first keeps its name."""
-    seen: dict[str, int] = {}
-    out = []
+    """K-05: x, x.1, x.2, ...; the first keeps its name, and no made name is one that is given."""
+    out: list[str] = []
     for n in names:
-        out.append(f"{n}.{seen[n]}" if n in seen else n)
-        seen[n] = seen.get(n, 0) + 1
+        free, k = n, 0
+        while free in out or (k and free in names):
+            k += 1
+            free = f"{n}.{k}"
+        out.append(free)
     return out
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeweave import api
 from lodeweave.functions import html
-from lodeweave.sources import readers
+from lodeweave.sources import readers, workbooks
 
 ROOT = Path(__file__).resolve().parents[1]
 
@@ -98,9 +98,52 @@ def test_excel_header_and_footer(spark, tmp_path):
     (tmp_path / "t.xlsx").write_bytes(workbook(rows))
     df = readers.read_general(spark, str(tmp_path / "t.xlsx"))
     assert df.columns == ["a", "b", "c"] and [tuple(r) for r in df.collect()] == [("1", "2", "3"), ("4", None, "6")]
-    names, body, above, below = readers.table_of(rows)
-    assert above == [["Title", None, None]] and below == [["source: x", None, None]]
-    assert readers.table_of([[None]]) == ([], [], [], [])
+    told = workbooks.tabular(workbooks.read(spark, str(tmp_path / "t.xlsx"))).orderBy("row").collect()
+    assert [(r.row, r.kind, r.cells[0]) for r in told] == [(0, "above", "Title"), (2, "header", "a"), (3, "data", "1"), (4, "data", "4"), (5, "below", "source: x")]
+    (tmp_path / "e.xlsx").write_bytes(workbook([[None]]))
+    assert readers.read_excel(spark, str(tmp_path / "e.xlsx")).columns == []
+
+
+def test_workbooks_of_a_folder(spark, tmp_path):
+    """Shared texts, several sheets in an order of their own, gaps, and a folder of files."""
+    ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"b{k}.xlsx", "w") as z:
+            z.writestr("xl/workbook.xml", f'<workbook {ns}><sheets><sheet name="Last" sheetId="9" r:id="rId9"/><sheet name="First" sheetId="1" r:id="rId1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/a.xml"/><Relationship Id="rId9" Target="/xl/worksheets/z.xml"/></Relationships>')
+            z.writestr("xl/sharedStrings.xml", f"<sst {ns}><si><t>shared </t></si><si><r><t>in </t></r><r><t>runs</t></r><rPh><t>no</t></rPh></si></sst>")
+            z.writestr("xl/worksheets/a.xml", f'<worksheet {ns}><sheetData><row r="2"><c r="B2" t="s"><v>1</v></c><c r="AA2"><v>{k}</v></c></row><row r="3"/><row r="7"><c><v>1.5</v></c><c t="s"><v>0</v></c></row></sheetData></worksheet>')
+            z.writestr("xl/worksheets/z.xml", f"<worksheet {ns}><sheetData/></worksheet>")
+    got = sorted((r.path[-7:], r.sheet, r.name, r.row, r.cells) for r in workbooks.read(spark, str(tmp_path)).collect())
+    assert got == [(f"b{k}.xlsx", 1, "First", i, c) for k in range(3) for i, c in ((1, [None, "in runs", *[None] * 24, str(k)]), (6, ["1.5", "shared "]))]
+    assert readers.n_parts(spark, str(tmp_path / "b0.xlsx")) == 2 and workbooks.read(spark, str(tmp_path), 0).count() == 0
+
+
+def test_written_workbooks_come_back(spark):
+    rows = [("x", i, "a<b> & c " if i % 2 else None, f"{i}") for i in range(30)] + [("y", 1, "\u00e9", "z")]
+    df = spark.createDataFrame(rows, "book string, n long, s string, t string")
+    back = workbooks.tabular(workbooks.rows(workbooks.packed(df, "book", "n", "Title"))).collect()
+    assert sorted((r.path, *r.cells) for r in back if r.kind == "data") == sorted((b, str(n), s, t) for b, n, s, t in rows)
+    assert {tuple(r.cells) for r in back if r.kind == "header"} == {("n", "s", "t")} and sum(r.kind == "above" for r in back) == 2
+    assert [workbooks._column(workbooks._cell(i, 1, "v").split('"')[1]) for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]
+
+
+def test_tables_of_pages(spark, tmp_path):
+    pages = spark.createDataFrame([(1, PAGE), (2, '<table id="t" class="a b"><tr><td>1<td>2</table><table class="b"><tr><th>h</th></tr></table>'), (3, ""), (4, None)], "page_id long, html string")
+    flat = lambda selector: sorted((r.page_id, r.table, r.row, r.header, r.cells) for r in html.tables(pages, selector=selector).collect())
+    every = flat(None)
+    assert every[:3] == [(1, 0, 0, True, ["Surface", "Albedo"]), (1, 0, 1, False, ["Ice", "0.5"]), (1, 0, 2, False, ["Sand"])] and {r[0] for r in every} == {1, 2}
+    assert flat("1") == flat("//table[2]") == [r for r in every if r[1] == 1] and flat("#t") == flat('//table[@id="t"]') == [r for r in every if r[:2] == (2, 0)]
+    assert flat(".b") == [r for r in every if r[0] == 2] and flat("//table") == every
+    with pytest.raises(ValueError):
+        html.chooses("div > table", 0, {})
+    html.register(spark)
+    pages.createOrReplaceTempView("some_pages")
+    assert spark.sql("SELECT page_id, t.cells FROM some_pages, LATERAL page_tables(html, '0') t WHERE t.row = 1").collect()[0].cells == ["Ice", "0.5"]
+    for i in (1, 2):
+        (tmp_path / f"p{i}.html").write_bytes(PAGE.encode() + b"\xff")
+    both = readers.read_html(spark, str(tmp_path), xpath="//table[1]")
+    assert both.columns == ["Surface", "Albedo"] and [tuple(r) for r in both.collect()] == [("Ice", "0.5"), ("Sand", "")] * 2
 
 
 def test_transforms(spark, tmp_path):
@@ -109,7 +152,7 @@ def test_transforms(spark, tmp_path):
     assert {r.k: (r.x, r.y) for r in readers.pivoted(df, "k", "c", "n", ["x", "y"]).collect()} == {"a": (1, 2), "b": (None, None)}
     assert [r.c for r in readers.filled_down(df.where("k = 'a'").withColumn("c", F.when(F.col("n") < 2, F.col("c"))), "n", ["c"], "k").orderBy("n").collect()] == ["x"] * 3
     assert readers.declared(df, ["n", "zz"]).columns == ["n", "zz"]
-    assert readers.unique_names(["x", "y", "x", "x"]) == ["x", "y", "x.1", "x.2"]
+    assert readers.unique_names(["x", "y", "x", "x"]) == ["x", "y", "x.1", "x.2"] and readers.unique_names(["x", "x", "x.1", ""]) == ["x", "x.2", "x.1", ""]
     assert readers.write_csv(df, f"{tmp_path}/out") == "Success" and spark.read.csv(f"{tmp_path}/out", header=True).count() == 4
     assert readers.write_csv(df, "nofs://x/y").startswith("Failed: ")
 
