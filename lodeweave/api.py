@@ -12,7 +12,8 @@ from lodeweave.functions import html
 from lodeweave.operators import catalog as store
 from lodeweave.operators import joins, profile, search as predicates
 from lodeweave.operators.index import EntityIndex, TextIndex
-from lodeweave.plans import datasets, dsl, features
+from lodeweave.operators.log import CatalogLog
+from lodeweave.plans import datasets, dsl, features, schema
 from lodeweave.sources import readers, remote  # noqa: F401  remote registers the JDBC reader
 
 
@@ -114,6 +115,17 @@ def upload(catalog: DataFrame, descriptions: Sequence[dict]) -> DataFrame:
     return store.upsert(catalog, store.documents(catalog.sparkSession, good)) if good else catalog
 
 
+def upload_lines(log: CatalogLog, lines: DataFrame, batch: str) -> DataFrame:
+    """B-12, B-13, B-16: appends the valid descriptions among JSON lines (line) to a catalog's log; the others come back with their violations.
+
+    Lines are checked by one projection and stay on the cluster.
+    """
+    checked = schema.violations(lines.select("line"))
+    good = checked.where(F.size("violations") == 0).select(F.from_json("line", store.SCHEMA).alias("d")).select("d.*").withColumn("status", F.lit("not_profiled"))
+    log.append(good, batch)
+    return checked.where(F.size("violations") > 0)
+
+
 def index_tables(catalog: DataFrame, index: EntityIndex, tables: Sequence[tuple[DataFrame, dict]]) -> DataFrame:
     """P-01, B-04, B-12: the catalog with the described tables, whose entity values executors write to the index.
 

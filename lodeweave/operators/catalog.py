@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lodeweave.operators import joins
+from lodeweave.plans import schema
+
 STEP = 10_000
 _S, _L = T.StringType(), T.LongType()
 VARIABLE = T.StructType([
@@ -61,10 +64,8 @@ def renumbered(variables: Column, dataset_id: Column) -> Column:
 
 def insert(catalog: DataFrame, new: DataFrame, order: str = "title") -> DataFrame:
     """B-07: the catalog and the new descriptions, which get the next ids in the stated order."""
-    # new descriptions of one call: numbered in one task, their number is a batch's
-    rank = F.row_number().over(Window.orderBy(order)) - 1
-    base = next_id(catalog)
-    given = new.drop("dataset_id").crossJoin(F.broadcast(base)).withColumn("dataset_id", F.col("next_id") + rank * STEP).drop("next_id")
+    ranked = joins.with_row_ids(new.drop("dataset_id"), [order], "_rank")
+    given = ranked.crossJoin(F.broadcast(next_id(catalog))).withColumn("dataset_id", F.col("next_id") + F.col("_rank") * STEP).drop("next_id", "_rank")
     given = given.withColumn("variables", renumbered(F.col("variables"), F.col("dataset_id")))
     return catalog.unionByName(given.select(*catalog.columns))
 
@@ -119,15 +120,5 @@ def load_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def validate(doc: dict) -> list[str]:
-    """B-16: what is wrong with a description."""
-    wrong = []
-    m = doc.get("materialization")
-    if not isinstance(m, dict) or not isinstance(m.get("source"), str):
-        wrong.append("materialization.source is required")
-    for name in ("title", "description", "url", "date_published", "date_updated"):
-        if doc.get(name) is not None and not isinstance(doc[name], str):
-            wrong.append(f"{name} must be a text")
-    for name, kind in (("keywords", str), ("variables", dict), ("implicit_variables", dict)):
-        if doc.get(name) is not None and not (isinstance(doc[name], list) and all(isinstance(x, kind) for x in doc[name])):
-            wrong.append(f"{name} must be a list")
-    return wrong
+    """B-16: what is wrong with a description; ``schema.violations`` says it of many at once."""
+    return schema.check(schema.DESCRIPTION, doc)

@@ -10,27 +10,11 @@ from pyspark.sql import functions as F
 from lodeweave.functions import dates, text
 from lodeweave.operators import search
 from lodeweave.operators.index import TextIndex
-
-_DATASET = {"about", "name", "description", "keywords", "url", "creator", "publisher", "date_published", "date_created"}
-_KINDS = {"dataframe_columns", "temporal_entity", "geospatial_entity", "generic_entity"}
-
+from lodeweave.plans import schema
 
 def validate(query: dict) -> list[str]:
     """What is wrong with a query."""
-    wrong = []
-    if not isinstance(query, dict):
-        return ["a query is an object"]
-    for k in query:
-        if k not in ("dataset", "required_variables", "desired_variables"):
-            wrong.append(f"unknown key {k}")
-    for k in query.get("dataset") or {}:
-        if k not in _DATASET:
-            wrong.append(f"unknown key dataset.{k}")
-    for section in ("required_variables", "desired_variables"):
-        for i, v in enumerate(query.get(section) or []):
-            if not isinstance(v, dict) or v.get("type") not in _KINDS:
-                wrong.append(f"{section}[{i}].type must be one of {sorted(_KINDS)}")
-    return wrong
+    return schema.check(schema.QUERY, query)
 
 
 def dataset_condition(d: dict) -> Column:

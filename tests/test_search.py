@@ -7,6 +7,7 @@ import pytest
 from lodeweave import api
 from lodeweave.operators import catalog, search
 from lodeweave.plans import dsl
+from lodeweave.operators.log import CatalogLog
 from lodeweave.streaming import ingest
 
 
@@ -112,7 +113,11 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     for _ in range(2):
         ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
         put("b.json", doc(0, "b", ["y"]))
-    assert ids(spark.read.parquet(str(tmp_path / "out" / "v1"))) == [0, 10_000]
+    log = CatalogLog(spark, str(tmp_path / "out"))
+    assert ids(log.read()) == [0, 10_000]
+    # a stream that starts anew takes all files again, into the same catalog
+    ingest.ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "other")).awaitTermination()
+    assert ids(log.read()) == [0, 10_000]
 
 
 def test_bm25_order(spark):
