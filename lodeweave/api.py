@@ -181,3 +181,24 @@ def augment(left: DataFrame, right: DataFrame, left_columns: Sequence[Sequence[i
     if left_id is None or right_id is None:
         raise ValueError("a linkage needs ids of both sides")
     return joins.fuzzy_join(left, right, left_id, right_id, features.plan(left, right, left_columns, right_columns), exact=joiner == "exact_match")
+
+
+def augment_from(catalog: DataFrame, data: DataFrame, dataset_id: int, left_columns: Sequence[Sequence[int | str]], right_columns: Sequence[Sequence[int | str]], joiner: str = "default", constraints: dict | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """J-09: a table joined straight to a dataset of the catalog, and the matches of a linkage.
+
+    The dataset is loaded by its id with the given constraints and its implicit variables; columns are positions or names, on the right those of the
+    description, or else those of the table. Linkages look at the columns that are joined by alone, and number the rows of both sides by them.
+    """
+    description = datasets.described(catalog, dataset_id)
+    right = datasets.load_by_id(catalog, dataset_id, constraints=constraints)
+    told = [v["name"] for v in readers.implicit_metadata(description, description.get("implicit_variables") or [])["variables"]]
+    names = told if told and set(told) <= set(right.columns) else right.columns
+    left_at, right_at = datasets.join_indices(data, [{"name": n} for n in names], left_columns, right_columns)
+    right_at = [[right.columns.index(names[i]) for i in g] for g in right_at]
+    if joiner not in ("fuzzy", "exact_match"):
+        return augment(data, right, left_at, right_at, joiner)
+    used = [right.columns[i] for g in right_at for i in g]  # alone looked at to plan the linkage
+    left = joins.with_row_ids(data, [data.columns[i] for g in left_at for i in g], "_left_id")
+    right = joins.with_row_ids(right, used, "_right_id")
+    out, matches = augment(left, right, left_at, right_at, joiner, "_left_id", "_right_id")
+    return out.drop("_left_id"), matches

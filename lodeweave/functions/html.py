@@ -105,6 +105,30 @@ def parse_links(page: str, url: str | None) -> list[tuple[str, str]]:
     return out
 
 
+def loaded(sources: DataFrame, key: str = "page_id", source: str = "source", answers: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """H-06: (key, url, html) of pages given as an address, a file or text.
+
+    A source that begins like an address and is one becomes the page's ``url``, its text is the body of ``answers`` (url, body), null without
+    one: fetching is the caller's. One that ends in .html is the file of that path below ``folder``, or text if there is none. Anything else is the page itself.
+    """
+    given = F.col(source)
+    rows = sources.select(F.col(key), given.alias("_source"), F.coalesce(given.rlike("^(http|ftp)") & url_valid(given), F.lit(False)).alias("_is_url"))
+    if answers is None:
+        rows = rows.withColumn("_body", F.lit(None).cast("string"))
+    else:
+        bodies = answers.groupBy(F.col("url").alias("_url")).agg(F.min("body").alias("_body"))
+        rows = rows.join(bodies, F.col("_is_url") & (F.col("_source") == F.col("_url")), "left")
+    if folder is None:
+        rows = rows.withColumn("_content", F.lit(None).cast("string"))
+    else:
+        files = sources.sparkSession.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(folder)
+        path = lambda c: F.regexp_replace(c, "^file:/*", "/")
+        files = files.select(path(F.col("path")).alias("_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("_content"))
+        rows = rows.join(files, ~F.col("_is_url") & F.col("_source").endswith(".html") & (path(F.col("_source")) == F.col("_path")), "left")
+    url = F.when(F.col("_is_url"), F.col("_source"))
+    return rows.select(key, url.alias("url"), F.when(F.col("_is_url"), F.col("_body")).otherwise(F.coalesce("_content", "_source")).alias("html"))
+
+
 def links(pages: DataFrame, key: str = "page_id", html: str = "html", url: str = "url") -> DataFrame:
     """(key, text, href) of every link, parsed within Arrow batches: a regular expression can't nest tags."""
     kind = pages.schema[key].dataType.simpleString()

@@ -102,11 +102,23 @@ def replace(catalog: DataFrame, new: DataFrame) -> DataFrame:
     return catalog.join(new.select("dataset_id"), "dataset_id", "left_anti").select(*catalog.columns).unionByName(new.select(*catalog.columns))
 
 
-def intersection(first: DataFrame, *others: DataFrame) -> DataFrame:
-    """B-17: rows of the first list whose ids all others have."""
+def intersection(first: DataFrame, *others: DataFrame, prefer: str | None = None) -> DataFrame:
+    """B-17: rows of the first list whose ids all others have.
+
+    prefer: a list column (such as ``matches``); of the rows that the lists have for an id the first one with something in it is taken.
+    """
+    lists = [first, *others]
+    out = first
     for o in others:
-        first = first.join(o.select("dataset_id").distinct(), "dataset_id", "left_semi")
-    return first
+        out = out.join(o.select("dataset_id").distinct(), "dataset_id", "left_semi")
+    if prefer is None:
+        return out
+    every = None
+    for i, one in enumerate(lists):
+        ranked = one.select(*first.columns).withColumn("_rank", F.struct((F.coalesce(F.size(prefer), F.lit(0)) <= 0).alias("none"), F.lit(i).alias("list")))
+        every = ranked if every is None else every.unionByName(ranked)
+    best = every.join(out.select("dataset_id").distinct(), "dataset_id", "left_semi").groupBy("dataset_id").agg(F.min_by(F.struct(*first.columns), "_rank").alias("x"))
+    return best.select("x.*")
 
 
 def save_lines(catalog: DataFrame, path: str) -> None:

@@ -1,10 +1,14 @@
-"""Descriptions and tables from crawled data (G-02, G-03, G-05, G-07)."""
+"""Descriptions and tables from crawled data (G-02 to G-07)."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodeweave.operators import catalog
 from lodeweave.sources import readers
 
 #: Fixed value: tables of this score or less aren't described.
@@ -49,3 +53,76 @@ def csv_resources(packages: DataFrame) -> DataFrame:
     arguments = F.create_map(F.lit("url"), F.col("r.url"), F.lit("file_type"), F.lit("csv"))
     made = r.where(F.contains(F.lower("r.mimetype"), F.lit("csv")))
     return made.select("title", F.col("r.description").alias("description"), "url", "keywords", F.col("r.created").alias("date_published"), F.struct(F.lit("general").alias("source"), arguments.alias("arguments")).alias("materialization"))
+
+
+@dataclass(frozen=True)
+class Variable:
+    """A variable of a template: texts and lists are the same in all documents, columns are taken from each row."""
+
+    name: str | Column
+    description: str | Column = ""
+    semantic_type: Sequence[str] = ()
+    named_entity: Column | None = None
+    start: Column | None = None
+    end: Column | None = None
+
+
+def _column(x: object) -> Column:
+    return x if isinstance(x, Column) else F.lit(x)
+
+
+def templated(rows: DataFrame, title: Column, source: str, arguments: Mapping[str, Column | str], variables: Sequence[Variable], description: Column | str = "", url: Column | str | None = None, keywords: Column | None = None, provenance: str | None = None) -> DataFrame:
+    """G-06: a description for each row (an indicator, a table, a kind of reading), in the catalog's columns without ids.
+
+    Texts are those of the template, columns are filled in from the row; null texts stay null.
+    """
+    texts = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    none = F.lit(None)
+    made = F.array(*(F.struct(
+        none.cast("bigint").alias("dataset_id"), _column(v.name).cast("string").alias("name"), _column(v.description).cast("string").alias("description"), texts(v.semantic_type).alias("semantic_type"),
+        (none if v.named_entity is None else v.named_entity).cast("array<string>").alias("named_entity"),
+        (none.cast("struct<start:string,end:string>") if v.start is None and v.end is None else F.struct(_column(v.start).cast("string").alias("start"), _column(v.end).cast("string").alias("end"))).alias("temporal_coverage"),
+        none.cast("string").alias("spatial_coverage"),
+    ) for v in variables))
+    known = {
+        "title": title, "description": _column(description), "url": _column(url), "keywords": none.cast("array<string>") if keywords is None else keywords, "provenance": _column(provenance), "variables": made,
+        "materialization": F.struct(F.lit(source).alias("source"), F.create_map(*(x for k, v in arguments.items() for x in (F.lit(k), _column(v).cast("string")))).alias("arguments")),
+    }
+    return rows.select(*((known[f.name] if f.name in known else F.lit(None)).cast(f.dataType).alias(f.name) for f in catalog.SCHEMA))
+
+
+def united(*lists: DataFrame, by: str) -> DataFrame:
+    """G-04, G-06: a row for each value of ``by`` in any of several lists, from the first that has it; nulls go."""
+    out = None
+    for i, one in enumerate(lists):
+        rows = one.where(F.col(by).isNotNull()).withColumn("_list", F.lit(i))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    rest = [c for c in out.columns if c not in (by, "_list")]
+    first = F.min_by(F.struct(*rest), "_list") if rest else None
+    return out.groupBy(by).agg(first.alias("x")).select(by, "x.*") if rest else out.select(by).distinct()
+
+
+def category_sets(facts: DataFrame, by: str, subject: str, category: str, separator: str = ";") -> DataFrame:
+    """G-04: (by, n_subjects, categories): for each property the number of its distinct subjects and the sorted union of their category sets.
+
+    facts (by, subject, category): categories as texts joined by the separator, as ``readers.sets_by_key`` gives them. Members are counted as rows
+    and brought together a property at a time only where they are distinct.
+    """
+    member = F.explode_outer(F.array_distinct(F.filter(F.split(F.col(category), F.lit(separator)), lambda x: x != "")))
+    rows = facts.where(F.col(by).isNotNull()).select(by, subject, member.alias("m"))
+    counted = rows.groupBy(by).agg(F.count_distinct(subject).alias("n_subjects"))
+    union = rows.where("m is not null").select(by, "m").distinct().groupBy(by).agg(F.array_join(F.array_sort(F.collect_list("m")), separator).alias("categories"))
+    return counted.join(union, by, "left").select(by, "n_subjects", F.coalesce("categories", F.lit("")).alias("categories"))
+
+
+def paged(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
+    """G-04: the rows with their page, from 0, in a stated order: contiguous numbers through a range sort."""
+    from lodeweave.operators.joins import with_row_ids
+
+    return with_row_ids(df, order, "_n").withColumn("page", F.expr(f"_n div {int(size)}")).drop("_n")
+
+
+def bulk_name(address: Column) -> Column:
+    """G-06: a dataset's name from a bulk file's address: its words (between underlines, before the first dot) without those with a bracket, lower-cased, hyphens as underlines."""
+    words = F.split(F.get(F.split(F.get(F.reverse(F.split(address, "/")), F.lit(0)), r"\."), F.lit(0)), "_")
+    return F.replace(F.lower(F.array_join(F.filter(words, lambda w: ~F.contains(w, F.lit("("))), "_")), F.lit("-"), F.lit("_"))

@@ -10,7 +10,7 @@ from lodeweave.operators import catalog as store
 from lodeweave.operators import generators, search
 from lodeweave.plans import datasets
 from lodeweave.queries.common import SQL, catalog, padded_sql, table
-from lodeweave.sources import remote, workbooks
+from lodeweave.sources import readers, remote, workbooks
 
 
 def search_keywords(spark, d):
@@ -130,6 +130,30 @@ def workbook_tables(spark, d):
     return rows.where("kind = 'data'").select(F.col("path").alias("book"), cell(0, "p_partkey"), cell(1, "p_name"), cell(2, "p_brand"), cell(3, "p_type"))
 
 
+def template_documents(spark, d):
+    """G-06: a description for each indicator of two lists (kinds of events, order priorities), with the nations as places."""
+    events, orders, nations = table(spark, d, "events"), table(spark, d, "orders"), table(spark, d, "nation")
+    mine = events.groupBy(F.col("event_type").alias("name")).agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    others = orders.groupBy(F.col("o_orderpriority").alias("name")).agg(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last"))
+    rows = generators.united(mine, others, by="name").join(F.broadcast(nations.agg(F.array_sort(F.collect_set("n_name")).alias("places"))))  # one row: the nations
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    made = generators.templated(
+        rows, F.concat(F.lit("indicator "), F.col("name")), "csv", {"url": F.concat(F.lit("http://data.example.org/"), F.col("name"))},
+        [generators.Variable("place", "the place", ["https://schema.org/Country"], F.col("places")), generators.Variable("time", "the time", ["https://schema.org/DateTime"], start=iso("first"), end=iso("last")), generators.Variable("value", F.concat(F.lit("the value of "), F.col("name")))],
+        description="by place and time", keywords=F.array("name", F.lit("indicator")),
+    )
+    v = F.col("variables")
+    return made.select("title", F.array_join("keywords", ",").alias("keywords"), F.col("materialization.arguments")["url"].alias("url"), F.size(v[0]["named_entity"]).cast("bigint").alias("places"), v[1]["temporal_coverage"]["start"].alias("first"), v[1]["temporal_coverage"]["end"].alias("last"), v[2]["description"].alias("value"))
+
+
+def category_sets(spark, d):
+    """G-04: for each kind of event its users, and the union of the days of the week that users are seen on, 10 rows a page."""
+    e = table(spark, d, "events").select("event_type", "user_id", F.dayofweek("ts").alias("day"))
+    facts = e.join(readers.sets_by_key(e, "user_id", ["day"]).withColumnRenamed("day", "days"), "user_id")
+    sets = generators.category_sets(facts, "event_type", "user_id", "days")
+    return generators.paged(sets, ["event_type"], 2)
+
+
 def csv_resources(spark, d):
     """G-07: pages as packages of resources."""
     p = table(spark, d, "pages")
@@ -139,7 +163,7 @@ def csv_resources(spark, d):
     return generators.csv_resources(packages).select("title", "url", F.array_join("keywords", ",").alias("keywords"), F.col("date_published").alias("published"))
 
 
-_NAMES = "search_keywords search_columns_best entity_constraints constrained_join load_by_id generated_metadata year_chunks common_station paged_union area_years key_entities page_tables html_tables workbook_tables csv_resources".split()
+_NAMES = "search_keywords search_columns_best entity_constraints constrained_join load_by_id generated_metadata year_chunks common_station paged_union area_years key_entities page_tables html_tables workbook_tables template_documents category_sets csv_resources".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _POST = f", post AS (SELECT dataset_id, off, v AS value, {padded_sql('v')} AS p FROM (SELECT dataset_id, off, unnest(ents) AS v FROM vars))"
@@ -186,6 +210,8 @@ SELECT event_type, user_id AS station FROM (SELECT *, row_number() OVER (PARTITI
 UNION ALL SELECT DISTINCT 'who_id', 'Identifier', CAST(user_id AS VARCHAR) FROM events WHERE user_id IS NOT NULL UNION ALL SELECT DISTINCT 'who_kinds_0', 'Text', event_type FROM events WHERE event_type IS NOT NULL""",
     "html_tables": r"SELECT page_id, tab, CAST(line AS BIGINT) AS line, trim(regexp_replace(regexp_replace(replace(replace(replace(item, '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '</?(a|b)( [^>]*)?>', '', 'g'), '\s+', ' ', 'g')) || '|x' AS cells FROM (SELECT page_id, tab, unnest(items) AS item, generate_subscripts(items, 1) - 1 AS line FROM (SELECT page_id, CAST(k - 1 AS BIGINT) AS tab, regexp_extract_all(uls[k], '(?s)<li>(.*?)</li>', 1) AS items FROM (SELECT page_id, uls, unnest(range(1, len(uls) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(html, '(?s)<ul>(.*?)</ul>', 1) AS uls FROM pages))))",
     "workbook_tables": "SELECT CAST(p_partkey // 100 AS VARCHAR) AS book, CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, p_brand, p_type FROM part",
+    "template_documents": "WITH i AS (SELECT event_type AS name, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1 UNION ALL SELECT o_orderpriority, min(o_orderdate), max(o_orderdate) FROM orders WHERE o_orderpriority NOT IN (SELECT event_type FROM events) GROUP BY 1) SELECT 'indicator ' || name AS title, name || ',indicator' AS keywords, 'http://data.example.org/' || name AS url, (SELECT count(DISTINCT n_name) FROM nation) AS places, strftime(a, '%Y-%m-%dT%H:%M:%S') AS first, strftime(z, '%Y-%m-%dT%H:%M:%S') AS last, 'the value of ' || name AS value FROM i",
+    "category_sets": "WITH u AS (SELECT DISTINCT user_id, CAST(dayofweek(ts) + 1 AS VARCHAR) AS day FROM events), p AS (SELECT event_type, count(DISTINCT e.user_id) AS n_subjects, string_agg(DISTINCT day, ';' ORDER BY day) AS categories FROM events e JOIN u ON u.user_id = e.user_id GROUP BY 1) SELECT *, (row_number() OVER (ORDER BY event_type) - 1) // 2 AS page FROM p",
     "page_tables": r"SELECT page_id, CAST(coalesce(len(regexp_extract_all(lower(html), '<table\b|\{\|')), 0) AS BIGINT) AS n_tables FROM pages",
     "csv_resources": "SELECT CAST(page_id AS VARCHAR) AS title, url, 't' AS keywords, '2020-01-01' AS published FROM pages WHERE page_id % 4 IN (0, 3)",
 }

@@ -84,6 +84,11 @@ def profile_distinct_tokens(spark, d):
     return _r(profile.token_numbers(table(spark, d, "documents"), ["text", "lang", "source"]))
 
 
+def profile_punct_token_numbers(spark, d):
+    """F-17: the same of tokens split at punctuation."""
+    return _r(profile.token_numbers(table(spark, d, "documents"), ["text", "source"], by="punctuation"))
+
+
 def profile_numeric_tokens(spark, d):
     """F-12."""
     return _r(profile.top_tokens(table(spark, d, "documents"), ["text"], only="numeric"))
@@ -150,7 +155,7 @@ def majority_semantic_type(spark, d):
     return _r(profile.majority_type(m, ["day", "american", "o_orderpriority", "number", "gaps", "range"]))
 
 
-_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type".split()
+_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_punct_token_numbers profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
@@ -207,6 +212,7 @@ ORACLES = {
     "profile_top_values": _tokens_sql("part", TEXTS, "[v]", "token IS NOT NULL") + _TOP,
     "profile_tokens_punct": _tokens_sql("documents", ["text", "source"], _PUNCT) + _TOP,
     "profile_distinct_tokens": _tokens_sql("documents", ["text", "lang", "source"], _SPACE) + ", s AS (SELECT col, sum(n) AS n, count(*) AS k, nullif(sum(CASE WHEN regexp_matches(token, '[0-9]') THEN n ELSE 0 END), 0) AS g FROM n GROUP BY col) SELECT col AS \"column\", CAST(n AS BIGINT) AS number_of_tokens, CAST(k AS BIGINT) AS number_of_distinct_tokens, CAST(g AS BIGINT) AS number_of_tokens_containing_numeric_char, round(k / CAST(n AS DOUBLE), 6) AS ratio_of_distinct_tokens, round(CAST(g AS DOUBLE) / CAST(n AS DOUBLE), 6) AS ratio_of_tokens_containing_numeric_char FROM s",
+    "profile_punct_token_numbers": _tokens_sql("documents", ["text", "source"], _PUNCT) + ", s AS (SELECT col, sum(n) AS n, count(*) AS k, nullif(sum(CASE WHEN regexp_matches(token, '[0-9]') THEN n ELSE 0 END), 0) AS g FROM n GROUP BY col) SELECT col AS \"column\", CAST(n AS BIGINT) AS number_of_tokens, CAST(k AS BIGINT) AS number_of_distinct_tokens, CAST(g AS BIGINT) AS number_of_tokens_containing_numeric_char, round(k / CAST(n AS DOUBLE), 6) AS ratio_of_distinct_tokens, round(CAST(g AS DOUBLE) / CAST(n AS DOUBLE), 6) AS ratio_of_tokens_containing_numeric_char FROM s",
     "profile_numeric_tokens": _tokens_sql("documents", ["text"], _SPACE, number_sql("token")) + _TOP,
     "profile_alnum_tokens": _tokens_sql("documents", ["text"], _SPACE, "regexp_matches(token, '^[\\p{L}\\p{N}]+$')") + _TOP,
     "profile_digit_density": _union(lambda c: f"SELECT '{c}' AS \"column\", round(sum(length({c}) - length(regexp_replace({c}, '[0-9]', '', 'g'))) / CAST(sum(length({c})) AS DOUBLE), 9) AS numeric_char_density FROM documents", ["text", "lang", "source"]),

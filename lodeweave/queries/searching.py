@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from lodeweave.functions import html
 from lodeweave.operators import catalog as store
-from lodeweave.operators import search
+from lodeweave.operators import recipes, search
 from lodeweave.operators.index import TextIndex
-from lodeweave.plans import dsl
+from lodeweave.operators.log import CatalogLog
+from lodeweave.plans import dsl, schema
 from lodeweave.queries.common import SQL, catalog, padded_sql, table, words_sql
 from lodeweave.session import shared_path
 from lodeweave.sources import readers
@@ -127,6 +128,35 @@ def catalog_upsert(spark, d):
     return out.select("dataset_id", "title", F.array_join(F.transform("variables", lambda v: v["dataset_id"].cast("string")), ",").alias("ids"))
 
 
+def catalog_log(spark, d):
+    """B-07, B-08, B-12: two batches of a log, the second with new and renewed descriptions, taken twice."""
+    log = CatalogLog(spark, shared_path(spark, "log"))
+    log.append(catalog(spark, d), "first")
+    for _ in range(2):
+        log.append(_news(spark, d), "second")
+    return log.read().select("dataset_id", "title", F.array_join(F.transform("variables", lambda v: v["dataset_id"].cast("string")), ",").alias("ids"))
+
+
+def bulk_validation(spark, d):
+    """B-16: descriptions of documents, of which four in five have something wrong."""
+    docs = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars")
+    source = F.struct(F.lit("csv").alias("source"))
+    good = F.to_json(F.struct(F.col("lang").alias("title"), F.array("source", "lang").alias("keywords"), source.alias("materialization")))
+    many = F.array(F.struct(F.lit("a").alias("name"), F.struct(F.lit("2020").alias("start")).alias("temporal_coverage")), F.struct(F.lit("b").alias("name"), F.struct(F.lit("2020").alias("start")).alias("temporal_coverage")))
+    wrong_list = F.replace(F.to_json(F.struct(many.alias("variables"), source.alias("materialization"))), F.lit('"b","temporal_coverage":{"start":"2020"}'), F.lit('"b","temporal_coverage":{"start":2020}'))
+    kinds = F.array(good, F.to_json(F.struct(F.col("n_chars").alias("title"), source.alias("materialization"))), F.to_json(F.struct(F.col("source").alias("keywords"))), wrong_list, F.substring(good, 1, 9))
+    lines = docs.select("doc_id", F.get(kinds, (F.col("doc_id") % 5).cast("int")).alias("line"))
+    return schema.violations(lines).select("doc_id", F.array_join("violations", "; ").alias("violations"))
+
+
+def pages_loaded(spark, d):
+    """H-06: pages given as text or as an address that was fetched."""
+    p = table(spark, d, "pages").select("page_id", "url", "html")
+    sources = p.select("page_id", F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.col("html")).alias("source"))
+    answers = p.where("page_id % 4 = 0").select("url", F.col("html").alias("body"))
+    return html.loaded(sources, answers=answers).select("page_id", "url", F.length("html").cast("bigint").alias("chars"), F.md5("html").alias("digest"))
+
+
 def catalog_existing(spark, d):
     """B-11."""
     return store.existing(catalog(spark, d), _news(spark, d)).select("title")
@@ -176,12 +206,12 @@ def collect_set_concat(spark, d):
 
 def pivot_mean(spark, d):
     """R-02."""
-    return table(spark, d, "lineitem").groupBy("l_returnflag").pivot("l_linestatus", ["F", "O"]).agg(F.round(F.avg("l_quantity"), 6))
+    return recipes.pivoted_means(table(spark, d, "lineitem"), ["l_returnflag"], "l_linestatus", "l_quantity")
 
 
 def group_mean(spark, d):
     """R-01."""
-    return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"))
+    return recipes.means(table(spark, d, "events"), ["event_type"], ["value"]).withColumnRenamed("value", "mean")
 
 
 def implicit_variables(spark, d):
@@ -197,10 +227,10 @@ def constraint_filter(spark, d):
 
 def head_n(spark, d):
     """S-21."""
-    return table(spark, d, "orders").orderBy("o_orderkey").limit(25).select("o_orderkey", "o_orderstatus")
+    return recipes.head(table(spark, d, "orders"), ["o_orderkey"], 25, ["o_orderkey", "o_orderstatus"])
 
 
-_NAMES = "search_terms_ratio search_terms_inner_hits search_temporal search_keyvalue_and search_keyvalue_or search_phrase search_about search_url search_required_and search_desired_or search_date_range search_dataframe_columns search_fanout_dedup search_bm25_topk search_scored catalog_next_id catalog_upsert catalog_existing catalog_intersection links_extract links_filter page_description url_valid json_flatten collect_set_concat pivot_mean group_mean implicit_variables constraint_filter head_n".split()
+_NAMES = "search_terms_ratio search_terms_inner_hits search_temporal search_keyvalue_and search_keyvalue_or search_phrase search_about search_url search_required_and search_desired_or search_date_range search_dataframe_columns search_fanout_dedup search_bm25_topk search_scored catalog_next_id catalog_log bulk_validation pages_loaded catalog_upsert catalog_existing catalog_intersection links_extract links_filter page_description url_valid json_flatten collect_set_concat pivot_mean group_mean implicit_variables constraint_filter head_n".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 _LINK = '(?is)<a href="([^"]*)"[^>]*>(.*?)</a>'
@@ -252,6 +282,11 @@ ORACLES = {
     "catalog_upsert": f"""{SQL}, cur AS (SELECT dataset_id, CASE WHEN dataset_id IN (20000, 60000) THEN 'new ' || title ELSE title END AS title, dataset_id AS src FROM sets
 UNION ALL SELECT 90000 + 10000 * (row_number() OVER (ORDER BY title) - 1), 'copy of ' || title, dataset_id FROM sets WHERE dataset_id <= 10000)
 SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(cur.dataset_id + v.off + 1 AS VARCHAR), ',' ORDER BY v.off) FROM vars v WHERE v.dataset_id = src) AS ids FROM cur""",
+    "catalog_log": f"""{SQL}, one AS (SELECT 10000 * (row_number() OVER (ORDER BY title) - 1) AS id, title, dataset_id AS src FROM sets),
+cur AS (SELECT id, CASE WHEN src IN (20000, 60000) THEN 'new ' || title ELSE title END AS title, src FROM one UNION ALL SELECT 90000 + 10000 * (row_number() OVER (ORDER BY title) - 1), 'copy of ' || title, dataset_id FROM sets WHERE dataset_id <= 10000)
+SELECT CAST(id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(cur.id + v.off + 1 AS VARCHAR), ',' ORDER BY v.off) FROM vars v WHERE v.dataset_id = src) AS ids FROM cur""",
+    "bulk_validation": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'title must be a text' WHEN 2 THEN 'keywords must be a list; materialization is required' WHEN 3 THEN 'variables[1].temporal_coverage.start must be a text' ELSE 'no JSON document' END AS violations FROM documents",
+    "pages_loaded": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS url, CAST(CASE WHEN page_id % 4 <> 2 THEN length(html) END AS BIGINT) AS chars, CASE WHEN page_id % 4 <> 2 THEN md5(html) END AS digest FROM pages",
     "catalog_existing": f"{SQL} SELECT 'new ' || title AS title FROM sets WHERE dataset_id IN (20000, 60000)",
     "catalog_intersection": f"{SQL} SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title FROM sets WHERE dataset_id IN (SELECT dataset_id FROM vars WHERE ents IS NULL) AND list_contains(keywords, 'orders')",
     "links_filter": f"WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || list_extract({_ENDS}, CAST(page_id % 5 + 1 AS BIGINT)) AS u FROM pages) SELECT page_id, lower(regexp_extract(u, '\\.([^./#]*)(?:#[^/]*)?$', 1)) NOT IN ({', '.join(repr(x) for x in html.SKIPPED_SUFFIXES)}) AS data, page_id % 3 = 0 AS dull FROM p",

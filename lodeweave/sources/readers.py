@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
-from threading import Timer
+from threading import Event, Timer
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -153,28 +154,55 @@ def with_implicit(df: DataFrame, variables: Sequence[dict]) -> DataFrame:
     return df
 
 
+@contextmanager
+def limited(spark: SparkSession, seconds: float | None) -> Iterator[None]:
+    """S-02: cancels the Spark jobs that this thread starts within the block and that run on after so many seconds.
+
+    Jobs carry a tag of the block, also those that an action on a lazy table starts later, if it is taken within such a block; what other threads
+    run, on the same table too, isn't touched. A cancelled action raises Spark's error of a cancelled job, and so does one that is begun when time is up.
+    """
+    if not seconds:
+        yield
+        return
+    sc, tag, over = spark.sparkContext, f"limited-{uuid4()}", Event()
+
+    def cancel() -> None:
+        while not over.wait(0.2):  # again and again, as later jobs of the block carry the tag too
+            sc.cancelJobsWithTag(tag)
+
+    timer = Timer(seconds, cancel)
+    timer.daemon = True
+    sc.addJobTag(tag)
+    timer.start()
+    try:
+        yield
+    finally:
+        over.set()
+        timer.cancel()
+        sc.removeJobTag(tag)
+
+
+def implicit_metadata(description: dict, variables: Sequence[dict]) -> dict:
+    """P-13: the description with a variable for each implicit one that has a value: its name, or number, and its value as the only entity."""
+    made = [
+        {"name": v.get("name") or f"implicit_variable_{i}", "description": f"implicit variable: {v.get('name') or i}", "semantic_type": [t] if isinstance(t := v.get("semantic_type") or [], str) else list(t), "named_entity": [str(v["value"])]}
+        for i, v in enumerate(variables or [])
+        if v.get("value")
+    ]
+    return {**description, "variables": [*(description.get("variables") or []), *made]}
+
+
 def load(spark: SparkSession, description: dict, constraints: dict | None = None, variables: Sequence[int] | None = None, timeout: float | None = 900) -> DataFrame:
     """S-02, S-03: the described dataset, lazily: constrained, with the chosen columns, with implicit ones.
 
-    What a reader must look at (a schema, one file) is cancelled after ``timeout`` seconds.
+    What a reader must look at (a schema, one file) is cancelled after ``timeout`` seconds; what is done with the table is limited by taking
+    the action within ``limited``, or by ``fetched``.
     """
     m = description["materialization"]
     if m["source"] not in READERS:
         raise ValueError(f"no reader named {m['source']}")
-    sc, group = spark.sparkContext, f"load-{uuid4()}"
-    before = {k: sc.getLocalProperty(k) for k in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel")}
-    sc.setJobGroup(group, "load a dataset", True)
-    timer = Timer(timeout, sc.cancelJobGroup, [group]) if timeout else None
-    if timer:
-        timer.daemon = True
-        timer.start()
-    try:
+    with limited(spark, timeout):
         df = READERS[m["source"]](spark, **(m.get("arguments") or {}))
-    finally:
-        if timer:
-            timer.cancel()
-        for k, v in before.items():
-            sc.setLocalProperty(k, v)
     if constraints:
         df = df.where(constraint(df, constraints))
     if variables is not None:
@@ -182,6 +210,13 @@ def load(spark: SparkSession, description: dict, constraints: dict | None = None
     return with_implicit(df, description.get("implicit_variables") or [])
 
 
+def fetched(df: DataFrame, path: str, seconds: float | None = 900) -> DataFrame:
+    """S-02, K-04: a lazy table as Parquet at a path, written within so many seconds or not at all."""
+    with limited(df.sparkSession, seconds):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def load_user(spark: SparkSession, data: DataFrame | str) -> DataFrame:
     """S-22: a table, a CSV path, or a folder with a datasetDoc.json that names its entry table."""
     if not isinstance(data, str):
