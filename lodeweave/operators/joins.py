@@ -179,16 +179,23 @@ def _alike(keys: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
 
 
 def _sharing(keys: DataFrame, theirs: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of token sets that share one of their rarest tokens, as all do whose similarity reaches the threshold (prefix filter)."""
+    """Pairs of token sets that share one of their rarest tokens, as all do whose similarity reaches the threshold (prefix filter).
+
+    Of these, pairs go whose sizes alone keep them below it (length filter), and tokens behind which too few are left on either
+    side to reach it; the first token that two sets share is never such a one (position filter).
+    """
     left, right = keys.withColumn("t", similarity.token_set(F.col("l0"))), theirs.withColumn("t", similarity.token_set(F.col("r0")))
     often = left.select(F.explode("t").alias("w")).union(right.select(F.explode("t"))).groupBy("w").agg(F.count("*").alias("n"))
 
-    def prefixes(df: DataFrame) -> DataFrame:
+    def prefixes(df: DataFrame, side: str) -> DataFrame:
         ranked = df.select(*(c for c in df.columns if c != "t"), F.xxhash64("t").alias("k"), F.size("t").alias("size"), F.explode("t").alias("w")).join(often, "w")
         place = F.row_number().over(Window.partitionBy(*(c for c in df.columns if c != "t"), "k").orderBy("n", "w"))
-        return ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).drop("k", "size", "n", "place")
+        return ranked.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).drop("k", "n").withColumnsRenamed({"size": f"{side}_size", "place": f"{side}_place"})
 
-    return prefixes(left).join(prefixes(right), "w").drop("w").distinct()
+    a, b = F.col("a_size"), F.col("b_size")
+    near = (a >= b * threshold - 1e-9) & (b >= a * threshold - 1e-9)
+    reach = F.least(a - F.col("a_place"), b - F.col("b_place")) + 1 >= F.ceil((a + b) * (threshold / (1 + threshold)) - 1e-9)
+    return prefixes(left, "a").join(prefixes(right, "b"), "w").where(near & reach).select(*keys.columns, *theirs.columns).distinct()
 
 
 def _scored_keys(left: DataFrame, right: DataFrame, left_id: str, right_id: str, features: Sequence[Feature], exact: bool, block: str, threshold: float, nearest: bool) -> tuple[DataFrame, list[str], DataFrame]:

@@ -6,8 +6,10 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from lodeweave import api
 from lodeweave.operators import joins
 from lodeweave.operators.joins import Feature
+from lodeweave.plans import features
 
 
 def distance(a, b):
@@ -110,3 +112,37 @@ def test_row_ids_of_stored_order(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7)
     out = joins.with_row_ids(df, ["v"])
     assert sorted((r.v, r.row_id) for r in out.collect()) == [(i, i) for i in range(1000)] and joins.with_row_ids(df.limit(0), ["v"]).count() == 0
+
+
+def test_token_sets_find_all_pairs(spark):
+    rng = random.Random(12)
+    sets = lambda n: [" ".join(rng.choice("a b c d e f gg hh ii jj".split()) for _ in range(rng.randrange(0, 9))) for _ in range(n)]
+    a, b = sets(70), sets(70)
+    left = spark.createDataFrame(list(enumerate(a)), "id bigint, w string").repartition(3)
+    right = spark.createDataFrame(list(enumerate(b)), "rid bigint, r string").repartition(3)
+    for threshold in (0.3, 0.5, 0.8):
+        got = {(r.lid, r.rid) for r in joins.scored_pairs(left, right, "id", "rid", [Feature(("w",), ("r",), "token")], block="none", threshold=threshold).collect()}
+        last = {tuple(y.split()): j for j, y in enumerate(b)}
+        want = {(i, j) for i, x in enumerate(a) for y, j in last.items() if x.split() and y and len({*x.split()} & {*y}) / len({*x.split()} | {*y}) >= threshold}
+        assert got == want
+
+
+#: Days, places and readings of the golden linkages, and what is expected of the wind column in row order.
+WEATHER = [("12-01-2018", "New York", 55, "rain", 3), ("12-02-2018", "Los Angeles", 75, "sunny", 2), ("12-05-2018", "Chicago", 41, "wind", 3), ("12-06-2018", "Chicago", 42, "cloudy", 2), ("12-07-2018", "Chicago", 43, "snow", 3), ("12-08-2018", "Los Angeles", 72, "moggy", 2)]
+WIND = [(12, 1, 2018, "new york", 37.5), (12, 2, 2018, "los angeles", 22.1), (12, 5, 2018, "chicago", 58.8)]
+
+
+@pytest.mark.parametrize(
+    "left_columns,right_columns,wind",
+    [([[0]], [[0, 1, 2]], [37.5, 22.1, 58.8, 58.8, 58.8, 58.8]), ([[1]], [[3]], [37.5, 22.1, 58.8, 58.8, 58.8, 22.1]), ([[0], [1]], [[0, 1, 2], [3]], [37.5, 22.1, 58.8, 58.8, 58.8, 22.1])],
+)
+def test_golden_linkages(spark, left_columns, right_columns, wind):
+    left = spark.createDataFrame([(*r, i) for i, r in enumerate(WEATHER)], "date string, city string, temp long, description string, `air condition` long, lid long")
+    right = spark.createDataFrame([(*r, i) for i, r in enumerate(WIND)], "month long, day long, year long, city string, wind double, rid long")
+    out, matches = api.augment(left, right, left_columns, right_columns, "fuzzy", "lid", "rid")
+    assert [r.wind for r in out.orderBy("lid").collect()] == wind and joins.report(left, matches, "lid").first().cover_ratio == 1.0
+
+
+def test_golden_features(spark):
+    left = spark.createDataFrame(WEATHER, "date string, city string, temp long, description string, `air condition` long")
+    assert [f.kind for f in features.plan(left, left, [[i] for i in range(5)], [[i] for i in range(5)])] == ["date", "category", "number", "string", "category_number"]
