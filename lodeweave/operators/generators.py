@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeweave.operators import catalog
@@ -25,6 +25,13 @@ def n_tables(page: Column) -> Column:
     return F.coalesce(F.regexp_count(F.lower(page), F.lit(r"<table\b|\{\|")), F.lit(0)).cast("bigint")
 
 
+def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
+    """G-03: (title, ns, redirect, text) of the pages of an encyclopaedia's XML dump, read in splits by Spark's XML source; redirect is null for articles."""
+    kind = "title string, ns int, redirect struct<_title:string>, revision struct<text:string>"
+    pages = spark.read.format("xml").option("rowTag", "page").schema(kind).load(path)
+    return pages.select("title", "ns", F.col("redirect._title").alias("redirect"), F.col("revision.text").alias("text"))
+
+
 def articles_with_tables(dump: DataFrame) -> DataFrame:
     """G-03: (title, n_tables) of a dump's articles (title, ns, redirect, text) in namespace 0 that aren't redirects and hold a table."""
     return dump.where("ns = 0 and redirect is null").select("title", n_tables(F.col("text")).alias("n_tables")).where("n_tables > 0")

@@ -250,15 +250,44 @@ def temporal_coverage(df: DataFrame, columns: Sequence[str], supplied: dict[str,
     return _long(df, {c: one(c) for c in columns})
 
 
-def majority_type(df: DataFrame, columns: Sequence[str], share: float = 0.8) -> DataFrame:
-    """G-01: the semantic type that ``share`` of a column's values have, else Text; MissingData if as many are missing."""
+def majority_type(df: DataFrame, columns: Sequence[str], share: float = 0.8, known: DataFrame | None = None) -> DataFrame:
+    """G-01: the semantic type that ``share`` of a column's values have, else Text; MissingData if as many are missing.
+
+    known (value, type): names of places and people, type Location or Person; cells are compared without case. A column is of the first type that fits of
+    Time, Location, Person, Float and Interval.
+    """
     v = F.trim("value")
     there = v.isNotNull() & (v != "")
     rows = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
     kinds = {"Time": dates.parse_date(v).isNotNull(), "Float": text.is_number(v), "Interval": v.rlike(r"^[+-]?[0-9.]+\s*(-|to)\s*[+-]?[0-9.]+$")}
     found = _by_value(df, columns, {"n": F.sum("n"), "n_values": rows(there), **{k: rows(there & cond) for k, cond in kinds.items()}})
+    order = list(kinds)
+    if known is not None:
+        cells = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.lower(F.trim(F.col(c).cast("string"))).alias("value")) for c in columns)))
+        counted = df.select(cells.alias("x")).where("x.value <> ''").groupBy("x.column", "x.value").agg(F.count("*").alias("k"))
+        names = known.select(F.lower(F.trim("value")).alias("value"), "type").distinct()
+        of = counted.join(names, "value").groupBy("column").agg(*(F.coalesce(F.sum(F.when(F.col("type") == t, F.col("k"))), F.lit(0)).alias(t) for t in ("Location", "Person")))
+        found, order = found.join(F.broadcast(of), "column", "left"), ["Time", "Location", "Person", "Float", "Interval"]  # a row for each column
     here = F.coalesce("n_values", F.lit(0))
     kind = F.when(F.coalesce(F.try_divide(F.col("n") - here, "n"), F.lit(1.0)) >= share, "MissingData")
-    for k in kinds:
+    for k in order:
         kind = kind.when(F.coalesce(F.try_divide(k, here), F.lit(0.0)) >= share, k)
     return found.select("column", kind.otherwise("Text").alias("semantic_type"), here.alias("n_values"))
+
+
+def summary(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """F-23, its plain figures: valid, invalid and unique values of each column, the commonest one (of equals the first), the Herfindahl index of values; for numbers also mean, std, least, most and median.
+
+    What depends on values comes from one grouping by (column, value).
+    """
+    names = list(columns or df.columns)
+    numbers = [c for c in names if c in numeric_columns(df)]
+    there = F.col("value").isNotNull()
+    square = F.sum(F.when(there, F.col("n").cast("double") * F.col("n")))
+    found = _by_value(df, names, {"valid": F.coalesce(F.sum(F.when(there, F.col("n"))), F.lit(0)), "invalid": F.coalesce(F.sum(F.when(~there, F.col("n"))), F.lit(0)), "unique": F.count("value"), "mode": F.min_by(F.when(there, F.col("value")), F.when(there, F.struct(-F.col("n"), "value"))), "square": square})
+    found = found.select("column", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("valid", "invalid", "unique")), "mode", F.try_divide("square", F.col("valid").cast("double") * F.col("valid")).alias("herfindahl"))
+    if not numbers:
+        return found.select("*", *(F.lit(None).cast("double").alias(c) for c in ("mean", "std", "least", "most", "median")))
+    middle = statistics.quantiles(df, numbers, (0.5,))
+    of = _long(df, {c: {"mean": F.avg(c), "std": F.stddev_samp(c), "least": F.min(c).cast("double"), "most": F.max(c).cast("double"), "median": F.lit(middle[c, 0.5]).cast("double")} for c in numbers})
+    return found.join(F.broadcast(of), "column", "left")

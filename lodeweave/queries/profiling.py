@@ -155,7 +155,20 @@ def majority_semantic_type(spark, d):
     return _r(profile.majority_type(m, ["day", "american", "o_orderpriority", "number", "gaps", "range"]))
 
 
-_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_punct_token_numbers profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type".split()
+def profile_summary(spark, d):
+    """F-23, its plain figures."""
+    return _r(profile.summary(table(spark, d, "orders").select("o_custkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("status"))))
+
+
+def majority_entity_type(spark, d):
+    """G-01: columns of places and people, by lists of names."""
+    c, n = table(spark, d, "customer"), table(spark, d, "nation")
+    rows = c.join(F.broadcast(n), c["c_nationkey"] == n["n_nationkey"]).select(F.lower("n_name").alias("nation"), "c_name", "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, F.col("n_name")).otherwise(F.col("c_mktsegment")).alias("mixed"))
+    known = n.select(F.col("n_name").alias("value"), F.lit("Location").alias("type")).union(c.select("c_name", F.lit("Person")))
+    return profile.majority_type(rows, ["nation", "c_name", "c_mktsegment", "mixed"], known=known)
+
+
+_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_punct_token_numbers profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type majority_entity_type profile_summary".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
@@ -163,6 +176,13 @@ def _union(make, columns) -> str:
     return " UNION ALL ".join(make(c) for c in columns)
 
 
+def _summary_sql(c: str) -> str:
+    numbers = f"avg({c}), stddev_samp({c}), CAST(min({c}) AS DOUBLE), CAST(max({c}) AS DOUBLE), quantile_cont({c}, 0.5)" if c.startswith("o_") else "NULL, NULL, NULL, NULL, NULL"
+    mode = f"CAST((SELECT {c} FROM o WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, CAST({c} AS VARCHAR) LIMIT 1) AS VARCHAR)"
+    spread = f"(SELECT sum(CAST(k AS DOUBLE) * k) FROM (SELECT count(*) AS k FROM o WHERE {c} IS NOT NULL GROUP BY {c})) / (CAST(count({c}) AS DOUBLE) * count({c}))"
+    return f"SELECT '{c}' AS \"column\", valid, invalid, \"unique\", mode, round(herfindahl, 6) AS herfindahl, round(mean, 6) AS mean, round(std, 6) AS std, round(least, 6) AS least, round(most, 6) AS most, round(median, 6) AS median FROM (SELECT count({c}) AS valid, count(*) - count({c}) AS invalid, count(DISTINCT {c}) AS \"unique\", {mode} AS mode, {spread} AS herfindahl, {numbers} FROM o) t(valid, invalid, \"unique\", mode, herfindahl, mean, std, least, most, median)"
+
+
 _B = "CAST({} AS BIGINT)"
 _MIXED = "m AS (SELECT o_orderpriority, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(o_custkey AS VARCHAR) AS number, strftime(o_orderdate, '%m/%d/%Y') AS american FROM orders)"
 _DATE = "coalesce(try_strptime({0}, '%Y-%m-%d'), try_strptime({0}, '%m/%d/%Y'))"
@@ -224,5 +244,7 @@ ORACLES = {
     "named_entity_columns": f"WITH {_MIXED} " + _union(lambda c: f"SELECT '{c}' AS \"column\", CAST(count(DISTINCT {c}) AS BIGINT) AS n_distinct, count(*) FILTER (WHERE {c} IS NOT NULL AND {_DATE.format(c)} IS NULL) > 0 AND count(*) FILTER (WHERE {number_sql(c)}) / CAST(count(DISTINCT {c}) AS DOUBLE) <= 0.5 AS is_entity FROM m", ["o_orderpriority", "o_orderstatus", "day", "number", "american"]),
     "named_entity_values": "SELECT DISTINCT 'p_brand' AS \"column\", p_brand AS value FROM part WHERE p_brand IS NOT NULL UNION ALL SELECT DISTINCT 'p_type', p_type FROM part WHERE p_type IS NOT NULL",
     "temporal_coverage": f"WITH {_MIXED} " + _union(lambda c: f"SELECT '{c}' AS \"column\", " + ("'1990-01-01T00:00:00'" if c == "american" else f"CASE WHEN n >= 1 AND n >= rows // 2 THEN strftime(a, '%Y-%m-%dT%H:%M:%S') END") + " AS start, CASE WHEN n >= 1 AND n >= rows // 2 THEN strftime(z, '%Y-%m-%dT%H:%M:%S') END AS \"end\" FROM (SELECT count(*) AS rows, count(t) AS n, min(t) AS a, max(t) AS z FROM (SELECT " + _DATE.format(c) + " AS t FROM m))", ["day", "american", "o_orderpriority"]),
+    "majority_entity_type": "WITH x AS (SELECT count(*) AS n FROM customer) SELECT unnest(['nation', 'c_name', 'c_mktsegment', 'mixed']) AS \"column\", unnest(['Location', 'Person', 'Text', 'Text']) AS semantic_type, unnest([n, n, n, n]) AS n_values FROM x",
+    "profile_summary": "WITH o AS (SELECT o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, o_orderstatus AS status FROM orders) " + _union(_summary_sql, ["o_custkey", "o_totalprice", "priority", "status"]),
     "majority_semantic_type": f"WITH {_MIXED}, x AS (SELECT *, CASE WHEN day > '2100-01-01' THEN day END AS gaps, CAST(length(number) AS VARCHAR) || ' - ' || CAST(length(day) AS VARCHAR) AS range FROM m) " + _union(lambda c: f"SELECT '{c}' AS \"column\", CASE WHEN (n - h) / CAST(n AS DOUBLE) >= 0.8 THEN 'MissingData' WHEN t / CAST(h AS DOUBLE) >= 0.8 THEN 'Time' WHEN f / CAST(h AS DOUBLE) >= 0.8 THEN 'Float' WHEN i / CAST(h AS DOUBLE) >= 0.8 THEN 'Interval' ELSE 'Text' END AS semantic_type, CAST(h AS BIGINT) AS n_values FROM (SELECT count(*) AS n, count(*) FILTER (WHERE trim({c}) <> '') AS h, count(*) FILTER (WHERE {_DATE.format(c)} IS NOT NULL) AS t, count(*) FILTER (WHERE {number_sql(c)}) AS f, count(*) FILTER (WHERE regexp_matches(trim({c}), '^[+-]?[0-9.]+\\s*(-|to)\\s*[+-]?[0-9.]+$')) AS i FROM x)", ["day", "american", "o_orderpriority", "number", "gaps", "range"]),
 }

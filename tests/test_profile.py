@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lodeweave import api
 from lodeweave.functions import dates, similarity
-from lodeweave.operators import profile
+from lodeweave.operators import generators, profile
 
 
 @pytest.fixture(scope="module")
@@ -116,3 +116,20 @@ def test_description_lists_all_values(spark):
     v = api.generate_metadata(names, {"variables": [{"name": "who", "named_entity": None}]})["variables"][0]
     assert v["named_entity"] == sorted(r.who for r in names.collect())
     assert api.generate_metadata(names, {"variables": [{"name": "who", "named_entity": None}]}, 10)["variables"][0]["named_entity"] == v["named_entity"][:10]
+
+
+def test_summary_and_known_entities(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("a", None), (None, 4.0), ("b", 9.0)], "t string, n double")
+    got = rows(profile.summary(df))
+    assert (got["t"].valid, got["t"].invalid, got["t"].unique, got["t"]["mode"], got["t"].herfindahl, got["t"]["mean"]) == (4, 1, 2, "a", 0.5, None)
+    assert (got["n"].valid, got["n"].invalid, got["n"]["median"], got["n"].least, got["n"].most, got["n"].herfindahl) == (4, 1, 3.0, 1.0, 9.0, 0.25)
+    assert rows(profile.summary(df.limit(0)))["t"].valid == 0 and rows(profile.summary(df.select("t")))["t"].std is None
+    names = spark.createDataFrame([(" Rome", "Ann"), ("OSLO", "bob"), ("Bonn", "Eve"), ("rome", "x"), ("oslo", "ann")], "place string, who string")
+    known = spark.createDataFrame([("Rome", "Location"), ("Oslo", "Location"), ("Bonn", "Location"), ("Ann", "Person"), ("Bob", "Person"), ("Eve", "Person"), ("Rome", "Person")], "value string, type string")
+    assert {c: r.semantic_type for c, r in rows(profile.majority_type(names, ["place", "who"], known=known)).items()} == {"place": "Location", "who": "Person"}
+
+
+def test_articles_of_a_dump(spark, tmp_path):
+    page = lambda title, ns, text, more="": f"<page><title>{title}</title><ns>{ns}</ns>{more}<revision><id>1</id><text bytes=\"5\">{text}</text></revision></page>"
+    (tmp_path / "dump.xml").write_text("<mediawiki><siteinfo><name>x</name></siteinfo>" + page("A", 0, "{| one |} &lt;table&gt;") + page("B", 0, "none") + page("C", 1, "{| |}") + page("D", 0, "{| |}", '<redirect title="A" />') + "</mediawiki>")
+    assert [(r.title, r.n_tables) for r in generators.articles_with_tables(generators.wiki_dump(spark, str(tmp_path / "dump.xml"))).collect()] == [("A", 2)]
