@@ -89,6 +89,13 @@ def spaces(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     return _long(df, {c: one(c) for c in columns or string_columns(df)})
 
 
+def trimmed(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """F-03: the table as later features see it: texts without outer white space, nothing but white space as missing."""
+    names = set(columns if columns is not None else string_columns(df))
+    cut = lambda c: F.regexp_replace(F.col(f"`{c}`"), r"^\s+|\s+$", "")
+    return df.select(*(F.when(F.col(f"`{c}`").rlike(r"^\s+$"), None).otherwise(cut(c)).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns))
+
+
 def numeric_values(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """F-08, F-19: values that are numbers, and values with a digit."""
     def one(c: str) -> dict[str, Column]:

@@ -101,6 +101,8 @@ def read_html(spark: SparkSession, url: str, index: str | int = 0, xpath: str |
 @reader("excel")
 def read_excel(spark: SparkSession, url: str, index: str | int = 0, **_) -> DataFrame:
     """S-07, S-08, S-16: a sheet of a workbook, or of each workbook that the address matches, all columns texts; names are those of the first workbook's header."""
+    if url.split("?")[0].lower().endswith(".xls"):
+        raise ValueError(f"{url} is a workbook of the old binary format, which isn't read; save it as .xlsx")
     rows = workbooks.tabular(workbooks.read(spark, url, int(index)))
     found = rows.agg(F.max(F.size("cells")).alias("width"), F.min_by(F.when(F.col("kind") == "header", F.col("cells")), F.when(F.col("kind") == "header", F.col("path"))).alias("header")).first()
     return _columns(rows.where("kind = 'data'").orderBy("path", "row"), found["header"] or [], found["width"] if found["header"] else 0)

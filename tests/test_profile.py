@@ -133,3 +133,11 @@ def test_articles_of_a_dump(spark, tmp_path):
     page = lambda title, ns, text, more="": f"<page><title>{title}</title><ns>{ns}</ns>{more}<revision><id>1</id><text bytes=\"5\">{text}</text></revision></page>"
     (tmp_path / "dump.xml").write_text("<mediawiki><siteinfo><name>x</name></siteinfo>" + page("A", 0, "{| one |} &lt;table&gt;") + page("B", 0, "none") + page("C", 1, "{| |}") + page("D", 0, "{| |}", '<redirect title="A" />') + "</mediawiki>")
     assert [(r.title, r.n_tables) for r in generators.articles_with_tables(generators.wiki_dump(spark, str(tmp_path / "dump.xml"))).collect()] == [("A", 2)]
+
+
+def test_trimmed_cells_go_on_to_later_features(spark):
+    df = spark.createDataFrame([(" a ", 1), ("a", 2), ("\t\n", 3), ("", 4), (None, 5)], "t string, n int")
+    assert [r.t for r in profile.trimmed(df).orderBy("n").collect()] == ["a", "a", None, "", None]
+    assert rows(profile.distinct(profile.trimmed(df), ["t"]))["t"].number_of_distinct_values == 2
+    s = rows(profile.spaces(df))["t"]
+    assert (s.number_of_leading_spaces, s.number_of_trailing_spaces) == (2, 4)

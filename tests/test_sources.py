@@ -102,6 +102,8 @@ def test_excel_header_and_footer(spark, tmp_path):
     assert [(r.row, r.kind, r.cells[0]) for r in told] == [(0, "above", "Title"), (2, "header", "a"), (3, "data", "1"), (4, "data", "4"), (5, "below", "source: x")]
     (tmp_path / "e.xlsx").write_bytes(workbook([[None]]))
     assert readers.read_excel(spark, str(tmp_path / "e.xlsx")).columns == []
+    with pytest.raises(ValueError, match="old binary"):
+        readers.read_general(spark, "/none/t.xls")
 
 
 def test_workbooks_of_a_folder(spark, tmp_path):
