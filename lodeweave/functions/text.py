@@ -45,3 +45,14 @@ def is_number(text: Column) -> Column:
 
 def number(text: Column) -> Column:
     return F.when(is_number(text), F.trim(text).try_cast("double"))
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three characters of a text's lower-cased letters, words parted and edged by one blank."""
+    plain = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}]+", " ")), F.lit(" "))
+    chars = F.split(plain, "")
+    # by place in a list: a substring of a text is searched for from its beginning
+    behind = lambda k: F.slice(chars, k + 1, F.greatest(F.size(chars) - k, F.lit(0)))
+    both = lambda a, b: F.concat(a, b)
+    runs = F.zip_with(F.zip_with(chars, behind(1), both), behind(2), both)
+    return F.array_distinct(F.filter(runs, lambda x: x.isNotNull() & (x != "")))

@@ -155,6 +155,12 @@ def majority_semantic_type(spark, d):
     return _r(profile.majority_type(m, ["day", "american", "o_orderpriority", "number", "gaps", "range"]))
 
 
+def profile_language_learnt(spark, d):
+    """F-05: by profiles that are learnt from the documents' own labels."""
+    docs = table(spark, d, "documents")
+    return profile.language_by(docs, "text", profile.language_profiles(docs, "text", "lang"))
+
+
 def profile_summary(spark, d):
     """F-23, its plain figures."""
     return _r(profile.summary(table(spark, d, "orders").select("o_custkey", "o_totalprice", F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("status"))))
@@ -168,7 +174,7 @@ def majority_entity_type(spark, d):
     return profile.majority_type(rows, ["nation", "c_name", "c_mktsegment", "mixed"], known=known)
 
 
-_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_punct_token_numbers profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type majority_entity_type profile_summary".split()
+_NAMES = "profile_missing profile_distinct categorical_columns profile_spaces profile_numeric profile_numeric_signs profile_outliers profile_quartiles profile_top_tokens profile_top_values profile_tokens_punct profile_distinct_tokens profile_punct_token_numbers profile_numeric_tokens profile_alnum_tokens profile_digit_density profile_filenames profile_punctuation profile_pearson profile_spearman profile_language named_entity_columns named_entity_values temporal_coverage majority_semantic_type majority_entity_type profile_summary profile_language_learnt".split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
 
@@ -245,6 +251,12 @@ ORACLES = {
     "named_entity_values": "SELECT DISTINCT 'p_brand' AS \"column\", p_brand AS value FROM part WHERE p_brand IS NOT NULL UNION ALL SELECT DISTINCT 'p_type', p_type FROM part WHERE p_type IS NOT NULL",
     "temporal_coverage": f"WITH {_MIXED} " + _union(lambda c: f"SELECT '{c}' AS \"column\", " + ("'1990-01-01T00:00:00'" if c == "american" else f"CASE WHEN n >= 1 AND n >= rows // 2 THEN strftime(a, '%Y-%m-%dT%H:%M:%S') END") + " AS start, CASE WHEN n >= 1 AND n >= rows // 2 THEN strftime(z, '%Y-%m-%dT%H:%M:%S') END AS \"end\" FROM (SELECT count(*) AS rows, count(t) AS n, min(t) AS a, max(t) AS z FROM (SELECT " + _DATE.format(c) + " AS t FROM m))", ["day", "american", "o_orderpriority"]),
     "majority_entity_type": "WITH x AS (SELECT count(*) AS n FROM customer) SELECT unnest(['nation', 'c_name', 'c_mktsegment', 'mixed']) AS \"column\", unnest(['Location', 'Person', 'Text', 'Text']) AS semantic_type, unnest([n, n, n, n]) AS n_values FROM x",
+    "profile_language_learnt": f"""WITH c AS (SELECT doc_id, lang, {number_sql('text')} AS number, ' ' || trim(regexp_replace(lower(text), '[^\\p{{L}}]+', ' ', 'g')) || ' ' AS t FROM documents WHERE text IS NOT NULL),
+g AS (SELECT doc_id, lang, number, list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) AS g FROM c),
+n AS (SELECT lang, gram, count(*) AS n FROM (SELECT lang, unnest(g) AS gram FROM g WHERE lang IS NOT NULL) GROUP BY ALL),
+p AS (SELECT lang, list(gram) AS grams FROM (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) <= 300) GROUP BY lang),
+s AS (SELECT doc_id, p.lang AS language, len(list_intersect(g, grams)) AS k FROM g, p WHERE NOT number QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY k DESC, p.lang DESC) = 1)
+SELECT language, CAST(count(*) AS BIGINT) AS count FROM s WHERE k > 0 GROUP BY 1""",
     "profile_summary": "WITH o AS (SELECT o_custkey, o_totalprice, CASE WHEN o_orderkey % 3 > 0 THEN o_orderpriority END AS priority, o_orderstatus AS status FROM orders) " + _union(_summary_sql, ["o_custkey", "o_totalprice", "priority", "status"]),
     "majority_semantic_type": f"WITH {_MIXED}, x AS (SELECT *, CASE WHEN day > '2100-01-01' THEN day END AS gaps, CAST(length(number) AS VARCHAR) || ' - ' || CAST(length(day) AS VARCHAR) AS range FROM m) " + _union(lambda c: f"SELECT '{c}' AS \"column\", CASE WHEN (n - h) / CAST(n AS DOUBLE) >= 0.8 THEN 'MissingData' WHEN t / CAST(h AS DOUBLE) >= 0.8 THEN 'Time' WHEN f / CAST(h AS DOUBLE) >= 0.8 THEN 'Float' WHEN i / CAST(h AS DOUBLE) >= 0.8 THEN 'Interval' ELSE 'Text' END AS semantic_type, CAST(h AS BIGINT) AS n_values FROM (SELECT count(*) AS n, count(*) FILTER (WHERE trim({c}) <> '') AS h, count(*) FILTER (WHERE {_DATE.format(c)} IS NOT NULL) AS t, count(*) FILTER (WHERE {number_sql(c)}) AS f, count(*) FILTER (WHERE regexp_matches(trim({c}), '^[+-]?[0-9.]+\\s*(-|to)\\s*[+-]?[0-9.]+$')) AS i FROM x)", ["day", "american", "o_orderpriority", "number", "gaps", "range"]),
 }

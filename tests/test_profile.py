@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeweave import api
-from lodeweave.functions import dates, similarity
+from lodeweave.functions import dates, similarity, text
 from lodeweave.operators import generators, profile
 
 
@@ -141,3 +141,15 @@ def test_trimmed_cells_go_on_to_later_features(spark):
     assert rows(profile.distinct(profile.trimmed(df), ["t"]))["t"].number_of_distinct_values == 2
     s = rows(profile.spaces(df))["t"]
     assert (s.number_of_leading_spaces, s.number_of_trailing_spaces) == (2, 4)
+
+
+def test_languages_by_learnt_profiles(spark):
+    labelled = spark.createDataFrame([("The cat and the dog", "en"), ("there, that, this", "en"), ("der Hund und die Katze", "de"), ("das, dass, dies und", "de"), (None, "fr"), ("x", None)], "t string, lang string")
+    profiles = profile.language_profiles(labelled, "t", "lang", 50)
+    assert {r.gram for r in profiles.where("language = 'en' and rank <= 2").collect()} == {" th", "at "} and profiles.groupBy("language").count().count() == 2
+    cells = spark.createDataFrame([("the other",), ("und der andere",), ("12.5",), (None,), ("zz",), ("",)], "t string")
+    assert [(r.language, r["count"]) for r in profile.language_by(cells, "t", profiles).collect()] == [("de", 1), ("en", 1)]
+    assert profile.language_by(cells, "t", profiles.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        profile.language_by(cells, "t", profiles, languages=1)
+    assert sorted(spark.createDataFrame([("Ab, c",)], "t string").select(text.trigrams(F.col("t"))).first()[0]) == [" ab", " c ", "ab ", "b c"]
