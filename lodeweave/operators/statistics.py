@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +18,8 @@ from lodeweave.session import shared_path, ship
 ACCURACY = 10_000
 #: Values of a range that are sorted at last.
 FEW = 4096
-#: Distinct (column, value) pairs whose ranks every task may hold.
-HELD = 200_000
+#: Distinct (column, value) pairs whose ranks every task may hold: 16 MB.
+HELD = 1_000_000
 #: Cells of a column's values in which they are ranked.
 CELLS = 64
 _FLAT = 1e-13
@@ -129,22 +130,22 @@ def _of_few(df: DataFrame, sought: list[_Sought], value) -> list[tuple[float, fl
 class _Moments:
     """For each pair of columns, over the rows that have both: their number, sums, sums of squares and of products; pickled to the executors.
 
-    ``ranks``: for each column its sorted values and their ranks, which then stand for them.
+    ``ranks``: broadcast, for each column its sorted values and their ranks, which then stand for them.
     """
 
-    def __init__(self, centre: list[float], ranks: list[tuple[np.ndarray, np.ndarray]] | None = None):
+    def __init__(self, centre: list[float], ranks: Broadcast | None = None):
         self.centre, self.ranks = np.array(centre), ranks
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = len(self.centre)
+        d, ranks = len(self.centre), None if self.ranks is None else self.ranks.value
         n, s, q, p = (np.zeros((d, d)) for _ in range(4))
         for batch in batches:
             there, x = np.zeros((batch.num_rows, d)), np.zeros((batch.num_rows, d))
             for i, column in enumerate(batch.columns):
                 valid = column.is_valid().to_numpy(zero_copy_only=False)
                 v = column.to_numpy(zero_copy_only=False).astype(np.float64)
-                if self.ranks is not None:
-                    known, rank = self.ranks[i]
+                if ranks is not None:
+                    known, rank = ranks[i]
                     v = rank[np.minimum(np.searchsorted(known, v), len(rank) - 1)] if len(rank) else v
                 there[:, i], x[:, i] = valid, np.where(valid, v - self.centre[i], 0.0)
             n += there.T @ there
@@ -212,7 +213,8 @@ def spearman(df: DataFrame, columns: Sequence[str], held: int = HELD) -> DataFra
     if ranks.count() <= held:
         table = ranks.orderBy("i", "v").toArrow()
         i, v, rank = (table.column(c).to_numpy() for c in ("i", "v", "rank"))
-        return _correlations(values, columns, _Moments(middle, [(v[i == k], rank[i == k]) for k in range(d)]))
+        shared = df.sparkSession.sparkContext.broadcast([(v[i == k], rank[i == k]) for k in range(d)])
+        return _correlations(values, columns, _Moments(middle, shared))
     cells = values.withColumn("row", F.monotonically_increasing_id()).select("row", F.explode(F.array(*(F.struct(F.lit(k).alias("i"), F.col(f"c{k}").alias("v")) for k in range(d)))).alias("x")).select("row", "x.*")
     ranked = cells.join(ranks, ["i", "v"]).groupBy("row").agg(*(F.max(F.when(F.col("i") == k, F.col("rank"))).alias(f"c{k}") for k in range(d))).drop("row")
     return _correlations(ranked, columns, _Moments(middle))
