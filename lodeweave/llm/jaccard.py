@@ -6,8 +6,8 @@
    exact copies, however many, cost one aggregation that is summed map-side.
 3. Classes that agree in a band of MinHash values fall into one bucket. Each is tied to the smallest class
    of its buckets, about one tie a class, and the ties' connected components hold all candidates.
-4. Classes meet in units: a component of at most ``BLOCK`` classes is one unit, in which all pairs are
-   candidates; of a larger component (texts full of boilerplate run together in chains) each bucket is a unit, and a
+4. Candidates are the pairs that share a bucket, in components of any size. Classes meet in units: a component of at most ``BLOCK`` classes
+   is one unit, so that each text is moved once; of a larger component (texts full of boilerplate run together in chains) each bucket is a unit, and a
    pair counts in the first bucket that holds both. A unit is dealt in blocks of at most ``BLOCK`` x ``BLOCK`` classes. There MinHash
    values are compared ``STEP`` at a time, and a pair goes when the posterior probability that its
    similarity reaches the threshold (uniform prior) is below ``TOLERANCE``. What is left is verified exactly on
@@ -15,9 +15,11 @@
    component, never the pairs; a unit of n classes is ceil(n / BLOCK) ** 2 / 2 blocks for as many tasks.
 
 What the numbers mean for recall: two classes that just reach 0.8 miss all ``BANDS`` bands with
-probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5 (1e-8 at 0.9), and in a small component only if no third
-class ties them; pruning loses at most TOLERANCE of what it drops. ``exact=True`` prunes nothing, so that the
-loss of the pruning can be measured.
+probability (1 - 0.8 ** ROWS) ** BANDS = 5e-5 (1e-8 at 0.9); pruning loses at most TOLERANCE of what it
+drops. ``exact=True`` loses no link: it prunes nothing, and its buckets are the shingles of each set's
+prefix. Two sets that reach the threshold have at least ``threshold * size`` shingles in common, so the smallest
+of these is among the first ``size - threshold * size + 1`` of either set; a pair counts in its bucket alone.
+A shingle that very many prefixes hold makes a unit of as many classes, dealt in blocks like any other.
 
 Cases: texts without words (null and empty ones too) have no shingles, no links and a class of their
 own; a null doc_id takes part as any other row under its text, and never represents a class that has
@@ -27,7 +29,7 @@ ids; repeated rows are documents each; extra columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,8 @@ BLOCK = 1024
 #: Shingles of a block's classes at most (8 bytes each), so that blocks of very long texts hold fewer classes.
 BLOCK_SHINGLES = 1 << 20
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs whose overlaps are counted at a time in exact mode.
+_PAIRS = 1 << 18
 
 
 def shingles(column: pa.Array, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -104,13 +108,29 @@ def least_matches(threshold: float = THRESHOLD, hashes: int = HASHES, step: int
     return out
 
 
-def signatures(docs: DataFrame, n: int = N) -> DataFrame:
-    """(doc_id, text_key, set_key, size, bands) of each row of docs (doc_id, text), stored; texts without words have a null set_key."""
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """The buckets (one a band) of MinHash values, whose last axis has at least BANDS * ROWS of them."""
+    rows = sig[..., : BANDS * ROWS].reshape(*sig.shape[:-1], BANDS, ROWS).astype(np.uint64)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), rows.shape[:-1])
+    for k in range(ROWS):
+        key = _bytes.mix(key * _GOLD + rows[..., k] + np.uint64(1))
+    return key
+
+
+def prefix(values: np.ndarray, threshold: float) -> np.ndarray:
+    """The smallest of a sorted set's shingles, one of which every set that reaches the threshold has too."""
+    return values[: len(values) - max(1, ceil(threshold * len(values) - 1e-9)) + 1]
+
+
+def signatures(docs: DataFrame, n: int = N, exact: float | None = None) -> DataFrame:
+    """(doc_id, text_key, set_key, size, bands) of each row of docs (doc_id, text), stored; texts without words have a null set_key.
+
+    bands: the text's buckets; with a threshold as ``exact``, its prefix for that threshold.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = _coefficients(BANDS * ROWS)
-        numbers = np.arange(BANDS, dtype=np.uint64)
         for batch in batches:
             for part in _bytes.slices(batch, "text"):
                 value, at = shingles(part.column("text"), n)
@@ -121,11 +141,8 @@ def signatures(docs: DataFrame, n: int = N) -> DataFrame:
                         keys.append(None), bands.append(None)
                         continue
                     keys.append(np.array([s.sum(), _bytes.mix(s).sum(), len(s)], np.uint64).tobytes())
-                    rows = signature(s, a).reshape(BANDS, ROWS).astype(np.uint64)
-                    band = numbers
-                    for k in range(ROWS):
-                        band = _bytes.mix(band * _GOLD + rows[:, k] + np.uint64(1))
-                    bands.append(band.view(np.int64))
+                    found = band_keys(signature(s, a)) if exact is None else prefix(s, exact)
+                    bands.append(found.view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), pa.array(keys, pa.binary()), pa.array(np.diff(at)), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "set_key", "size", "bands"])
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
@@ -165,19 +182,20 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray
     return total[at_l, at_r].astype(np.int64)
 
 
-def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, sig_r: np.ndarray, same: bool, threshold: float = THRESHOLD, band: int = -1, exact: bool = False) -> np.ndarray:
-    """(i, j) of the pairs that reach the threshold; i < j if both sides are the ``same``.
+def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, sig_r: np.ndarray, same: bool, threshold: float = THRESHOLD, band: int = -1) -> np.ndarray:
+    """(i, j) of the pairs that share a bucket and reach the threshold; i < j if both sides are the ``same``.
 
     ``band``: the bucket's band, if the block is of a bucket; pairs that agree in an earlier one meet there.
     """
-    alive = np.triu(np.ones((len(left), len(right)), bool), 1) if same else np.ones((len(left), len(right)), bool)
-    for k in range(band):
-        agree = np.ones(alive.shape, bool)
-        for c in range(k * ROWS, (k + 1) * ROWS):
-            agree &= sig_l[:, c, None] == sig_r[None, :, c]
-        alive &= ~agree
+    key_l, key_r = band_keys(sig_l), band_keys(sig_r)
+    agree = np.zeros((len(left), len(right)), bool)
+    for k in range(BANDS if band < 0 else band):
+        agree |= key_l[:, k, None] == key_r[None, :, k]
+    alive = agree if band < 0 else ~agree
+    if same:
+        alive = np.triu(alive, 1)
     match = np.zeros(alive.shape, np.int16)
-    needed = [] if exact else least_matches(threshold)
+    needed = least_matches(threshold)
     for n, least in needed:
         if alive.sum() * 8 < alive.size:  # few are left: compare those alone
             i, j = np.nonzero(alive)
@@ -193,6 +211,11 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, s
         alive &= match >= least
     else:
         pairs = np.argwhere(alive)
+    return _reached(left, right, pairs, threshold)
+
+
+def _reached(left: list[np.ndarray], right: list[np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """Those of the pairs that reach the threshold."""
     if not len(pairs):
         return pairs
     both = _overlaps(left, right, pairs)
@@ -200,6 +223,22 @@ def linked(left: list[np.ndarray], right: list[np.ndarray], sig_l: np.ndarray, s
     return pairs[both >= threshold * union - 1e-9]
 
 
+def linked_exactly(left: list[np.ndarray], right: list[np.ndarray], same: bool, threshold: float, bucket: int) -> np.ndarray:
+    """(i, j) of the pairs that reach the threshold and whose smallest common shingle is the ``bucket``; i < j if both sides are the ``same``.
+
+    Only pairs whose sizes are near enough are compared, ``_PAIRS`` at a time.
+    """
+    size_l, size_r = _sizes(left), _sizes(right)
+    low, high = np.minimum(size_l[:, None], size_r[None, :]), np.maximum(size_l[:, None], size_r[None, :])
+    alive = low >= threshold * high - 1e-9
+    candidates = np.argwhere(np.triu(alive, 1) if same else alive)
+    found = [_reached(left, right, candidates[i : i + _PAIRS], threshold) for i in range(0, len(candidates), _PAIRS)]
+    own = np.array([bucket], np.int64).view(np.uint64)[0]
+    before_l, before_r = ([s[: np.searchsorted(s, own)] for s in side] for side in (left, right))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    return pairs[_overlaps(before_l, before_l if left is right else before_r, pairs) == 0] if len(pairs) else pairs
+
+
 def _roots(n: int, pairs: np.ndarray) -> np.ndarray:
     """The smallest member of each one's component, of n with links."""
     root = np.arange(n)
@@ -223,14 +262,19 @@ def _met(batches: Iterator[pa.RecordBatch], n: int, threshold: float, exact: boo
 
     def block() -> None:
         ids, weights, sides = np.array([x[0] for x in held]), np.array([x[1] for x in held]), np.array([x[2] for x in held])
-        sets, sigs = [x[3] for x in held], np.stack([signature(x[3], a) for x in held])
+        sets = [x[3] for x in held]
+        sigs = None if exact else np.stack([signature(x[3], a) for x in held])
         l, r = np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)
         same = now[2] == now[3]
         if not same and not (len(l) and len(r)):  # one of the two buckets is empty: its other pairs are of the diagonal blocks
             return
         r = l if same else r
         left = [sets[i] for i in l]
-        pairs = linked(left, left if same else [sets[j] for j in r], sigs[l], sigs[r], same, threshold, now[1], exact)
+        right = left if same else [sets[j] for j in r]
+        if exact:
+            pairs = linked_exactly(left, right, same, threshold, now[0])
+        else:
+            pairs = linked(left, right, sigs[l], sigs[r], same, threshold, now[1])
         i, j = l[pairs[:, 0]], r[pairs[:, 1]]
         links = np.bincount(i, weights[j], len(held)) + np.bincount(j, weights[i], len(held))
         classes = np.bincount(i, minlength=len(held)) + np.bincount(j, minlength=len(held))
@@ -277,7 +321,7 @@ def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     """``near_duplicates`` with text_key, a 64-bit hash of the row's text, and group_key, that of the text which
     represents its group: ids may be null or several rows' own, so (group_id, group_key) names the one that stays.
     """
-    sets = signatures(docs, n)
+    sets = signatures(docs, n, threshold if exact else None)
     rep = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     sized = sets.where("set_key is not null").groupBy("set_key").agg(F.min(rep).alias("rep"), F.count("*").alias("n"), F.min("size").alias("size"))
     classes = stored(sized.select("set_key", F.xxhash64("set_key").alias("cid"), F.col("rep.doc_id").alias("class_id"), F.col("rep.text_key").alias("text_key"), "n", "size"), "jaccard-classes")
@@ -285,12 +329,18 @@ def keyed_duplicates(docs: DataFrame, n: int = N, threshold: float = THRESHOLD,
     bands = sets.join(classes, same).select("cid", F.posexplode("bands").alias("band", "bucket"))
     shared = bands.groupBy("bucket").agg(F.min("cid").alias("lead"), F.count("*").alias("m")).where("m > 1").select("bucket", "lead")
     buckets = stored(bands.join(shared, "bucket"), "jaccard-buckets")
-    member = components(starred(buckets.select(F.col("cid").alias("a"), F.col("lead").alias("b")))).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
+    if exact:
+        member = buckets.select("cid").distinct()
+        units = buckets.select("cid", F.col("bucket").alias("unit"), F.lit(0).alias("band")).distinct()
+    else:
+        member = components(starred(buckets.select(F.col("cid").alias("a"), F.col("lead").alias("b")))).select(F.col("node").alias("cid"), F.col("root").alias("comp"))
     member = stored(member.join(classes.drop("set_key"), "cid"), "jaccard-members")
-    small = member.groupBy("comp").agg(F.count("*").alias("members")).where(F.col("members") <= BLOCK).select("comp")
-    alone = member.join(small, "comp", "left_semi").select("cid", F.col("comp").alias("unit"), F.lit(-1).alias("band"))
-    large = member.join(small, "comp", "left_anti").select("cid")
-    units = alone.union(buckets.join(large, "cid", "left_semi").select("cid", "bucket", "band").distinct()).join(member.select("cid", "size"), "cid")
+    if not exact:
+        small = member.groupBy("comp").agg(F.count("*").alias("members")).where(F.col("members") <= BLOCK).select("comp")
+        alone = member.join(small, "comp", "left_semi").select("cid", F.col("comp").alias("unit"), F.lit(-1).alias("band"))
+        large = member.join(small, "comp", "left_anti").select("cid")
+        units = alone.union(buckets.join(large, "cid", "left_semi").select("cid", "bucket", "band").distinct())
+    units = units.join(member.select("cid", "size"), "cid")
     # blocks: as many as keep each one within BLOCK classes and BLOCK_SHINGLES shingles on average
     sizes = units.groupBy("unit", "band").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int").alias("m"))
     dealt = units.join(sizes, ["unit", "band"]).withColumn("mine", F.pmod(F.xxhash64(F.lit(5), "cid"), F.col("m")).cast("int"))

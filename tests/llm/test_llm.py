@@ -652,7 +652,9 @@ def test_components_of_chains_and_stars(spark):
         assert got == {x: min(nodes[:300]) for x in nodes[:300]} | {x: min(nodes[300:]) for x in [*nodes[300:], 500]}
 
 
-def test_jaccard_exact_mode(spark):
+@pytest.mark.parametrize("block", [1024, 7])
+def test_jaccard_exact_mode(spark, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     r = random.Random(13)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -661,10 +663,39 @@ def test_jaccard_exact_mode(spark):
         for _ in range(r.randint(0, 4)):
             text[r.randrange(len(text))] = f"x{r.randrange(1000)}"
         rows.append((i, " ".join(text), None))
+    rows += [(100, None, None), (101, "w1 w2", None), (102, rows[0][1], None)]
     got = {x.doc_id: tuple(x)[1:] for x in jaccard.near_duplicates(frame(spark, rows), exact=True).collect()}
     assert got == brute_links(rows)
 
 
+def test_prefixes_of_similar_sets_hold_their_smallest_common_shingle():
+    r = np.random.default_rng(5)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 10_000, r.integers(1, 60)).astype(np.uint64))
+        other = np.union1d(base[r.random(len(base)) < 0.9], r.integers(0, 10_000, r.integers(0, 8)).astype(np.uint64))
+        both = np.intersect1d(base, other)
+        for t in (0.5, 0.8, 1.0):
+            if len(both) and len(both) >= t * (len(base) + len(other) - len(both)):
+                assert both[0] in jaccard.prefix(base, t) and both[0] in jaccard.prefix(other, t)
+
+
+def test_jaccard_recall_over_thousands_of_links(spark):
+    """Many links at the threshold itself: candidates by bands and pruning against the mode that loses none, for components of any size."""
+    r = random.Random(17)
+    rows = []
+    for g in range(100):
+        base = [f"g{g}w{k}" for k in range(130)]
+        for _ in range(25):
+            text = list(base)
+            for k in r.sample(range(130), r.randint(1, 3)):
+                text[k] = f"x{r.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text), None))
+    df = frame(spark, rows)
+    want, got = ({x.doc_id: x.n_links for x in jaccard.near_duplicates(df, exact=e).collect()} for e in (True, False))
+    assert sum(want.values()) > 2 * 5000 and all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.999 * sum(want.values())
+
+
 def test_jaccard_repeated_and_null_ids(spark):
     text = "one two three four five six seven"
     rows = [(1, text, "a"), (1, text, "b"), (1, "other words that are not alike at all", "c"), (None, text, None), (None, "a b c d e f g", None), (2, None, None)]
