@@ -13,7 +13,8 @@ worker holds one record at a time.
 
 Of records with equal payloads of ``REVISIT_BYTES`` or more, the one with the smallest id is the
 response and the others are revisits that refer to it and hold no payload. A payload's first id is
-found by an aggregation that is summed map-side; only payloads that occur twice are joined back.
+found by an aggregation that is summed map-side. Digests that occur twice are stored, and broadcast while they
+are few, so that payloads stay where they were read; beyond that they are joined by a shuffle.
 
 Cases: a null payload is an empty one; an empty payload gives a record without a body; repeated ids
 stay records of their own: rows with the smallest id of a payload are all responses, so no row refers to
@@ -36,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeweave.llm._store import arrow, drop_path, new_path, stored
+from lodeweave.llm._store import arrow, bounded, drop_path, forget, new_path, stored
 
 ARCHIVE_BYTES = 64 << 20
 REVISIT_BYTES = 100
@@ -121,16 +122,20 @@ def inflate(source, chunk: int = _CHUNK) -> Iterator[bytes]:
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
-    """(key, url, payload, digest, size, record_type, refers_to) of each row."""
+    """(key, url, payload, digest, size, record_type, refers_to) of each row; ``forget`` deletes the table of digests that it reads."""
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(page_id).cast("string").alias("key"), F.col(page_id).alias("id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("url"), body.alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("size", F.octet_length("payload").cast("bigint"))
     order = F.struct(F.col("id").isNull().alias("none"), F.col("id"))
     big = F.col("size") >= REVISIT_BYTES
-    first = rows.where(big).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(first, "digest", "left")
+    first = rows.where(big).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("twice"), "first")
+    repeated = stored(first, "warc-repeated")
+    # should the digests be too many to broadcast, payloads that can't match are spread by their ids instead of meeting in one task
+    joined = rows.join(bounded(repeated), F.when(big, F.col("digest")).otherwise(F.concat(F.lit("small "), F.coalesce("key", F.lit("")))) == F.col("twice"), "left")
     again = big & F.col("first").isNotNull() & ~order.eqNullSafe(F.col("first"))
-    return joined.select("key", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.id").cast("string")).alias("refers_to"))
+    out = joined.select("key", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first.id").cast("string")).alias("refers_to"))
+    out._stored_at = repeated._stored_at
+    return out
 
 
 def write(planned: DataFrame, folder: str) -> DataFrame:
@@ -230,9 +235,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     kind = pages.schema["page_id"].dataType.simpleString()
     whole, members = new_path(spark, "warc-mono"), new_path(spark, "warc-members")
-    archives = write(plan(pages), whole)
+    planned = plan(pages)
+    archives = write(planned, whole)
+    forget(planned)
     index = normalise(archives, members)
     drop_path(spark, whole)
+    forget(archives)
     id_of = lambda c: F.col(c).cast(kind).alias("page_id" if c == "key" else c)
     return read(index).select(id_of("key"), "payload_bytes", "payload_digest", "record_type", id_of("refers_to"))
 
