@@ -13,7 +13,8 @@ Characters without a piece become their bytes, or the unknown id.
 
 Where no piece crosses the border before a blank, all paths meet there whatever stands around it: a text's
 stretches between such borders are searched on their own, equal ones of a slice of texts once. Stretches and their borders
-are found with numpy; a bounded cache keeps lately searched ones.
+are found with numpy; a bounded cache keeps lately searched ones. Stretches within the window are searched in step (``Windows``),
+those that are longer or have a character without a piece one by one.
 
 Models are read from a .model file (its path is a parameter), parsed here; they are never trained.
 Only the identity normaliser is taken; any other raises ValueError.
@@ -26,6 +27,7 @@ new one is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import struct
 from array import array
 from collections.abc import Iterator
@@ -52,6 +54,11 @@ _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = range(1, 7)
 #: Entries of a worker's caches at most: stretches (about 220 bytes each) and pairs of pieces (about 120).
 _CACHE = 100_000
 _PAIRS = 300_000
+#: Cells of an automaton's table at most, and slots for pairs of pieces (2 to this power, 8 bytes each).
+_CELLS = 1 << 24
+_ASKED_BITS = 20
+#: Stretches that are searched in step.
+_TOGETHER = 1 << 15
 #: Bytes of text that are encoded at once.
 _SLICE = 1 << 19
 _UNKNOWN_PENALTY = 10.0
@@ -305,6 +312,127 @@ def search_window(model: Model, text: str) -> list[int]:
     return out
 
 
+class Windows:
+    """``search_window`` for many texts at once, in numpy: all are read in step, a character at a time.
+
+    An automaton of the pieces gives the longest piece that ends at a character, and each piece the next shorter one that it ends
+    with; of these the first that its neighbour is compatible with is the best last piece there.
+    """
+
+    def __init__(self, model: Model):
+        self.model = model
+        heads, kinds = self._parts(model)
+        states = {x: i for i, x in enumerate(["", *itertools.chain(*heads)])}
+        going = {x[:-1] for x in itertools.chain(*heads)}
+        #: Of each character its kind (0: in no longer piece) and the piece that it is.
+        self.kind = np.zeros(max([0, *map(ord, kinds), *(ord(p) for p in model.ids if len(p) == 1)]) + 2, np.int32)
+        self.single = np.full(len(self.kind), -1, np.int32)
+        self.kind[[ord(c) for c in kinds]] = list(kinds.values())
+        for piece, i in model.ids.items():
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+        #: The state after a state's row and a kind; states that nothing continues have the row of what they end with.
+        self.next = np.zeros((len(going) or 1, len(kinds) + 1), np.uint16 if len(states) <= 1 << 16 else np.int32)
+        self.row, self.longest, back = np.zeros(len(states), np.int32), np.full(len(states), -1, np.int32), np.zeros(len(states), np.int32)
+        self.size = np.array([len(p) for p, _, _ in model.pieces], np.int32)
+        self.shorter = np.full(len(model.pieces), -1, np.int32)
+        rows = 1
+        for k, (here, longer) in enumerate(zip([[""], *heads], [*heads, []])):
+            for x in here if k else ():
+                state, before = states[x], states[x[:-1]]
+                end = back[state] = self.next[self.row[back[before]], kinds[x[-1]]] if k > 1 else 0
+                self.row[state], self.longest[state] = self.row[end], self.longest[end] if end else self.single[ord(x[-1])]
+                if x in going:
+                    self.next[rows] = self.next[self.row[end]]
+                    self.row[state] = rows
+                    rows += 1
+                found = model.ids.get(x, -1) if k > 1 else -1
+                if found >= 0 and model.own(found):
+                    self.shorter[found], self.longest[state] = self.longest[state], found
+            for x in longer:
+                self.next[self.row[states[x[:-1]]], kinds[x[-1]]] = states[x]
+        #: Pairs asked for lately, twice their number plus whether they fit, each where its hash puts it.
+        self.asked = np.full(1 << _ASKED_BITS, -1, np.int64)
+
+    @staticmethod
+    def _parts(model: Model) -> tuple[list[list[str]], dict[str, int]]:
+        """What pieces of two characters or more begin with, by length, and the kinds of their characters."""
+        long = [p for p in model.ids if len(p) > 1]
+        begun = {p[:k] for p in long for k in range(1, len(p) + 1)}
+        return [sorted(x for x in begun if len(x) == k) for k in range(1, model.longest + 1)], {c: k for k, c in enumerate(sorted({c for p in long for c in p}), 1)}
+
+    @classmethod
+    def fit(cls, model: Model) -> bool:
+        """Whether the automaton's table of this model is of a size to be held."""
+        if model.kind != BPE:
+            return False
+        heads, kinds = cls._parts(model)
+        return len({x[:-1] for x in itertools.chain(*heads)}) * (len(kinds) + 1) <= _CELLS
+
+    def compatible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """``Model.compatible`` of each pair of pieces."""
+        pair = left.astype(np.int64) * len(self.size) + right
+        slot = (pair.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - _ASKED_BITS)).astype(np.int64)
+        got = self.asked[slot]
+        lost = np.flatnonzero(got >> 1 != pair)
+        if len(lost):
+            new, first, which = np.unique(pair[lost], return_index=True, return_inverse=True)
+            firsts = lost[first]
+            fits = np.array([self.model.compatible(a, b) for a, b in zip(left[firsts].tolist(), right[firsts].tolist())], np.int64)
+            self.asked[slot[firsts]] = made = new * 2 + fits
+            got[lost] = made[which]
+        return (got & 1).astype(bool)
+
+    def search(self, texts: list[bytes]) -> list[bytes | None]:
+        """The ids of each text, not empty and no longer than the window, as bytes of 32-bit numbers; None: a character has no piece."""
+        if not texts:
+            return []
+        raw = b"".join(texts)
+        begins_char = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
+        ends = np.cumsum(begins_char)[np.cumsum([len(x) for x in texts]) - 1]
+        n = np.diff(ends, prepend=0)
+        code = np.frombuffer(raw.decode().replace(" ", BLANK).encode("utf-32-le"), np.uint32)
+        code = np.minimum(code, len(self.kind) - 1)
+        order = np.argsort(-n, kind="stable")  # the longest first, so that those not yet read to their end are the first ones
+        at, n = (ends - n)[order], n[order]
+        most, every = int(n[0]), np.arange(len(n))
+        ids, begins = np.full((most + 1, len(n)), -1, np.int32), np.zeros((most + 1, len(n)), np.int32)
+        state = np.zeros(len(n), np.int32)
+        for end in range(1, most + 1):
+            live = int(np.searchsorted(-n, -end, "right"))
+            read = code[at[:live] + end - 1]
+            state[:live] = self.next[self.row[state[:live]], self.kind[read]]
+            begins[end, :live] = end - 1
+            todo, piece = every[:live], np.where(state[:live] > 0, self.longest[state[:live]], self.single[read])
+            while True:
+                some = piece >= 0
+                todo, piece = todo[some], piece[some]
+                if not len(todo):
+                    break
+                begin = end - self.size[piece]
+                left = ids[begin, todo]
+                fits = left < 0
+                ask = np.flatnonzero(~fits)
+                fits[ask] = self.compatible(left[ask], piece[ask])
+                ids[end, todo[fits]], begins[end, todo[fits]] = piece[fits], begin[fits]
+                todo, piece = todo[~fits], self.shorter[piece[~fits]]
+        out, count, whole = np.zeros((len(n), most), np.int32), np.zeros(len(n), np.int64), np.ones(len(n), bool)
+        end, going = n.copy(), every
+        while len(going):
+            count[going] += 1
+            found = ids[end[going], going]
+            out[going, most - count[going]] = found
+            whole[going[found < 0]] = False
+            end[going] = begins[end[going], going]
+            going = going[end[going] > 0]
+        flat, upto = out.tobytes(), (every + 1) * most * 4
+        made: list[bytes | None] = [None] * len(n)
+        for i, a, b, good in zip(order.tolist(), (upto - 4 * count).tolist(), upto.tolist(), whole.tolist()):
+            if good:
+                made[i] = flat[a:b]
+        return made
+
+
 _encoders: dict[bytes, Encoder] = {}
 
 
@@ -321,6 +449,7 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model = model
+        self.windows = Windows(model) if Windows.fit(model) else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -343,15 +472,26 @@ class Encoder:
             unknown = found < 0 and not m.bytes
         return array("i", out).tobytes()
 
-    def _kept(self, raw: bytes) -> bytes:
-        """From the cache, of which the half that wasn't used lately goes when it is full."""
-        got = self.old.get(raw)
-        if got is None:
-            got = self.searched(raw.decode().replace(" ", BLANK))
-        if len(raw) <= 64:
-            if len(self.new) > _CACHE // 2:
-                self.old, self.new = self.new, {}
-            self.new[raw] = got
+    def found(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct stretches: from the cache, of which the half that wasn't used lately goes when it is full, or searched together."""
+        got = [self.new.get(key) for key in keys]
+        lost = [i for i, x in enumerate(got) if x is None]
+        for i in lost:
+            got[i] = self.old.get(keys[i])
+        if self.windows is not None:
+            longest = self.model.longest
+            short = [i for i in lost if got[i] is None and (len(keys[i]) <= longest or len(keys[i]) <= 4 * longest and len(keys[i].decode()) <= longest)]
+            for a in range(0, len(short), _TOGETHER):
+                some = short[a : a + _TOGETHER]
+                for i, x in zip(some, self.windows.search([keys[i] for i in some])):
+                    got[i] = x
+        for i in lost:
+            if got[i] is None:
+                got[i] = self.searched(keys[i].decode().replace(" ", BLANK))
+            if len(keys[i]) <= 64:
+                if len(self.new) > _CACHE // 2:
+                    self.old, self.new = self.new, {}
+                self.new[keys[i]] = got[i]
         return got
 
     def batch(self, column: pa.Array) -> pa.ListArray:
@@ -366,7 +506,7 @@ class Encoder:
         start = np.flatnonzero(opens)
         stretches = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data.tobytes())]).dictionary_encode()
         place, before = stretches.indices.to_numpy(), np.searchsorted(start, at)
-        found = [self.new.get(key) or self._kept(key) for key in stretches.dictionary.to_pylist()]
+        found = self.found(stretches.dictionary.to_pylist())
         sizes = np.array([len(x) // 4 for x in found], np.int64)
         ids = np.frombuffer(b"".join(found), np.int32)
         counts = sizes[place]

@@ -104,3 +104,36 @@ def test_words_are_cut_apart_and_not_matched_one_by_one(spark):
 
     took = [(seconds(decontam.words_of(F.col("text"))), seconds(one_by_one)) for _ in range(8)]
     assert min(a for a, _ in took) < 0.8 * min(b for _, b in took), took
+
+
+def test_new_words_are_searched_together():
+    """Words never seen before have the ids of the search one by one, in well below its time."""
+    with open(sentencepiece_codec.MODEL, "rb") as f:
+        data = f.read()
+    rng = np.random.default_rng(7)
+    letters = np.array(list("etaoinshrdluéñ,.'中0"))
+    words = sorted({"".join(rng.choice(letters, n)) for n in rng.integers(1, 16, 60_000)}) + ["", " ", "\x00a", "a\n b", "😀😀", "x▁y", "日本語日本語日本語日本語日本語日本語", "e" * 16, "é" * 15, "é" * 16, "e" * 40]
+    one, both = sentencepiece_codec.Encoder(sentencepiece_codec.load(data)), sentencepiece_codec.Encoder(sentencepiece_codec.load(data))
+    assert both.windows is not None
+
+    def seconds(work):
+        began = time.thread_time()
+        work()
+        return time.thread_time() - began
+
+    column = pa.array(words)
+    one_by_one = lambda: [one.searched("▁" + w.replace(" ", "▁")) if w else b"" for w in words]
+    together = lambda: both.batch(column)
+    assert together().to_pylist() == [np.frombuffer(x, np.int32).tolist() for x in one_by_one()]
+    took = []
+    for _ in range(3):
+        both.new.clear(), both.old.clear()
+        took.append((seconds(together), seconds(one_by_one)))
+    assert min(a for a, _ in took) < 0.8 * min(b for _, b in took), took
+    # a character without a piece gives None, and is left to the search of one text
+    small = sentencepiece_codec.Model([("<unk>", 0.0, 2), ("<0x61>", 0.0, 6), ("▁", -1.0, 1), ("a", -2.0, 1), ("b", -3.0, 1), ("ab", -4.0, 1), ("▁a", -5.0, 1), ("bab", -6.0, 1), ("abab", -7.0, 1)])
+    texts = ["▁" + "".join(rng.choice(["a", "b"], n)) for n in rng.integers(0, 3, 50)] + ["ab", "abab", "bab", "▁", "b", "zab", "aab"]
+    got = sentencepiece_codec.Windows(small).search([t.replace("▁", " ").encode() for t in texts])
+    for t, ids in zip(texts, got):
+        alone = sentencepiece_codec.search_window(small, t)
+        assert (np.frombuffer(ids, np.int32).tolist() if ids is not None else None) == (None if -1 in alone else alone), t
