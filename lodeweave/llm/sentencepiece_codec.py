@@ -27,6 +27,7 @@ new one is replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import struct
 from array import array
@@ -449,10 +450,13 @@ class Encoder:
 
     def __init__(self, model: Model):
         self.model = model
-        self.windows = Windows(model) if Windows.fit(model) else None
         self.new: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
+    @functools.cached_property
+    def windows(self) -> Windows | None:
+        return Windows(self.model) if Windows.fit(self.model) else None
+
     def searched(self, text: str) -> bytes:
         """The ids of a text whose blanks are U+2581, as bytes of 32-bit numbers."""
         m, out = self.model, []
