@@ -108,8 +108,8 @@ def parse_links(page: str, url: str | None) -> list[tuple[str, str]]:
 def loaded(sources: DataFrame, key: str = "page_id", source: str = "source", answers: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """H-06: (key, url, html) of pages given as an address, a file or text.
 
-    A source that begins like an address and is one becomes the page's ``url``, its text is the body of ``answers`` (url, body), null without
-    one: fetching is the caller's. One that ends in .html is the file of that path below ``folder``, or text if there is none. Anything else is the page itself.
+    A source that begins like an address and is one becomes the page's ``url``, its text is the body of ``answers`` (url, body), of several the
+    least, null without one: fetching is the caller's. One that ends in .html is the file of that path below ``folder``, or text if there is none. Anything else is the page itself.
     """
     given = F.col(source)
     rows = sources.select(F.col(key), given.alias("_source"), F.coalesce(given.rlike("^(http|ftp)") & url_valid(given), F.lit(False)).alias("_is_url"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -261,6 +263,8 @@ _ABOUT_SCORE = " + ".join(f"CASE WHEN n{i} > 0 THEN ln(1 + (docs - d{i} + 0.5) /
 _ABOUT_ANY = " OR ".join(f"n{i} > 0" for i in range(len(_ABOUT)))
 _OWN = "'column name: ' || v.name || ', dtype: ' || CASE WHEN v.ents IS NULL THEN 'timestamp' ELSE 'string' END"
 _URL = html.URL
+#: The same pattern for texts whose A-Z are small, with what Spark's regular expressions mean by white space and by a text's end, before a last line break too.
+_ADDRESS = _URL.removeprefix("(?i)").replace("A-Z", "a-z").replace(r"\S", r"[^ \t\n\x0B\f\r]").replace("$", r"(?:\r\n|[\n\r\x{85}\x{2028}\x{2029}])?$")
 _ENDS = "['.csv', '.PDF', '', '.html#x', '.json']"
 ORACLES = {
     "search_terms_ratio": f"{SQL}{_POST}{_asked(_P_BRAND)}, h AS ({_HITS}) SELECT CAST(dataset_id AS BIGINT) AS dataset_id, CAST(off AS BIGINT) AS off, CAST(n_terms AS BIGINT) AS n_terms FROM h WHERE n_terms >= ceil(0.5 * (SELECT count(*) FROM asked))",
@@ -286,7 +290,11 @@ SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(
 cur AS (SELECT id, CASE WHEN src IN (20000, 60000) THEN 'new ' || title ELSE title END AS title, src FROM one UNION ALL SELECT 90000 + 10000 * (row_number() OVER (ORDER BY title) - 1), 'copy of ' || title, dataset_id FROM sets WHERE dataset_id <= 10000)
 SELECT CAST(id AS BIGINT) AS dataset_id, title, (SELECT string_agg(CAST(cur.id + v.off + 1 AS VARCHAR), ',' ORDER BY v.off) FROM vars v WHERE v.dataset_id = src) AS ids FROM cur""",
     "bulk_validation": "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'title must be a text' WHEN 2 THEN 'keywords must be a list; materialization is required' WHEN 3 THEN 'variables[1].temporal_coverage.start must be a text' ELSE 'no JSON document' END AS violations FROM documents",
-    "pages_loaded": "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url END AS url, CAST(CASE WHEN page_id % 4 <> 2 THEN length(html) END AS BIGINT) AS chars, CASE WHEN page_id % 4 <> 2 THEN md5(html) END AS digest FROM pages",
+    "pages_loaded": f"""WITH s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE html END AS source FROM pages),
+k AS (SELECT page_id, source, coalesce(regexp_matches(source, '^(http|ftp)') AND regexp_matches(translate(source, '{ascii_uppercase}', '{ascii_lowercase}'), '{_ADDRESS}'), false) AS is_url FROM s),
+a AS (SELECT url AS asked, min(html) AS body FROM pages WHERE page_id % 4 = 0 GROUP BY url),
+r AS (SELECT page_id, CASE WHEN is_url THEN source END AS url, CASE WHEN is_url THEN body ELSE source END AS page FROM k LEFT JOIN a ON is_url AND source = asked)
+SELECT page_id, url, CAST(length(page) AS BIGINT) AS chars, md5(page) AS digest FROM r""",
     "catalog_existing": f"{SQL} SELECT 'new ' || title AS title FROM sets WHERE dataset_id IN (20000, 60000)",
     "catalog_intersection": f"{SQL} SELECT CAST(dataset_id AS BIGINT) AS dataset_id, title FROM sets WHERE dataset_id IN (SELECT dataset_id FROM vars WHERE ents IS NULL) AND list_contains(keywords, 'orders')",
     "links_filter": f"WITH p AS (SELECT page_id, regexp_replace(url, '[?#].*$', '') || list_extract({_ENDS}, CAST(page_id % 5 + 1 AS BIGINT)) AS u FROM pages) SELECT page_id, lower(regexp_extract(u, '\\.([^./#]*)(?:#[^/]*)?$', 1)) NOT IN ({', '.join(repr(x) for x in html.SKIPPED_SUFFIXES)}) AS data, page_id % 3 = 0 AS dull FROM p",

@@ -121,6 +121,21 @@ def test_pages_are_loaded(spark, tmp_path):
     assert html.loaded(sources).where("html is null").count() == 3
 
 
+def test_addresses_that_pages_share_have_one_answer_in_sql_too(spark, tmp_path):
+    import duckdb
+
+    from lodeweave.queries import searching
+
+    rows = [(0, "http://h.org/x", "b"), (4, "http://h.org/x", "a"), (2, "http://h.org/x", "never fetched"), (6, "http://h.org/y", "nor this"), (1, "http://h.org/z", "text"), (3, None, "http://h.org/x"), (5, None, None)]
+    rows += [(8, "http://h.org/v\n", "ends"), (10, "http://h.org/v\n", "not"), (12, "no address", "page"), (14, None, "page"), (16, "httpS://K.org?\v", "page"), (18, "HTTP://h.org/x", "page"), (20, "http://h.org/n", None), (22, "http://h.\u212aa", "page"), (7, "", "http://h.org/v\r\n"), (24, "http://h.org/ a", "page")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.page_id: tuple(r) for r in searching.pages_loaded(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert {r[0]: r for r in db.sql(searching.ORACLES["pages_loaded"]).fetchall()} == got and len(got) == len(rows)
+    assert got[0][1:] == got[2][1:] == got[3][1:] == got[4][1:] and got[0][2] == 1 and got[6][2:] == (None, None)
+
+
 def test_recipes(spark):
     df = spark.createDataFrame([("a", "x", 1.0, 2), ("a", "y", 3.0, None), (None, "x", 5.0, 4), ("a", None, 9.0, 1)], "k string, c string, v double, n int")
     assert sorted((r.k or "", r.v, r.n) for r in recipes.means(df, ["k"]).collect()) == [("", 5.0, 4.0), ("a", 4.333333, 1.5)]
