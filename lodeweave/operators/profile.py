@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeweave.functions import dates, text
+from lodeweave.functions import dates, grams, text
 from lodeweave.operators import statistics
 
 TOP = 10
@@ -227,7 +227,7 @@ def language(df: DataFrame, column: str) -> DataFrame:
 def language_profiles(df: DataFrame, column: str, language: str, k: int = 300) -> DataFrame:
     """F-05: (language, gram, rank): the k runs of three letters that most cells of a language have, ties by run, learnt from labelled cells."""
     cells = df.where(F.col(language).isNotNull() & F.col(column).isNotNull())
-    counted = cells.select(F.col(language).alias("language"), F.explode(text.trigrams(F.col(column))).alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("n"))
+    counted = grams.counted(cells, column, language).groupBy("language", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "gram"))
     return counted.withColumn("rank", rank).where(F.col("rank") <= k).select("language", "gram", "rank")
 
@@ -235,17 +235,17 @@ def language_profiles(df: DataFrame, column: str, language: str, k: int = 300) -
 def language_by(df: DataFrame, column: str, profiles: DataFrame, languages: int = 200) -> DataFrame:
     """F-05: as ``language``, by profiles: a cell is of the language of whose frequent runs it has most, of equals the last by name.
 
-    Profiles of at most ``languages`` languages are part of the plan; more raise ValueError.
+    Profiles of at most ``languages`` languages go to every task; more raise ValueError.
     """
     known = {r["language"]: r["grams"] for r in profiles.groupBy("language").agg(F.collect_list("gram").alias("grams")).limit(languages + 1).collect()}
     if len(known) > languages:
         raise ValueError(f"more than {languages} languages")
-    grams = text.trigrams(F.col(column))
-    cells = df.where(F.col(column).isNotNull() & ~text.is_number(F.col(column))).select(grams.alias("g"))
+    cells = df.where(F.col(column).isNotNull() & ~text.is_number(F.col(column)))
     if not known:
         return cells.select(F.lit("").alias("language"), F.lit(0).cast("bigint").alias("count")).limit(0)
-    best = F.array_max(F.array(*(F.struct(F.size(F.array_intersect("g", F.array(*map(F.lit, sorted(found))))).alias("n"), F.lit(name).alias("language")) for name, found in sorted(known.items()))))
-    return cells.select(best.alias("b")).where("b.n > 0").groupBy(F.col("b.language").alias("language")).agg(F.count("*").alias("count")).orderBy(F.desc("count"), "language")
+    names = sorted(known)
+    counted = grams.nearest(cells, column, [known[x] for x in names]).groupBy("at").agg(F.sum("n").alias("count"))
+    return counted.select(F.get(F.array(*map(F.lit, names)), F.col("at")).alias("language"), "count").orderBy(F.desc("count"), "language")
 
 
 def entity_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,12 +1,16 @@
 """Profiles of small tables against known values."""
 
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodeweave import api
-from lodeweave.functions import dates, similarity, text
+from lodeweave.functions import dates, grams, similarity, text
 from lodeweave.operators import generators, profile
+from lodeweave.sources import readers
 
 
 @pytest.fixture(scope="module")
@@ -153,3 +157,64 @@ def test_languages_by_learnt_profiles(spark):
     with pytest.raises(ValueError):
         profile.language_by(cells, "t", profiles, languages=1)
     assert sorted(spark.createDataFrame([("Ab, c",)], "t string").select(text.trigrams(F.col("t"))).first()[0]) == [" ab", " c ", "ab ", "b c"]
+
+
+ODD = ["", " ", "a", "Ab", "12.5", "a1b--c", "\u0130stanbul", "\u03a3\u0391\u03a3 \u03a3", "\u6771\u4eac\u90fd\u306e\u6771\u4eac\u90fd", "\U0001d49c\U00010400x\U0001f600y", "e\u0301t\u00e9\x00\u00ff", "nul\x00nul", "\n\ta\n", "\u01c5\u02b0\u00aa", "aaaa aaaa", "-" * 50 + "x" + "-" * 50, "Der Hund und die Katze, " * 9]
+
+
+def test_runs_are_those_of_the_column_expression(spark, monkeypatch):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "id int, t string")
+    broken = df.limit(1).select(F.lit(len(ODD)).alias("id"), F.concat(F.lit("one "), F.unhex(F.lit("ff41c3")).cast("string"), F.lit(" two")).alias("t"))
+    df = df.union(broken).withColumn("lang", F.array(F.lit("x"), F.lit("y"), F.lit("z"))[F.col("id") % 3])
+    want = {(r.lang, r.gram): r.n for r in df.select("lang", F.explode(text.trigrams(F.col("t"))).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("n")).collect()}
+    got = {(r.language, r.gram): r.n for r in grams.counted(df, "t", "lang").groupBy("language", "gram").agg(F.sum("n").alias("n")).collect()}
+    assert got == want and len(got) > 60
+    # the same in pieces of any size, with letters numbered as they come, and handed on at any time
+    texts = df.select("id", F.concat(F.lit(" "), F.lower("t"), F.lit(" ")), text.trigrams(F.col("t"))).where("id < 17").orderBy("id").collect()
+    for piece in (1, 2, 3, 7, 64, 1 << 19):
+        monkeypatch.setattr(grams, "PIECE", piece)
+        runs = grams.Runs()
+        for _, t, found in texts:
+            which, code = runs.of([t])
+            assert sorted(runs.text(code).to_pylist()) == sorted(found) and not which.any() and [runs.code(x) for x in runs.text(code).to_pylist()] == code.tolist()
+    which, code = runs.of([t for _, t, _ in texts])
+    assert sorted(zip(which.tolist(), runs.text(code).to_pylist())) == sorted((i, x) for i, _, found in texts for x in found)
+    monkeypatch.setattr(grams, "HELD", 10)
+    held, out = grams._Counts(), []
+    for _, t, _ in texts * 3:
+        if held.full(pa.array(["x"])):
+            out += held.given(pa.string())
+        held.add([t], pa.array(["x"]))
+    out += held.given(pa.string())
+    n = Counter()
+    for b in out:
+        for r in b.to_pylist():
+            n[r["gram"]] += r["n"]
+    assert len(out) > 3 and n == Counter(x for _, _, found in texts for x in found for _ in range(3))
+
+
+def test_more_languages_than_a_task_holds(spark):
+    df = spark.range(3000, numPartitions=1).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("lang"), F.lit("the end").alias("t")).union(spark.createDataFrame([("l7", "the")], "lang string, t string"))
+    found = profile.language_profiles(df, "t", "lang", 2).groupBy("language").agg(F.count("*").alias("k"), F.max(F.when(F.col("rank") == 1, F.col("gram"))).alias("first")).collect()
+    assert len(found) == 3000 and {r.k for r in found} == {2} and {r.first for r in found} == {" en", " th"} and [r.language for r in found if r.first == " th"] == ["l7"]
+
+
+def test_languages_of_equal_runs_and_of_other_kinds(spark):
+    labelled = spark.createDataFrame([("same text", 1), ("same text", 2), ("else", 3)], "t string, lang int")
+    got = profile.language_by(labelled, "t", profile.language_profiles(labelled, "t", "lang"))
+    assert dict(got.dtypes)["language"] == "int" and [(r.language, r["count"]) for r in got.collect()] == [(2, 2), (3, 1)]
+    odd = spark.createDataFrame([("a", "longer"), ("a", "x1x"), ("a", ""), ("b", " el"), ("b", " el")], "language string, gram string")
+    assert [(r.language, r["count"]) for r in profile.language_by(labelled, "t", odd).collect()] == [("b", 1)]
+    assert profile.language_by(labelled, "t", odd.where("language = 'a'")).count() == 0
+
+
+def test_languages_of_long_texts_take_little_time(spark):
+    """20 million characters; by column expressions alone (``text.trigrams``, exploded and intersected) they didn't end within the limit."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(999)), lambda k: F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit("/"), k.cast("string"))), 1, 7))
+    given, joined = spark.range(0, 2500, numPartitions=4).select("id", F.array_join(words, " ").alias("t")), lambda to: F.translate("t", "0123456789abcdef", to)
+    second = F.col("id") % 5 == 0
+    base = given.select(F.when(second, "b").otherwise("a").alias("lang"), F.when(second, joined("qrstuvwxyz\u00e0\u00e1\u00e2\u00e3\u00e4\u00e5")).otherwise(joined("ghijklmnopabcdef")).alias("t")).localCheckpoint()
+    run = lambda df: [(r.language, r["count"]) for r in profile.language_by(df, "t", profile.language_profiles(df, "t", "lang")).collect()]
+    assert len(run(base.limit(40))) == 2  # workers are started
+    with readers.limited(spark, 15):
+        assert run(base) == [("a", 2000), ("b", 500)]
